@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import packing, simhash
+from pairlab.llm import mixing, packing, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,57 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op9_simhash": op9_simhash}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op5_sharding, op9_simhash)}
+
+
+#: The same mix, with each source sorted whole.
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, length(text) AS chars FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, ([3.0, 1.0, 2.0]::DOUBLE[])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3) + 1] AS weight,
+    (source_size * 2)::DOUBLE AS most, (sum(source_size) OVER ())::DOUBLE * 1.5 AS budget FROM s
+), l AS (
+  SELECT *, most / weight AS fills_at FROM w
+), v AS (
+  SELECT *, row_number() OVER f AS k,
+    (budget - coalesce(sum(most) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+      / sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM l WINDOW f AS (ORDER BY fills_at, source ASC NULLS LAST)
+), t AS (
+  SELECT source, source_size, CASE WHEN a IS NULL OR fills_at <= a THEN most ELSE a * weight END AS target
+  FROM v, (SELECT arg_min(level, k) FILTER (level <= fills_at) AS a FROM v)
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t
+), k AS (
+  SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS lack, d.source,
+    -ln((('0x' || substr(md5('17|' || coalesce(d.doc_id::VARCHAR, '-') || '|' || d.size), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
+      / (CASE WHEN chars / greatest(size, 1)::DOUBLE BETWEEN 3 AND 12 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END) AS es_key
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+), p AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY es_key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix FROM k
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (size * least(epochs + CASE WHEN prefix + size / 2.0::DOUBLE <= lack THEN 1 ELSE 0 END, 2))::BIGINT AS taken
+FROM p
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": OP2_SQL}
