@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import ann, htmltext, langid, mixing, packing, sharding, simhash, topk
+from pairlab.llm import ann, htmltext, langid, mixing, packing, sharding, simhash, substring, tokenstore, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.stored_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -48,8 +52,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_langid, op5_sharding, op6_html, op7_ann, op8_topk, op9_simhash)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_langid, op4_tokenstore, op5_sharding, op6_html, op7_ann, op8_topk, op9_simhash, op10_substring)}
 
 
 #: The same mix, with each source sorted whole.
