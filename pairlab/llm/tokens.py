@@ -63,6 +63,7 @@ class WordEncoder:
         self.table = _byte_chars()
         self.space = self.table[ord(" ")]
         self.line_end = [t.id for t in self.model.tokenize(self.table[ord("\n")])]
+        self.marks: dict[str, list[int]] = {}
         self.dtype = np.uint16 if self.whole.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self._reset()
 
@@ -88,10 +89,14 @@ class WordEncoder:
         core, marks = m.groups()
         if not marks:
             return self._piece(core)
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[marks] = self._piece(marks)
         at = self.known.get(core[1:], self.settled) if core[0] == " " else self.settled
         if at < self.settled:
-            return self.flat[self.ends[at] : self.ends[at + 1]].tolist() + self._piece(marks)
-        return self._piece(core) + self._piece(marks)
+            return self.flat[self.ends[at] : self.ends[at + 1]].tolist() + self.marks[marks]
+        return self._piece(core) + self.marks[marks]
 
     def _learn(self, keys: set[str]) -> None:
         n, used, ends = len(self.known), self.used, []

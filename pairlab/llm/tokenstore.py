@@ -49,21 +49,28 @@ def address(data: bytes) -> bytes:
     return blake2b(data, digest_size=_DIGEST).digest()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    mixed = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-    mixed ^= mixed >> np.uint32(15)
-    rolling = mixed.copy()
-    for k in range(1, min(REACH, n)):
-        rolling[k:] += mixed[:-k] << np.uint32(k)
-    hits = np.flatnonzero(rolling >> np.uint32(16) & np.uint32(MEAN - 1) == 0) + 1
-    ends, at, i = [], 0, 0
+def hits(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end: the hash of the last REACH ids meets the mask.
+
+    The sum of REACH shifted terms is built by doubling. Places within REACH of the start depend on
+    what is before, and are never used, for chunks have at least LEAST ids.
+    """
+    rolling = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    rolling ^= rolling >> np.uint32(15)
+    step = 1
+    while step < REACH:
+        moved = rolling[:-step] << np.uint32(step)
+        rolling[step:] += moved
+        step *= 2
+    return np.flatnonzero(rolling >> np.uint32(16) & np.uint32(MEAN - 1) == 0) + 1
+
+
+def cuts(n: int, places: np.ndarray) -> list[int]:
+    """Ends of the chunks of n ids, given the places of hits among them."""
+    ends, at = [], 0
     while n - at > LEAST:
-        i = int(np.searchsorted(hits, at + LEAST))
-        end = int(hits[i]) if i < len(hits) else n
+        i = int(np.searchsorted(places, at + LEAST))
+        end = int(places[i]) if i < len(places) else n
         at = min(end, at + GREATEST, n)
         ends.append(at)
     if at < n:
@@ -79,10 +86,13 @@ def _encode(batches, name: str, end_id: int):
         keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
         for lo, hi in slices(texts):
             rows = []
-            for key, ids in zip(keys[lo:hi], code.encode([t or "" for t in texts[lo:hi]])):
-                ids = np.append(ids, np.array([end_id], ids.dtype)).astype(width)
+            encoded = [np.append(ids, ids.dtype.type(end_id)).astype(width) for ids in code.encode([t or "" for t in texts[lo:hi]])]
+            found, first = hits(np.concatenate(encoded)), 0
+            for key, ids in zip(keys[lo:hi], encoded):
                 addresses, lengths, at = [], [], 0
-                for end in cuts(ids):
+                own_hits = found[np.searchsorted(found, first + 1) : np.searchsorted(found, first + len(ids) + 1)] - first
+                first += len(ids)
+                for end in cuts(len(ids), own_hits):
                     data = ids[at:end].tobytes()
                     own = address(data)
                     addresses.append(own)
