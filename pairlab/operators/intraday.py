@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pairlab.functions import kernels
 from pairlab.params import DEFAULTS
@@ -110,19 +111,19 @@ def in_half_life_band(half_life: Column, band: tuple[float, float]) -> Column:
     return F.coalesce(half_life.between(*band), F.lit(False))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def bertram_entry(sigma_eq: pd.Series, cost: pd.Series) -> pd.Series:
     """Entry distance that maximises return per time; NaN if infeasible."""
     return pd.Series(kernels.bertram_thresholds(sigma_eq.to_numpy(float), cost.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mean_cycle(a: pd.Series, kappa: pd.Series, sigma_eq: pd.Series) -> pd.Series:
     """Mean length of a trade cycle."""
     return pd.Series(kernels.cycle_length(a, kappa, sigma_eq))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def return_rate(a: pd.Series, cost: pd.Series, kappa: pd.Series, sigma_eq: pd.Series) -> pd.Series:
     """Return per time of entering at a."""
     return pd.Series(kernels.return_per_time(a, cost, kappa, sigma_eq))
