@@ -53,7 +53,8 @@ _WORDS = frozenset(
 class _Page:
     """Text nodes of one page with their paths, blocks and elements."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, forms: bool = False):
+        self.never = _NEVER - {"form"} if forms else _NEVER
         self.nodes: list[tuple[int, int, int, str]] = []  # (path, element, block, text)
         self.parent, self.depth, self.outside, self.tag = [-1], [0], [False], [""]
         self.paths: dict[tuple, int] = {}
@@ -76,7 +77,8 @@ class _Page:
         return len(self.parent) - 1
 
     def _never(self, at: int, tag: str, attributes: str) -> bool:
-        if tag in _NEVER or tag == "header" and not {"article", "main"} & set(self.path_tags[at]):
+        inside = not {"article", "main"}.isdisjoint(self.path_tags[at])  # an article's own header holds its title
+        if tag in self.never or tag == "header" and not inside:
             return True
         if tag in ("html", "body", "article", "main") or not attributes:
             return False
@@ -84,7 +86,7 @@ class _Page:
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-            if name == "role" and value in _ROLES or name in ("class", "id") and _WORDS.intersection(_TOKENS_OF.findall(value)):
+            if name == "role" and value in _ROLES or name in ("class", "id") and _WORDS.intersection(_TOKENS_OF.findall(value)) - ({"header"} if inside else set()):
                 return True
         return False
 
@@ -150,7 +152,11 @@ def main_text(html: str | None, *, strictness: float = 0.5, share: float = 0.8)
     """The article's text: blocks in page order, joined by an empty line."""
     if not html:
         return ""
-    page = _Page(html)
+    # A form that holds the whole page is no form of the article.
+    return _article(_Page(html), strictness, share) or _article(_Page(html, forms=True), strictness, share)
+
+
+def _article(page: _Page, strictness: float, share: float) -> str:
     texts = [_SPACE.sub(" ", unescape(t)) for *_, t in page.nodes]
     kept = [i for i, (_, e, _, _) in enumerate(page.nodes) if not page.outside[e]]
     filled = [i for i in kept if texts[i].strip()]

@@ -254,6 +254,15 @@ def test_html(spark, none):
     assert htmltext.extract(df.filter("page_id > 99")).count() == 0
 
 
+def test_html_headers_and_forms():
+    whole = "<body><form id='aspnet'><div class='menu'>Home</div><h1>T</h1><p>All text, in a form.</p></form></body>"
+    assert htmltext.main_text(whole) == "T\n\nAll text, in a form."
+    own = "<body><div class='header'>Site, of sites.</div><article><header class='post-header'><h1>T</h1></header><p>Text, more text.</p></article></body>"
+    assert htmltext.main_text(own) == "T\n\nText, more text."
+    div = "<body><div id='nav'><a>x</a></div><div class='content'><h2>Head</h2><div>Text, with marks; and more of it.</div><div>Short.</div></div><div class='sidebar'>Side, bar.</div></body>"
+    assert htmltext.main_text(div) == "Head\n\nText, with marks; and more of it.\n\nShort."
+
+
 def test_html_pages(spark, sf_dir):
     def article(h):
         inner = re.split(r"</article>|<footer", h.split("<article>", 1)[1])[0]
