@@ -67,6 +67,24 @@ def rolling_bands(rows: DataFrame, keys: list[str], order: str, value: str = "sp
     return s.withColumn("lower", F.col("roll_mean") - width * F.col("roll_std")).withColumn("upper", F.col("roll_mean") + width * F.col("roll_std")).drop("roll_std")
 
 
+def variable_rolling_z(rows: DataFrame, keys: list[str], order: str, window: str, value: str = "spread") -> DataFrame:
+    """rows with z over a window whose length is a column, one length a group; NaN until it is full or if it holds a NaN.
+
+    A frame's bounds must be literals, so each group runs on its own in pandas.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        w = int(pdf[window].iloc[0])
+        _check(w, w)
+        rolled = pdf[value].rolling(w, min_periods=w)
+        sd = rolled.std(ddof=1)
+        return pdf.assign(z=((pdf[value] - rolled.mean()) / sd.where(sd > 0)).to_numpy(float))
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["z double"])
+    return rows.groupBy(*keys).applyInPandas(run, schema)
+
+
 def tod_profile(rows: DataFrame, keys: list[str], bar: str, order: str, value: str = "spread", *, window: int, bars: int = DEFAULTS.bars_per_session, radius: int = 2, least: int | None = None) -> DataFrame:
     """(keys, bar, sigma_tod): deviation by bar of session of the spread from its rolling mean, smoothed over 2 radius + 1 bars.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlab.plans import daily, intraday  # noqa: F401  registers its queries with daily
+from pairlab.plans import daily, extra, intraday  # noqa: F401  register their queries with daily
 
 
 def queries() -> dict:
