@@ -250,7 +250,7 @@ def test_html(spark, none):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in htmltext.extract(df).collect()}
     assert htmltext.extract(df).count() == 7 and got[1, "u"] == (want, len(want))
-    assert got[2, None] == got[3, "v"] == got[6, "e"] == ("", 0) and got[None, "w"][0] == "just text, no tags" and got[5, "c"][0].startswith("cut off, in a")
+    assert got[2, None] == got[3, "v"] == got[6, "e"] == ("", 0) and got[None, "w"][0] == "just text, no tags" and got[5, "c"][0] == "cut off, in a"
     assert htmltext.extract(df.filter("page_id > 99")).count() == 0
 
 
