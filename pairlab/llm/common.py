@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +76,21 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_slot: list = []
+
+
+def in_worker(key, make: Callable):
+    """make() of the first call with this key, kept between the tasks of a Python worker.
+
+    A worker keeps one such object at a time, for its memory is bounded: operators that follow one
+    another don't hold each other's vocabularies.
+    """
+    if not _slot or _slot[0][0] != key:
+        if _slot:
+            _slot.clear()
+            gc.collect()
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+        _slot.append((key, make()))
+    return _slot[0][1]

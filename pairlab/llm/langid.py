@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.llm.common import in_worker
 from pairlab.llm.tokens import slices, vocabulary_path
 
 UNKNOWN = "und"
@@ -31,7 +32,7 @@ _MARK = "▁"
 #: Probability of a single character that is no piece, and the share of unseen pieces' counts.
 _CHARACTER, _UNSEEN = 1e-7, 0.01
 #: Distinct words whose scores a worker keeps; a bound of memory.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 
 
 def words(text: str) -> list[str]:
@@ -199,9 +200,6 @@ class Scorer:
         return langs, out
 
 
-_scorers: dict = {}
-
-
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = "piece_bpe_32k.model", docs_per_lang: int = 400, rounds: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row with held_out, lang_pred and score; ``keep`` names input columns to carry as kept_<name>."""
     langs, probs = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, vocabulary=vocabulary, docs_per_lang=docs_per_lang, rounds=rounds)
@@ -209,23 +207,24 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     model = docs.sparkSession.sparkContext.broadcast((langs, probs))
     key = hash((tuple(langs), probs.tobytes(), vocabulary))
 
+    carried = [c for c in keep if c != text_col]
+
     def run(batches):
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(*model.value, vocabulary)
-        scorer = _scorers[key]
+        scorer = in_worker(("language scorer", key), lambda: Scorer(*model.value, vocabulary))
         for b in batches:
             texts = b.column(0).to_pylist()
             for lo, hi in slices(texts):
                 lang, score = scorer.predict(texts[lo:hi])
-                kept = [b.column(i).slice(lo, hi - lo) for i in range(1, b.num_columns)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[1:], "lang_pred", "score"])
+                columns = {n: b.column(i).slice(lo, hi - lo) for i, n in enumerate(b.schema.names)}
+                columns |= {f"kept_{text_col}": columns.pop("text"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     source = docs.select(
         F.col(text_col).cast("string").alias("text"),
         F.col(id_col).alias("doc_id"),
         held_out(F.col(id_col)).alias("held_out"),
-        *[F.col(c).alias(f"kept_{c}") for c in keep],
+        *[F.col(c).alias(f"kept_{c}") for c in carried],
     )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]) + ", lang_pred string, score double"
-    return source.mapInArrow(run, schema)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]] + ([f"`kept_{text_col}` string"] if text_col in keep else []) + ["lang_pred string", "score double"]
+    names = [f.split()[0].strip("`") for f in fields]
+    return source.mapInArrow(run, ", ".join(fields))

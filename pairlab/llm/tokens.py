@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from pairlab.llm.common import in_worker
+
 _WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*%$#&|]*)")
 #: Words kept by an encoder; a bound of its memory (about 160 MB), not of what it encodes.
 KEPT_WORDS = 800_000
@@ -148,14 +150,9 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(name: str) -> WordEncoder:
-    """The encoder of a vocabulary file; one in each Python worker, kept between tasks."""
-    if name not in _encoders:
-        _encoders[name] = WordEncoder(vocabulary_path(name))
-    return _encoders[name]
+    """The encoder of a vocabulary file, kept by the Python worker between tasks."""
+    return in_worker(("encoder", name), lambda: WordEncoder(vocabulary_path(name)))
 
 
 def slices(texts: list[str | None], chars: int = 1_000_000):
