@@ -48,13 +48,12 @@ def calendar_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dense_panel(spark: SparkSession, sf_dir: str, *, rows: int = 2600) -> DataFrame:
+def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, sector, date, close, volume) on consecutive weekdays, with sector trends."""
     order = Window.partitionBy("symbol").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lines = _branded_lines(spark, sf_dir, "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity")
     kept = (
         lines.withColumn("k", F.row_number().over(order))
-        .filter(F.col("k") <= rows)
         .select("symbol", sector_of(F.col("symbol")).alias("sector"), "k", (F.col("l_discount") + F.col("l_tax")).alias("u"), "l_quantity")
     )
     whole = kept.agg(F.avg("u").alias("mu"), F.stddev_samp("u").alias("su"))
