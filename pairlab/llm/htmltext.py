@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)""")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?¿¡…。、，！？]")
 _TOKENS_OF = re.compile(r"[a-z]+")
@@ -84,7 +84,7 @@ class _Page:
         if tag in ("html", "body", "article", "main") or not attributes:
             return False
         for m in _ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            name, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
             if name == "role" and value in _ROLES or name in ("class", "id") and _WORDS.intersection(_TOKENS_OF.findall(value)) - ({"header"} if inside else set()):
