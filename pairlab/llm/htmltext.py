@@ -3,8 +3,9 @@
 A page is cut into text nodes, each with its root-to-leaf path of tags. Text length and
 punctuation are summed over all nodes of a path and divided by their number; the two ratios are
 smoothed along the page with a short binomial window, fused by product, and nodes above a fraction
-of the fused values' standard deviation are content. The article is the deepest element that holds
-nearly all of that content; its text nodes are returned whole, short ones too, but for elements
+of the fused values' standard deviation are content. The deepest element that holds nearly all of
+that content gives the article: the article or else main element around it, or without one the
+deepest element that holds all content; its text nodes are returned whole, short ones too, but for elements
 that never belong to an article (menus, forms, adverts, comments and the like, by tag, role or
 class).
 
@@ -185,6 +186,14 @@ def _article(page: _Page, strictness: float, share: float) -> str:
     while page.tag[article] not in _BLOCK and page.parent[article] > 0:
         article = page.parent[article]
 
+    # What surrounds a long section belongs to the article: up to its article or main element, or to all content.
+    above, x = [], article
+    while x > 0:
+        above.append(x)
+        x = page.parent[x]
+    held = [e for tag in ("article", "main") for e in above if page.tag[e] == tag]
+    article = held[0] if held else next((e for e in above if weight[e] == total), 0)
+
     def inside(e: int) -> bool:
         while e > article:
             e = page.parent[e]

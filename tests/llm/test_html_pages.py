@@ -15,3 +15,19 @@ def test_other_attributes_do_not_exclude(attributes):
 @pytest.mark.parametrize("attributes", ["hidden", 'title="x" HIDDEN', 'aria-hidden="true"', "id=ad", "class = 'x ad'", "role=search"])
 def test_whole_attributes_exclude(attributes):
     assert htmltext.main_text(f"<body><div><p>{LONG}</p></div><div {attributes}><p>{LONG} Not this.</p></div></body>") == LONG
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+@pytest.mark.parametrize("inner", ["div", "section", "blockquote"])
+def test_nested_bodies_keep_what_surrounds_them(outer, inner):
+    body = "".join(f"<p>{LONG} {LONG} {i}</p>" for i in range(8))
+    page = f"<body><nav><p>{LONG}</p></nav><{outer}><p>Intro. {LONG}</p><{inner}>{body}</{inner}><p>Close. {LONG}</p></{outer}></body>"
+    assert htmltext.main_text(page) == "\n\n".join([f"Intro. {LONG}", *(f"{LONG} {LONG} {i}" for i in range(8)), f"Close. {LONG}"])
+
+
+@pytest.mark.parametrize("outer", ["article", "main"])
+@pytest.mark.parametrize("body", ["<div>{0}</div>", "<ul><li>{0}</li></ul>", "<table><tr><td>{0}</td></tr></table>"])
+def test_short_parts_beside_a_nested_body(outer, body):
+    held = body.format("".join(f"<p>{LONG} {LONG} {i}</p>" for i in range(8)))
+    page = f"<body><{outer}><h1>T</h1><p>intro</p>{held}<p>close</p></{outer}></body>"
+    assert htmltext.main_text(page) == "\n\n".join(["T", "intro", *(f"{LONG} {LONG} {i}" for i in range(8)), "close"])
