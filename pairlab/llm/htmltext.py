@@ -2,17 +2,23 @@
 
 A page is cut into text nodes, each with its root-to-leaf path of tags. Text length and
 punctuation are summed over all nodes of a path and divided by their number; the two ratios are
-smoothed along the page with a short binomial window, fused by product, and nodes above a fraction
-of the fused values' standard deviation are content. The deepest element that holds nearly all of
-that content gives the article: the article or else main element around it, or without one the
-deepest element that holds all content; its text nodes are returned whole, short ones too, but for elements
-that never belong to an article (menus, forms, adverts, comments and the like, by tag, role or
-class).
+smoothed along the page with a short binomial window and fused by product, and nodes above a fraction
+of the fused values' standard deviation are content nodes.
+
+The content nodes choose the article and what belongs to it:
+
+* Elements that a tag, role or class names as no article (menus, comments, adverts and the like) don't
+  count, unless they hold nearly all content: a class name never outweighs the ratios.
+* The article is the deepest element that holds most content; around it, its ``article`` or else ``main``
+  element, or the deepest element that holds all content.
+* Of the article, content nodes are returned with the other nodes of their blocks. A block without
+  content is returned if it lies between content, is a heading before it, or, in an ``article`` or ``main``
+  element, lies anywhere; but not if most of its element's text is links and the ratios found nothing there.
 
 Defined cases: a null or empty page, or one without text, gives the empty string; tags left open,
-cut-off markup and unknown tags are allowed; a null page id or url is kept; repeated rows get equal
-results; ties go to the element first opened; an empty table gives no rows; other columns are not
-read.
+cut-off markup and unknown tags are allowed, at any depth; a null page id or url is kept; repeated rows
+get equal results; ties go to the element first opened; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -26,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairlab.llm.common import forget, text_slices
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)""")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?¿¡…。、，！？]")
-_TOKENS_OF = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[-_]+")
 
 #: HTML's void, raw-text and block elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,85 +50,123 @@ _BLOCK = frozenset(
 )
 #: Elements that a new one of the same group closes, up to the given ancestors.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Elements outside any article by tag; by role; by words of class or id.
-_NEVER = frozenset("head script style noscript template iframe svg math object nav aside footer form button select textarea input menu dialog xmp".split())
+#: Elements outside any article by tag; by role; by a class or id, whole or as the first or last part of a compound one.
+_NEVER = frozenset("head script style noscript template iframe svg math object nav aside footer button select textarea input menu dialog xmp".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form"
-    " gdpr header masthead menu modal nav navbar navigation newsletter notice notification popup promo promoted promotion related respond"
+    " gdpr masthead menu modal nav navbar navigation newsletter notice notification popup promo promoted promotion related respond"
     " share sharing sidebar social sponsor sponsored subscribe toolbar widget login signup".split()
 )
+#: First parts of a compound that says what an element has or lacks, not what it is; and those that make a header a site's.
+_SAYS = frozenset("no has have with without not non is hide show".split())
+_SITE = frozenset("site page top main global".split())
+_COMMENTS = frozenset("comment comments disqus respond".split())
+_INLINE = frozenset("p b i em strong span a".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters of content that an excluded element must hold to be the article after all.
+_PROSE = 120
+
+
+def _named(value: str, header: bool) -> int:
+    """0, or 1 if a class or id names no article, 3 if it names readers' comments; ``header``: a header is the site's here."""
+    for token in value.split():
+        parts = [x for x in _PARTS.split(token) if x]
+        if not parts or len(parts) > 1 and parts[0] in _SAYS:
+            continue
+        if parts[0] in _WORDS or parts[-1] in _WORDS and "header" not in parts:
+            return 3 if {parts[0], parts[-1]} & _COMMENTS else 1
+        if header and parts[-1] == "header" and (len(parts) == 1 or parts[0] in _SITE):
+            return 1
+    return 0
 
 
 class _Page:
-    """Text nodes of one page with their paths, blocks and elements."""
-
-    def __init__(self, html: str, forms: bool = False):
-        self.never = _NEVER - {"form"} if forms else _NEVER
-        self.nodes: list[tuple[int, int, int, str]] = []  # (path, element, block, text)
-        self.parent, self.depth, self.outside, self.tag = [-1], [0], [False], [""]
-        self.paths: dict[tuple, int] = {}
-        self.path_of = [self._path(())]
-        self.path_tags = [()]
+    """Text nodes of one page with their paths, blocks and elements.
+
+    A path is a number that stands for its parent's path and a tag, so that deep pages take linear space.
+    """
+
+    def __init__(self, html: str):
+        self.nodes: list[tuple[int, int, str]] = []  # (element, block, text)
+        self.parent, self.depth, self.tag, self.path_of = [-1], [0], [""], [0]
+        self.hold = [False]  # inside an article or main element
+        self.nearest = [0]  # the element itself or above it that is a block
+        self.bars: list[int] = [0]  # 2: never part of an article, 1: by a name only, 3: comments by name
+        self.paths: dict[tuple[int, str], int] = {}
+        self.is_open: dict[str, int] = defaultdict(int)
         self.block = 0
         self._read(html)
 
-    def _path(self, tags: tuple) -> int:
-        return self.paths.setdefault(tags, len(self.paths))
-
     def _open(self, at: int, tag: str, attributes: str) -> int:
-        tags = (*self.path_tags[at], tag)
+        e = len(self.parent)
         self.parent.append(at)
         self.depth.append(self.depth[at] + 1)
-        self.path_tags.append(tags)
-        self.path_of.append(self._path(tags))
+        self.path_of.append(self.paths.setdefault((self.path_of[at], tag), len(self.paths) + 1))
         self.tag.append(tag)
-        self.outside.append(self.outside[at] or self._never(at, tag, attributes))
-        return len(self.parent) - 1
+        self.hold.append(self.hold[at] or tag in ("article", "main"))
+        self.nearest.append(e if tag in _BLOCK else self.nearest[at])
+        self.bars.append(self._bar(at, tag, attributes))
+        self.is_open[tag] += 1
+        return e
 
-    def _never(self, at: int, tag: str, attributes: str) -> bool:
-        inside = not {"article", "main"}.isdisjoint(self.path_tags[at])  # an article's own header holds its title
-        if tag in self.never or tag == "header" and not inside:
-            return True
+    def _bar(self, at: int, tag: str, attributes: str) -> int:
+        inside = self.hold[at]  # an article's own header holds its title
+        if tag in _NEVER or tag == "header" and not inside:
+            return 2
+        found = int(tag == "form")
         if tag in ("html", "body", "article", "main") or not attributes:
-            return False
+            return found
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name == "role" and value in _ROLES or name in ("class", "id") and _WORDS.intersection(_TOKENS_OF.findall(value)) - ({"header"} if inside else set()):
-                return True
-        return False
+                return 2
+            if name == "role" and value in _ROLES:
+                found = found or 1
+            elif name in ("class", "id"):
+                found = max(found, _named(value, not inside))
+        return found
 
     def _text(self, at: int, raw: str) -> None:
         if raw:
-            self.nodes.append((self.path_of[at], at, self.block, raw))
+            self.nodes.append((at, self.block, raw))
+
+    def _up_to(self, at: int, e: int) -> int:
+        """The parent of e, with everything from at up to e closed."""
+        x = at
+        while True:
+            self.is_open[self.tag[x]] -= 1
+            if x == e:
+                return self.parent[e]
+            x = self.parent[x]
 
     def _close(self, at: int, tag: str) -> int:
+        if not self.is_open[tag]:
+            return at
         x = at
-        while x > 0 and self.tag[x] != tag:
+        while self.tag[x] != tag:
             x = self.parent[x]
-        return self.parent[x] if x > 0 else at
+        return self._up_to(at, x)
 
     def _implied(self, at: int, tag: str) -> int:
         if tag in _CLOSES:
             own, stop = _CLOSES[tag]
+            if not any(self.is_open[t] for t in own):
+                return at
             x, found = at, -1
             while x > 0 and self.tag[x] not in stop:
                 if self.tag[x] in own:
                     found = x
                 x = self.parent[x]
-            return self.parent[found] if found > 0 else at
+            return self._up_to(at, found) if found > 0 else at
         if tag in _BLOCK:  # a block ends an open paragraph, with the inline elements in it
-            x = at
-            while x > 0 and self.tag[x] not in _BLOCK:
-                x = self.parent[x]
+            x = self.nearest[at]
             if x > 0 and self.tag[x] == "p":
-                return self.parent[x]
+                return self._up_to(at, x)
         return at
 
     def _read(self, html: str) -> None:
-        at, pos = 0, 0
+        at, pos, endless = 0, 0, set()
         while m := _TOKEN.search(html, pos):
             self._text(at, html[pos : m.start()])
             pos = m.end()
@@ -138,7 +184,9 @@ class _Page:
                     self._text(at, " ")
                 continue
             if tag in _RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, pos)
+                end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, pos)
+                if not end:
+                    endless.add(tag)
                 if end or tag in _TEXT:  # others that never end are passed over, not what follows
                     pos = end.end() if end else len(html)
                 continue
@@ -151,72 +199,115 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
-def main_text(html: str | None, *, strictness: float = 0.5, share: float = 0.8) -> str:
-    """The article's text: blocks in page order, joined by an empty line."""
-    if not html:
-        return ""
-    # A form that holds the whole page is no form of the article.
-    return _article(_Page(html), strictness, share) or _article(_Page(html, forms=True), strictness, share)
+def _totals(values: np.ndarray, parent: list[int]) -> list:
+    """For each element, the sum of the values of itself and all below; a parent is opened before its children."""
+    out = values.tolist()
+    for e in range(len(out) - 1, 0, -1):
+        out[parent[e]] += out[e]
+    return out
 
 
-def _article(page: _Page, strictness: float, share: float) -> str:
-    texts = [_SPACE.sub(" ", unescape(t)) for *_, t in page.nodes]
-    kept = [i for i, (_, e, _, _) in enumerate(page.nodes) if not page.outside[e]]
-    filled = [i for i in kept if texts[i].strip()]
-    if not filled:
-        return ""
+def _below(seed: list[bool], parent: list[int]) -> list[bool]:
+    """For each element, whether it or one above it is marked."""
+    out = list(seed)
+    for e in range(1, len(out)):
+        out[e] = out[e] or out[parent[e]]
+    return out
+
+
+def _content(page: _Page, texts: list[str], among: list[int], strictness: float) -> list[int]:
+    """The nodes, of those given, whose fused tag-path ratios pass the threshold."""
     length, marks, number = defaultdict(int), defaultdict(int), defaultdict(int)
-    for i in filled:
-        path = page.nodes[i][0]
+    paths = [page.path_of[page.nodes[i][0]] for i in among]
+    for i, path in zip(among, paths):
         length[path] += len(texts[i].strip())
         marks[path] += len(_PUNCTUATION.findall(texts[i]))
         number[path] += 1
-    ratio = np.array([length[p] / number[p] for p in (page.nodes[i][0] for i in filled)])
-    mark_ratio = np.array([marks[p] / number[p] for p in (page.nodes[i][0] for i in filled)])
+    ratio, mark_ratio = (np.array([v[p] / number[p] for p in paths]) for v in (length, marks))
     fused = _smooth(ratio) * (1.0 + _smooth(mark_ratio))
-    chosen = [i for i, v in zip(filled, fused) if v >= strictness * fused.std()]
-    weight = defaultdict(int)
-    for i in chosen:
-        e, own = page.nodes[i][1], len(texts[i])
-        while e >= 0:
-            weight[e] += own
-            e = page.parent[e]
-    total = sum(len(texts[i]) for i in chosen)
-    article = max((e for e, w in weight.items() if w >= share * total and page.tag[e] not in ("p", "b", "i", "em", "strong", "span", "a")), key=lambda e: (page.depth[e], -e))
+    least = strictness * fused.std()
+    return [i for i, v in zip(among, fused.tolist()) if v >= least]
+
+
+def main_text(html: str | None, *, strictness: float = 0.5, share: float = 0.8) -> str:
+    """The article's text: blocks in page order, joined by an empty line."""
+    if not html:
+        return ""
+    page = _Page(html)
+    texts = [_SPACE.sub(" ", unescape(t)) for *_, t in page.nodes]
+    never = _below([b == 2 for b in page.bars], page.parent)
+    filled = [i for i, (e, _, _) in enumerate(page.nodes) if not never[e] and texts[i].strip()]
+    if not filled:
+        return ""
+    n = len(page.parent)
+
+    def held(nodes: list[int]) -> list[int]:
+        own = np.zeros(n, np.int64)
+        for i in nodes:
+            own[page.nodes[i][0]] += len(texts[i].strip())
+        return _totals(own, page.parent)
+
+    # What names exclude stays out as long as there is content without it; else the largest such element comes in.
+    named = [b in (1, 3) for b in page.bars]
+    mass = held(_content(page, texts, filled, strictness))
+    while True:
+        outside = _below([a or b for a, b in zip(named, never)], page.parent)
+        kept = [i for i in filled if not outside[page.nodes[i][0]]]
+        chosen = _content(page, texts, kept, strictness) if kept else []
+        found = held(chosen)
+        if found[0] >= (1 - share) * mass[0] or found[0] >= _PROSE and any(page.hold[page.nodes[i][0]] for i in chosen):
+            break
+        above = _below(named, page.parent)
+        some = [e for e in range(1, n) if named[e] and not above[page.parent[e]] and mass[e] >= (1 if page.tag[e] == "form" else _PROSE)]
+        # Comments are no article unless there is nothing else.
+        some = [e for e in some if page.bars[e] == 1] or [e for e in some if not found[0]]
+        if not some:
+            break
+        named[max(some, key=lambda e: (mass[e], -e))] = False
+    if not chosen:
+        return ""
+
+    article = max((e for e in range(n) if found[e] >= share * found[0] and page.tag[e] not in _INLINE), key=lambda e: (page.depth[e], -e))
     while page.tag[article] not in _BLOCK and page.parent[article] > 0:
         article = page.parent[article]
-
     # What surrounds a long section belongs to the article: up to its article or main element, or to all content.
     above, x = [], article
     while x > 0:
         above.append(x)
         x = page.parent[x]
-    held = [e for tag in ("article", "main") for e in above if page.tag[e] == tag]
-    article = held[0] if held else next((e for e in above if weight[e] == total), 0)
-
-    def inside(e: int) -> bool:
-        while e > article:
-            e = page.parent[e]
-        return e == article
+    hints = [e for tag in ("article", "main") for e in above if page.tag[e] == tag]
+    article = hints[0] if hints else next((e for e in above if found[e] == found[0]), 0)
+    inside = _below([e == article for e in range(n)], page.parent)
 
+    linked, all_text = (held([i for i in filled if of is None or of[page.nodes[i][0]]]) for of in (_below([t == "a" for t in page.tag], page.parent), None))
+    # A list of links without content in it; a paragraph or heading that is a link is none.
+    menu = _below([not found[e] and page.tag[e] in _BLOCK - _HEADINGS - {"p", "li"} and 2 * linked[e] > all_text[e] for e in range(n)], page.parent)
+    content = {page.nodes[i][1] for i in chosen if inside[page.nodes[i][0]]}
+    first, last = min(content, default=0), max(content, default=-1)
     blocks: dict[int, list[str]] = defaultdict(list)
-    for i in kept:
-        if inside(page.nodes[i][1]):
-            blocks[page.nodes[i][2]].append(texts[i])
-    joined = (_SPACE.sub(" ", "".join(b)).strip() for _, b in sorted(blocks.items()))
-    return "\n\n".join(b for b in joined if b)
+    heads: set[int] = set()
+    for i, (e, block, _) in enumerate(page.nodes):
+        if inside[e] and not outside[e] and (not menu[e] or block in content):
+            blocks[block].append(texts[i])
+            if page.tag[page.nearest[e]] in _HEADINGS:
+                heads.add(block)
+    joined = {b: text for b, t in sorted(blocks.items()) if (text := _SPACE.sub(" ", "".join(t)).strip())}
+    lead = first
+    for b in reversed([b for b in joined if b < first]):  # headings that stand right before the content
+        if b not in heads:
+            break
+        lead = b
+    return "\n\n".join(text for b, text in joined.items() if hints or lead <= b <= last)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
 
     def run(batches):
-        for b in batches:
-            htmls = b.column(2).to_pylist()
-            for at in range(0, len(htmls), 500):
-                text = [main_text(h) for h in htmls[at : at + 500]]
-                ends = [b.column(i).slice(at, len(text)) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([*ends, pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        forget()
+        for b in text_slices(batches, 2):
+            text = [main_text(h) for h in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")

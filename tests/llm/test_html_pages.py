@@ -31,3 +31,58 @@ def test_short_parts_beside_a_nested_body(outer, body):
     held = body.format("".join(f"<p>{LONG} {LONG} {i}</p>" for i in range(8)))
     page = f"<body><{outer}><h1>T</h1><p>intro</p>{held}<p>close</p></{outer}></body>"
     assert htmltext.main_text(page) == "\n\n".join(["T", "intro", *(f"{LONG} {LONG} {i}" for i in range(8)), "close"])
+
+
+PARAGRAPHS = [f"{LONG} {LONG} Number {i}." for i in range(4)]
+ARTICLE = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+
+
+@pytest.mark.parametrize("attributes", [
+    'style="overflow:hidden"', 'title="Hidden gems"', 'data-id="social"', 'class="page has-sidebar"', 'class="no-comments content"', 'class="elementor-widget-text"',
+    'class="sidebar"', 'id="related"', 'class="widget content"', 'role="form"',
+])
+def test_a_wrapper_that_holds_the_article_stays(attributes):
+    page = f"<body><div class=menu><a>Home</a> <a>News</a></div><div {attributes}>{ARTICLE}</div><div class=footer>All rights.</div></body>"
+    assert htmltext.main_text(page) == "\n\n".join(PARAGRAPHS)
+
+
+def test_comments_stay_out_however_long():
+    talk = "".join(f"<p>I beg to differ, {i} times; for what it is, it is not. {LONG}</p>" for i in range(30))
+    for outer in ("article", "div"):
+        page = f"<body><{outer}><h1>T</h1><p>{LONG} {LONG} {LONG}</p></{outer}><div class='comment-list'>{talk}</div></body>"
+        assert htmltext.main_text(page) == f"T\n\n{LONG} {LONG} {LONG}"
+
+
+#: Pages without article or main and without telling names: the ratios alone tell what is what.
+PLAIN = [
+    f"<body><div><div><a>Home</a></div><div><a>News</a></div><div><a>Sport</a></div></div><div><section>{ARTICLE}</section></div><div><div>Made by us</div><div>All rights</div></div></body>",
+    f"<body><table><tr><td><a>One</a> <a>Two</a> <a>Three</a></td><td><div>{ARTICLE}</div></td><td>Today 20 degrees</td></tr></table></body>",
+    f"<body><h2>Our site</h2><span>Log in here</span><div class=x><h1>Head</h1>{ARTICLE}<p>Short.</p></div><div class=y><b>More</b> <i>stuff</i></div></body>",
+    f"<body><div>Menu</div><div>{ARTICLE}<ul><li><a>Read this</a></li><li><a>Read that</a></li><li><a>And this</a></li></ul>{ARTICLE}</div></body>",
+]
+
+
+@pytest.mark.parametrize("k", range(len(PLAIN)))
+def test_ratios_decide(k):
+    head = ["Head"] if k == 2 else []
+    tail = ["Short."] if k == 2 else PARAGRAPHS if k == 3 else []
+    assert htmltext.main_text(PLAIN[k]) == "\n\n".join([*head, *PARAGRAPHS, *tail])
+    assert htmltext.main_text(PLAIN[k], strictness=-1e9) != htmltext.main_text(PLAIN[k])
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "li", "font", "svg", "p"])
+def test_deep_pages(tag):
+    import time
+    import tracemalloc
+
+    def run(n):
+        page = f"<body>{ARTICLE}" + f"<{tag}>x" * n + "</q>" * n
+        tracemalloc.start()
+        began = time.perf_counter()
+        text = htmltext.main_text(page)
+        took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return text, took, peak
+
+    text, took, peak = run(50_000)
+    assert text.startswith(PARAGRAPHS[0]) and took < 30 and peak < 150e6
