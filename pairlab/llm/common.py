@@ -78,9 +78,46 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a text column that a Python worker turns into strings at a time; a bound of memory.
+SLICE_BYTES = 2_000_000
+
+
+def text_slices(batches, column: int = 1):
+    """The record batches cut so that each holds about SLICE_BYTES of its text column, but a text at least.
+
+    Only Arrow's offsets are read for it; strings are made of a slice alone.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        sizes = byte_lengths(b.column(column))
+        part = np.cumsum(sizes) // SLICE_BYTES
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        for lo, hi in zip(starts, [*starts[1:], b.num_rows]):
+            yield b.slice(int(lo), int(hi - lo))
+    pa.default_memory_pool().release_unused()
+
+
+def byte_lengths(texts):
+    """Bytes of each text of an Arrow column; 0 for null."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 _slot: list = []
 
 
+def forget() -> None:
+    """Drops what another operator left in this Python worker."""
+    if _slot:
+        _slot.clear()
+        gc.collect()
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def in_worker(key, make: Callable):
     """make() of the first call with this key, kept between the tasks of a Python worker.
 
@@ -88,9 +125,6 @@ def in_worker(key, make: Callable):
     another don't hold each other's vocabularies.
     """
     if not _slot or _slot[0][0] != key:
-        if _slot:
-            _slot.clear()
-            gc.collect()
-            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+        forget()
         _slot.append((key, make()))
     return _slot[0][1]

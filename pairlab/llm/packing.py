@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import cut
-from pairlab.llm.tokens import encoder, slices
+from pairlab.llm.common import cut, text_slices
+from pairlab.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _RAW = PIECES + ", open boolean"
@@ -61,25 +61,23 @@ def _pack_partition(batches, name: str, capacity: int, limit: int, end_id: int):
         arrays = [pa.array(c, t) for c, t in zip(cols, kinds)] + [pa.array([still_open] * len(rows), pa.bool_())]
         return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in _RAW.split(", ")])
 
-    for b in batches:
-        keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for lo, hi in slices(texts):
-            for key, ids in zip(keys[lo:hi], code.encode([t or "" for t in texts[lo:hi]])):
-                raw = np.append(ids, end_id).astype("<u4").tobytes()
-                total = len(raw) // 4
-                whole = total // capacity * capacity
-                for at in range(0, whole, capacity):
-                    crc = zlib.crc32(raw[4 * at : 4 * (at + capacity)])
-                    done.append((key, at, capacity, crc, total, number, 0))
-                    number += 1
-                if rest := total - whole:
-                    window, offset, emitted = windows.place(rest, number)
-                    number += window == number
-                    windows.pieces[window].append((key, whole, rest, zlib.crc32(raw[4 * whole :]), total, window, offset))
-                    done += emitted
-            if len(done) > 20_000:
-                yield batch(done, False)
-                done = []
+    for b in text_slices(batches):
+        for key, ids in zip(b.column(0).to_pylist(), code.encode([t or "" for t in b.column(1).to_pylist()])):
+            raw = np.append(ids, end_id).astype("<u4").tobytes()
+            total = len(raw) // 4
+            whole = total // capacity * capacity
+            for at in range(0, whole, capacity):
+                crc = zlib.crc32(raw[4 * at : 4 * (at + capacity)])
+                done.append((key, at, capacity, crc, total, number, 0))
+                number += 1
+            if rest := total - whole:
+                window, offset, emitted = windows.place(rest, number)
+                number += window == number
+                windows.pieces[window].append((key, whole, rest, zlib.crc32(raw[4 * whole :]), total, window, offset))
+                done += emitted
+        if len(done) > 5_000:
+            yield batch(done, False)
+            done = []
     yield batch(done, False)
     yield batch([p for own in windows.pieces.values() for p in own], True)
 

@@ -10,8 +10,8 @@ import numpy as np
 from pairlab.llm.common import in_worker
 
 _WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*%$#&|]*)")
-#: Words kept by an encoder; a bound of its memory (about 160 MB), not of what it encodes.
-KEPT_WORDS = 800_000
+#: Words and their characters kept by an encoder; a bound of its memory (about 100 MB), not of what it encodes.
+KEPT_WORDS, KEPT_CHARS = 500_000, 16_000_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -46,13 +46,31 @@ def regular(text: str) -> bool:
     )
 
 
+class Numbered(dict):
+    """Numbers of words in the order of their first lookup; those that are new are collected."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+    def take_new(self) -> list[str]:
+        """The words met since the last call."""
+        new, self.new = self.new, []
+        return new
+
+
 class WordEncoder:
     """Encodes texts to the ids that ``Tokenizer.encode(text, add_special_tokens=False)`` gives.
 
     Byte-level BPE merges nothing across pre-tokens, and a single space or line end between two
     visible characters always begins a pre-token. Texts that have no other white space are cut
     there, each distinct piece is encoded once by the library, and texts are put together from
-    the pieces' ids. Any other text goes through the library whole.
+    the pieces' ids. Any other text goes through the library whole, and so does one that holds the
+    string of an added token, which the library makes one id.
     """
 
     def __init__(self, path: str):
@@ -60,17 +78,18 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.table = _byte_chars()
         self.space = self.table[ord(" ")]
         self.line_end = [t.id for t in self.model.tokenize(self.table[ord("\n")])]
         self.marks: dict[str, list[int]] = {}
-        self.dtype = np.uint16 if self.whole.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self.dtype = _id_type(self.whole)
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbered()
+        self.chars = 0
         self.flat = np.zeros(1 << 16, self.dtype)
         self.ends = np.zeros(1 << 14, np.int64)
         self.used = 0
@@ -100,16 +119,16 @@ class WordEncoder:
             return self.flat[self.ends[at] : self.ends[at + 1]].tolist() + self.marks[marks]
         return self._piece(core) + self.marks[marks]
 
-    def _learn(self, keys: set[str]) -> None:
-        n, used, ends = len(self.known), self.used, []
-        found = []
-        for key in keys:
+    def _learn(self) -> None:
+        """Ids of the words that were met for the first time."""
+        used, ends, found = self.used, [], []
+        for key in self.known.take_new():
             ids = self._ids(key)
             found.extend(ids)
             used += len(ids)
             ends.append(used)
-            self.known[key] = n
-            n += 1
+            self.chars += len(key)
+        n = len(self.known)
         while used > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + 1 > len(self.ends):
@@ -126,7 +145,7 @@ class WordEncoder:
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.zeros(0, self.dtype)
-            elif not regular(text):
+            elif not regular(text) or any(t in text for t in self.added):
                 out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype)
             else:
                 own = ("\x01" + text).replace("\n", " \n").split(" ")
@@ -135,11 +154,11 @@ class WordEncoder:
                 counts.append(len(own))
         if not keys:
             return out
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > KEPT_WORDS or self.chars > KEPT_CHARS:
             self._reset()
-        if new := set(keys).difference(self.known):
-            self._learn(new)
         index = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        if self.known.new:
+            self._learn()
         starts = self.ends[index]
         lengths = self.ends[index + 1] - starts
         before = np.cumsum(lengths) - lengths
@@ -150,18 +169,17 @@ class WordEncoder:
         return out
 
 
+def _id_type(tokenizer) -> type:
+    return np.uint16 if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+
+
+def id_type(name: str) -> type:
+    """The unsigned type that holds a vocabulary's ids."""
+    from tokenizers import Tokenizer
+
+    return _id_type(Tokenizer.from_file(vocabulary_path(name)))
+
+
 def encoder(name: str) -> WordEncoder:
     """The encoder of a vocabulary file, kept by the Python worker between tasks."""
     return in_worker(("encoder", name), lambda: WordEncoder(vocabulary_path(name)))
-
-
-def slices(texts: list[str | None], chars: int = 1_000_000):
-    """(from, to) of runs of texts of about so many characters."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)

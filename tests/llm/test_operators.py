@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and edge cases on small tables."""
 
+import functools
 import random
 import re
 import zlib
@@ -16,12 +17,11 @@ VOCABULARY = "byte_bpe_50k.json"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, shard string, `size` string, sequence_id string"
 
 
+@functools.cache
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.vocabulary_path(VOCABULARY))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.vocabulary_path(VOCABULARY))
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +52,7 @@ def docs(spark, sf_dir):
 
 
 def test_word_encoder_equals_the_library():
-    texts = ["", " a", "a  b", "x\n\ny", "it's don't 'll", "日本 語", "<|endoftext|> a", "a\tb", "\n", "a\nb", "a \nb", "a" * 3000, "1 2 3abc", "é x", "\x1c a", "a\x85b", "ªº × ÷a", "The the, the. The\nthe"]
+    texts = ["", " a", "a  b", "x\n\ny", "it's don't 'll", "日本 語", "<|endoftext|> a", "a<|endoftext|>b", "plain a<|endoftext|>b\nand more", "<|endoftext", "a\tb", "\n", "a\nb", "a \nb", "a" * 3000, "1 2 3abc", "é x", "\x1c a", "a\x85b", "ªº × ÷a", "The the, the. The\nthe"]
     assert [x.tolist() for x in tokens.encoder(VOCABULARY).encode(texts)] == [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
 
 
@@ -176,18 +176,52 @@ def test_token_store_round_trip(spark, edges, edge_rows, none, tmp_path):
     assert tokenstore.stored_digests(none).count() == 0
 
 
-def test_token_store_detects_damage(spark, edges, tmp_path):
+def rewritten(spark, path, change):
+    """The Parquet table at path put in place of itself after change."""
+    import shutil
+
+    change(spark.read.parquet(path)).write.parquet(path + "-new")
+    shutil.rmtree(path)
+    shutil.move(path + "-new", path)
+
+
+def swapped(recipes):
+    """The recipes of documents 5 and 8 exchanged, roots and all."""
+    other = F.when(F.col("doc_id") == 5, 8).when(F.col("doc_id") == 8, 5).otherwise(F.col("doc_id"))
+    moved = recipes.select(other.alias("doc_id"), *[F.col(c).alias(f"{c}_2") for c in ("addresses", "lengths", "root", "n_tokens")])
+    kept = recipes.filter("doc_id IN (5, 8)").drop("addresses", "lengths", "root", "n_tokens").join(moved, "doc_id")
+    return recipes.filter("doc_id IS NULL OR doc_id NOT IN (5, 8)").unionByName(kept.select(*[F.col(c if c in kept.columns else f"{c}_2").alias(c) for c in recipes.columns]))
+
+
+DAMAGE = [
+    ("encoded/kind=chunk", lambda t: t.withColumn("ids", F.concat("ids", F.lit(b"\0\0"))), "match its address"),
+    ("encoded/kind=chunk", lambda t: t.filter(F.hex("address") > "2"), "missing or of another length"),
+    ("documents", lambda t: t.filter("doc_id IS NULL OR doc_id <> 5"), "don't match the manifest"),
+    ("documents", lambda t: t.withColumn("addresses", F.reverse("addresses")), "match its root"),
+    ("documents", swapped, "don't match the manifest"),
+    ("manifest", lambda t: t.withColumn("root", F.when(F.col("part") == 0, F.lit(b"x" * 16)).otherwise(F.col("root"))), "don't match the manifest"),
+    ("manifest", lambda t: t.withColumn("tokens", F.col("tokens") + 1), "don't match the manifest"),
+    ("manifest", lambda t: t.filter("part <> 0"), "don't match the manifest"),
+]
+
+
+@pytest.mark.parametrize("kind", range(len(DAMAGE)))
+def test_token_store_detects_damage(spark, edges, tmp_path, kind):
     path = str(tmp_path / "store")
     tokenstore.write_store(edges, path)
-    bad = spark.read.parquet(f"{path}/encoded/kind=chunk").withColumn("ids", F.concat("ids", F.lit(b"\0\0"))).cache()
-    bad.count()
-    bad.write.mode("overwrite").parquet(f"{path}/encoded/kind=other")
-    import shutil
+    at, change, message = DAMAGE[kind]
+    rewritten(spark, f"{path}/{at}", change)
+    for read in (tokenstore.read_digests, tokenstore.reconstruct):
+        with pytest.raises(Exception, match=message):
+            read(spark, path).collect()
+
 
-    shutil.rmtree(f"{path}/encoded/kind=chunk")
-    shutil.move(f"{path}/encoded/kind=other", f"{path}/encoded/kind=chunk")
-    with pytest.raises(Exception, match="match its address"):
-        tokenstore.read_digests(spark, path).collect()
+def test_token_store_root(spark, edges, tmp_path):
+    path = str(tmp_path / "store")
+    told = tokenstore.write_store(edges, path)
+    assert tokenstore.read_digests(spark, path, root=told["root"]).count() == told["documents"]
+    with pytest.raises(ValueError, match="root"):
+        tokenstore.read_digests(spark, path, root="00" * 16)
 
 
 def test_chunks_follow_content():
@@ -381,6 +415,31 @@ def test_balls_meet(spark, radius):
         assert any(v != w and ((v ^ w) & (2**64 - 1)).bit_count() <= radius for w in values)
 
 
+@pytest.mark.parametrize("radius", [1, 3, 4])
+def test_divided_prefixes(spark, monkeypatch, radius):
+    """A dense cluster below one prefix, divided by further bits and formed in slices, gives the brute-force classes."""
+    monkeypatch.setattr(simhash, "PREFIX_VARIANTS", 20_000)
+    monkeypatch.setattr(simhash, "_VARIANTS", 30_000)
+    rng = random.Random(radius)
+    values = sorted({rng.getrandbits(63) if rng.random() < 0.1 else (5 << 58) ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 6))) for _ in range(500)})
+    values = [v - (1 << 64) if v >> 63 else v for v in values]
+    root = {v: v for v in values}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= radius:
+                a2, b2 = find(a), find(b)
+                root[max(a2, b2)] = min(a2, b2)
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    got = {r.node: r.component for r in graph.components(simhash.links(df, radius=radius, prefix_bits=6)).collect()}
+    assert {v: got.get(v, v) for v in values} == {v: find(v) for v in values}
+
+
 def test_meetings_in_slices(monkeypatch):
     fps = np.random.default_rng(0).integers(0, 2**63, 50).astype(np.uint64)
     fps = np.unique(np.r_[fps, fps ^ np.uint64(5)])
