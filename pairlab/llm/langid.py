@@ -3,14 +3,20 @@
 Each language has a probability for every piece of a public SentencePiece vocabulary. A word (a
 run of letters, lowered, with the word mark before it) has as its probability the sum over all its
 segmentations into pieces, by a forward pass; a text's is the product over its words, and the
-languages' posterior under equal priors gives prediction and score. The piece probabilities are
-fitted by expectation maximisation, with forward and backward passes, on a sample of labelled rows
-of at most ``docs_per_lang`` whole texts a language (those with the smallest id hashes).
+likeliest language is the prediction. The score is the language's posterior, under equal priors, for
+a word of the text's geometric mean probability: a text of many words doesn't drive it to 0 or 1, and
+text that no language explains better than the others scores low at any length.
+
+The piece probabilities are fitted by expectation maximisation, with forward and backward passes, on
+a bounded sample of labelled rows: at most ``docs_per_lang`` whole texts (those with the smallest
+hashes of id and text) of each of the ``max_langs`` languages that have the most labelled rows. Runs of
+over LONGEST letters, as scripts without spaces have them, are cut into such stretches for fitting;
+scoring takes every run whole.
 
 Defined cases: a null text, or one with no letter, is ``und`` with score 0, and so is every text if
-no row is labelled; null labels are not learned from; a null id is never learned from; ties go to
-the language first in code point order; repeated rows get equal results; an empty table gives no
-rows; other columns are not read.
+no row is labelled; null labels are not learned from; a null id is never learned from; a repeated row
+is learned from once; ties go to the language first in code point order; repeated rows get equal
+results; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,16 +29,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import in_worker
-from pairlab.llm.tokens import slices, vocabulary_path
+from pairlab.llm.common import in_worker, text_slices
+from pairlab.llm.tokens import Numbered, vocabulary_path
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
 #: Probability of a single character that is no piece, and the share of unseen pieces' counts.
 _CHARACTER, _UNSEEN = 1e-7, 0.01
-#: Distinct words whose scores a worker keeps; a bound of memory.
-KEPT_WORDS = 400_000
+#: Letters of a stretch that is fitted as a whole.
+LONGEST = 40
+#: Distinct words, and their letters, whose scores a worker keeps; a bound of memory.
+KEPT_WORDS, KEPT_CHARS = 200_000, 8_000_000
 
 
 def words(text: str) -> list[str]:
@@ -93,8 +101,13 @@ def log_scores(pieces: Pieces, probs: np.ndarray, items: list[str]) -> dict[str,
 def fit(pieces: Pieces, counts: dict[str, int], rounds: int) -> np.ndarray:
     """Piece probabilities from word counts: substring counts first, then expectation maximisation."""
     size = len(pieces.number) + 2
-    groups = by_length([_MARK + w for w in counts if len(w) <= 40])
-    weight = {n: np.array([counts[w[1:]] for w in g], float) for n, g in groups.items()}
+    stretches: Counter = Counter()
+    for w, n in counts.items():
+        marked = _MARK + w
+        for at in range(0, len(marked), LONGEST + 1):
+            stretches[marked[at : at + LONGEST + 1]] += n
+    groups = by_length(list(stretches))
+    weight = {n: np.array([stretches[w] for w in g], float) for n, g in groups.items()}
     spans = {n: list(pieces.lattice(g)) for n, g in groups.items()}
 
     def normalised(found: np.ndarray) -> np.ndarray:
@@ -128,21 +141,22 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = "piece_bpe_32k.model", docs_per_lang: int = 400, rounds: int = 3) -> tuple[list[str], np.ndarray]:
+def train(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = "piece_bpe_32k.model", docs_per_lang: int = 400, max_langs: int = 200, rounds: int = 3
+) -> tuple[list[str], np.ndarray]:
     """Languages in code point order, and the matrix (piece, language) of probabilities."""
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    # The ids are chosen first, so that only the chosen texts move.
-    ids = (
-        labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-        .withColumn("k", F.row_number().over(order))
-        .filter(F.col("k") <= docs_per_lang)
-        .select("id", "lang")
-        .distinct()
-    )
-    sample = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).join(
-        F.broadcast(ids), ["id", "lang"]
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h")
     )
+    # At most max_langs rows.
+    most = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not most:
+        return [], np.zeros((0, 0))
+    # A hash bound draws about half as many again as are wanted, so what is ranked doesn't grow with the table.
+    bounds = F.create_map(*[F.lit(x) for r in most for x in (r.lang, min(1.0, (1.5 * docs_per_lang + 60) / r.n))])
+    drawn = labelled.filter(((F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)) <= bounds[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy("h")
+    sample = drawn.groupBy("lang", "h").agg(F.first("text").alias("text")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= docs_per_lang)
 
     def learn(pdf):
         import pandas as pd
@@ -151,9 +165,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         probs = fit(Pieces(vocabulary), counts, rounds)
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "probs": [probs.tolist()]})
 
-    # At most docs_per_lang texts a group.
-    rows = sorted(sample.groupBy("lang").applyInPandas(learn, "lang string, probs array<double>").collect())
-    return [r.lang for r in rows], np.array([r.probs for r in rows]).T if rows else np.zeros((0, 0))
+    # At most max_langs rows of the vocabulary's size, each from docs_per_lang texts at most.
+    rows = sorted(sample.select("lang", "text").groupBy("lang").applyInPandas(learn, "lang string, probs array<double>").collect())
+    return [r.lang for r in rows], np.array([r.probs for r in rows]).T
 
 
 class Scorer:
@@ -164,7 +178,8 @@ class Scorer:
         self._reset()
 
     def _reset(self):
-        self.known: dict[str, int] = {}
+        self.known = Numbered()
+        self.chars = 0
         self.rows = np.zeros((1 << 14, len(self.langs)))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -177,33 +192,33 @@ class Scorer:
             counts.append(len(own))
         if not keys or not self.langs:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > KEPT_WORDS or self.chars > KEPT_CHARS:
             self._reset()
-        if new := list(set(keys).difference(self.known)):
-            scores = log_scores(self.pieces, self.probs, new)
-            n = len(self.known)
-            while n + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            for w, s in scores.items():
-                self.known[w] = n
-                self.rows[n] = s
-                n += 1
         index = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        if new := self.known.take_new():
+            while len(self.known) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.chars += sum(map(len, new))
+            for w, s in log_scores(self.pieces, self.probs, new).items():
+                self.rows[self.known[w]] = s
         counts = np.array(counts)
         filled = np.flatnonzero(counts)
         totals = np.add.reduceat(self.rows[index], (np.cumsum(counts) - counts)[filled], axis=0)
         best = totals.argmax(axis=1)
-        posterior = 1.0 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
+        mean = totals / counts[filled, None]
+        posterior = 1.0 / np.exp(mean - mean.max(axis=1, keepdims=True)).sum(axis=1)
         langs, out = [UNKNOWN] * len(texts), [0.0] * len(texts)
         for i, b, p in zip(filled.tolist(), best.tolist(), posterior.tolist()):
             langs[i], out[i] = self.langs[b], p
         return langs, out
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = "piece_bpe_32k.model", docs_per_lang: int = 400, rounds: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = "piece_bpe_32k.model", docs_per_lang: int = 400, max_langs: int = 200, rounds: int = 3, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Every row with held_out, lang_pred and score; ``keep`` names input columns to carry as kept_<name>."""
-    langs, probs = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, vocabulary=vocabulary, docs_per_lang=docs_per_lang, rounds=rounds)
-    # Languages times the vocabulary's pieces: its size doesn't depend on the corpus.
+    langs, probs = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, vocabulary=vocabulary, docs_per_lang=docs_per_lang, max_langs=max_langs, rounds=rounds)
+    # At most max_langs times the vocabulary's pieces: its size doesn't depend on the corpus.
     model = docs.sparkSession.sparkContext.broadcast((langs, probs))
     key = hash((tuple(langs), probs.tobytes(), vocabulary))
 
@@ -211,13 +226,11 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         scorer = in_worker(("language scorer", key), lambda: Scorer(*model.value, vocabulary))
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in slices(texts):
-                lang, score = scorer.predict(texts[lo:hi])
-                columns = {n: b.column(i).slice(lo, hi - lo) for i, n in enumerate(b.schema.names)}
-                columns |= {f"kept_{text_col}": columns.pop("text"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
-                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+        for b in text_slices(batches, 0):
+            lang, score = scorer.predict(b.column(0).to_pylist())
+            columns = dict(zip(b.schema.names, b.columns))
+            columns |= {f"kept_{text_col}": columns.pop("text"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     source = docs.select(
         F.col(text_col).cast("string").alias("text"),
