@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pairlab.llm import langid, mixing, packing, simhash, substring
 from pairlab.llm.common import written
 
-#: Posterior below which a language prediction is rejected.
-LEAST_SCORE = 0.5
+#: Score (the posterior of a typical word) below which a language prediction is rejected; four languages that explain a text alike give 0.25.
+LEAST_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +20,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; a repeated row stays once, a null id as it is."""
+    """Keeps the document with the smallest id of each group; a repeated row stays once, a null id as it is.
+
+    Of several texts under the smallest id of their group, one stays: that with the smallest fingerprint, then text hash.
+    """
     groups = simhash.near_duplicates(docs.filter("doc_id IS NOT NULL"))
-    first = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if first.filter("rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+    heads = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct("fingerprint", "text_hash")).alias("first"))
+    heads = heads.select(F.col("doc_id").alias("head"), F.col("first.text_hash").alias("head_text"))
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    own = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("head"), F.xxhash64(F.col("text").cast("string")).alias("head_text"), row.alias("row"))
+    kept = own.join(heads, ["head", "head_text"], "left_semi").groupBy("head", "head_text").agg(F.min("row").alias("row")).select("row.*")
     return kept.unionByName(docs.filter("doc_id IS NULL"))
 
 
