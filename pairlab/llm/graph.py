@@ -22,7 +22,8 @@ def components(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
     state = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        # Written first, so that the join is one that Spark may split where a node has many neighbours.
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")))
         large = (
             both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
         )

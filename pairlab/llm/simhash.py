@@ -7,8 +7,9 @@ choose where it is shuffled: a fingerprint is sent once to each prefix that it r
 flips left to it, and its variants below that prefix are formed there. This sends tens of rows a
 fingerprint in place of thousands and yields the same meetings.
 
-Fingerprints that meet on one variant are linked in a chain, not in all pairs; each link is
-verified by its distance. Equal fingerprints are one node from the start.
+Of the fingerprints that meet on one variant each is linked to the one nearest to it, not in all pairs;
+each link is verified by its distance. Equal fingerprints are one node from the start. A prefix that many
+fingerprints reach is divided by further bits, in the same way.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; fewer words
 than a shingle make one shingle; repeated rows and ties share a component, whose id is its
@@ -25,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import cut, shuffle_partitions
+from pairlab.llm.common import bounded_broadcast, cut, forget, text_slices, written
 from pairlab.llm.graph import components
-from pairlab.llm.tokens import slices
 
 #: Hashes whose bits are counted at a time; a bound of memory.
 _HASHES = 200_000
 #: Variants formed at a time in a task; a bound of memory.
-_VARIANTS = 4_000_000
+_VARIANTS = 2_000_000
+#: Variants below a prefix beyond which it is divided, and by how many bits.
+PREFIX_VARIANTS, DIVIDE = 4_000_000, 6
 
 
 def shingle_hashes(text: str, width: int, seed: int) -> list[int]:
@@ -86,17 +88,17 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the 64-bit fingerprint as a signed long."""
+    """(doc_id, text_hash, fp) of every row; fp is the 64-bit fingerprint as a signed long."""
 
     def run(batches):
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                fp = majority([shingle_hashes(t or "", width, seed) for t in texts[lo:hi]])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        forget()
+        for b in text_slices(batches):
+            fp = majority([shingle_hashes(t or "", width, seed) for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return source.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def masks(bits: int, flips: int) -> np.ndarray:
@@ -104,52 +106,81 @@ def masks(bits: int, flips: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for k in range(flips + 1) for c in combinations(range(bits), k)], np.uint64)
 
 
-def meetings(fps: np.ndarray, left: np.ndarray, low: int) -> np.ndarray:
-    """Pairs of places in ``fps`` that meet on a variant with up to ``left`` flips in the lowest ``low`` bits.
+def meeting_slices(fps: np.ndarray, left: np.ndarray, low: int, half: int, reach: int):
+    """Pairs of places in ``fps`` that meet on a variant with up to ``left`` flips in the lowest ``low`` bits, slice by slice.
 
-    Those on one variant are given as a chain. Variants are formed in slices by their lowest bits when they are many.
+    Of the fingerprints on one variant each is paired with the one that flipped the fewest bits, if those are
+    at most ``half`` (two that flipped more meet elsewhere if they are near enough). When variants are many, a
+    slice holds those with equal lowest bits, and only they are formed for it.
     """
     fps = fps & np.uint64((1 << low) - 1)
-    by_left = [(m, np.flatnonzero(left == r)) for r in np.unique(left) for m in [masks(low, int(r))]]
-    total = sum(len(m) * len(i) for m, i in by_left)
+    kinds = [(r, masks(low, int(r)), np.flatnonzero(left == r)) for r in np.unique(left)]
+    total = sum(len(m) * len(i) for _, m, i in kinds)
     slicing = min(low, max(0, (total // _VARIANTS).bit_length()))
-    found = []
+    bottom = np.uint64((1 << slicing) - 1)
+    sorted_kinds = []
+    for r, m, i in kinds:
+        i, ends = i[np.argsort(fps[i] & bottom, kind="stable")], m & bottom
+        by = {int(e): m[ends == e] for e in np.unique(ends)}
+        sorted_kinds.append((r, by, i, fps[i] & bottom))
     for part in range(1 << slicing):
-        values, owners = [], []
-        for m, i in by_left:
-            step = max(1, _VARIANTS // len(m))
-            for at in range(0, len(i), step):
-                v = fps[i[at : at + step], None] ^ m[None, :]
-                o = np.broadcast_to(i[at : at + step, None], v.shape)
-                if slicing:
-                    keep = (v & np.uint64((1 << slicing) - 1)) == part
-                    v, o = v[keep], o[keep]
-                values.append(v.ravel())
-                owners.append(o.ravel())
-        v, o = np.concatenate(values), np.concatenate(owners)
-        order = np.argsort(v)
-        same = np.flatnonzero(v[order[1:]] == v[order[:-1]])
-        if len(same):
-            pairs = np.stack([o[order[same]], o[order[same + 1]]], axis=1)
-            found.append(np.unique(np.sort(pairs, axis=1), axis=0))
+        values, owners, flips = [], [], []
+        for r, by, i, ends in sorted_kinds:
+            for end, m in by.items():
+                lo, hi = np.searchsorted(ends, [np.uint64(part ^ end), np.uint64((part ^ end) + 1)])
+                if lo < hi:
+                    own = i[lo:hi]
+                    v = fps[own, None] ^ m[None, :]
+                    values.append(v.ravel())
+                    owners.append(np.broadcast_to(own[:, None], v.shape).ravel())
+                    flips.append(np.broadcast_to((reach - r + np.bitwise_count(m))[None, :], v.shape).ravel())
+        if not values:
+            continue
+        v, o, f = np.concatenate(values), np.concatenate(owners), np.concatenate(flips)
+        order = np.lexsort((f, v))
+        v, o, f = v[order], o[order], f[order]
+        first = np.maximum.accumulate(np.where(np.r_[True, v[1:] != v[:-1]], np.arange(len(v)), 0))
+        met = np.flatnonzero((first != np.arange(len(v))) & (f[first] <= half))
+        if len(met):
+            yield np.unique(np.sort(np.stack([o[first[met]], o[met]], axis=1), axis=1), axis=0)
+
+
+def meetings(fps: np.ndarray, left: np.ndarray, low: int, half: int | None = None, reach: int | None = None) -> np.ndarray:
+    """All pairs of meeting_slices."""
+    reach = int(left.max(initial=0)) if reach is None else reach
+    found = list(meeting_slices(fps, left, low, reach if half is None else half, reach))
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
-def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Pairs that span the same components, each place with its root."""
-    root = list(range(n))
+class Forest:
+    """Components of places, as the smallest place of each."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def link(self, pairs: np.ndarray) -> None:
+        """Only pairs of places that are still apart are visited one by one."""
+        apart = self.root[pairs]
+        apart = np.unique(apart[apart[:, 0] != apart[:, 1]], axis=0)
+        root = self.root
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
 
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+        for a, b in apart.tolist():
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        while (above := root[root]).tolist() != root.tolist():
+            root[:] = above
 
-    for a, b in pairs.tolist():
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [(i, r) for i in set(pairs.ravel().tolist()) if (r := find(i)) != i]
+    def edges(self) -> np.ndarray:
+        """(place, root) of every place that is no root."""
+        i = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return np.stack([i, self.root[i]], axis=1)
 
 
 def links(distinct: DataFrame, *, radius: int = 4, prefix_bits: int | None = None) -> DataFrame:
@@ -159,43 +190,58 @@ def links(distinct: DataFrame, *, radius: int = 4, prefix_bits: int | None = Non
     n = distinct.count()
     bits = prefix_bits if prefix_bits is not None else max(6, min(24, (max(n, 1) * 2081 // 2_000_000).bit_length()))
     low = 64 - bits
-    top_masks = masks(bits, reach)
-    used = np.array([int(m).bit_count() for m in top_masks], np.int8)
 
-    def emit(batches):
+    def emit(batches, shift: int, width: int):
+        """Each (prefix, fp, used) once for every prefix that is ``width`` bits longer, with the flips that reaching it takes."""
+        own_masks = masks(width, reach)
+        own_flips = np.bitwise_count(own_masks).astype(np.int8)
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            prefix = fp >> np.uint64(low)
-            for at in range(0, len(fp), 10_000):
-                p = (prefix[at : at + 10_000, None] ^ top_masks[None, :]).ravel().astype(np.int32)
-                f = np.repeat(fp[at : at + 10_000], len(top_masks)).view(np.int64)
-                u = np.tile(used, len(p) // len(used))
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(f), pa.array(u)], names=["prefix", "fp", "used"])
-
-    def meet(pdf):
+            for at in range(0, b.num_rows, 10_000):
+                before, fp, used = (c.slice(at, 10_000).to_numpy(zero_copy_only=False) for c in b.columns)
+                place = fp.view(np.uint64) >> np.uint64(shift) & np.uint64((1 << width) - 1)
+                p = (before[:, None] << width) | (place[:, None] ^ own_masks[None, :]).astype(np.int64)
+                u = used[:, None] + own_flips[None, :]
+                there = u <= reach
+                f = np.broadcast_to(fp[:, None], p.shape)[there]
+                yield pa.RecordBatch.from_arrays([pa.array(p[there]), pa.array(f), pa.array(u[there])], names=["prefix", "fp", "used"])
+
+    def meet(pdf, low: int):
         import pandas as pd
 
+        forget()
         fps = pdf["fp"].to_numpy().view(np.uint64)
         order = np.argsort(fps, kind="stable")
         fps, flips = fps[order], pdf["used"].to_numpy()[order]
-        pairs = meetings(fps, reach - flips, low)
-        near = np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius
-        out = np.array(forest(pairs[near], len(fps)), np.int64).reshape(-1, 2)
+        forest = Forest(len(fps))
+        for pairs in meeting_slices(fps, reach - flips, low, half, reach):
+            forest.link(pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius])
+        out = forest.edges()
         signed = fps.view(np.int64)
         return pd.DataFrame({"u": signed[out[:, 0]], "v": signed[out[:, 1]]})
 
-    sent = distinct.select("fp").mapInArrow(emit, "prefix int, fp long, used byte")
-    return sent.groupBy("prefix").applyInPandas(meet, "u long, v long").distinct()
+    rows = "prefix long, fp long, used byte"
+    start = distinct.select(F.lit(0).cast("long").alias("prefix"), "fp", F.lit(0).cast("byte").alias("used"))
+    sent = written(start.mapInArrow(lambda it: emit(it, low, bits), rows), "prefixes")
+    # Prefixes of many variants get DIVIDE further bits; what flips into the same longer prefix meets there.
+    below = F.array(*[F.lit(len(masks(low, reach - used))) for used in range(reach + 1)])
+    many = cut(sent.groupBy("prefix").agg(F.sum(F.get(below, F.col("used").cast("int"))).alias("n")).filter(F.col("n") > PREFIX_VARIANTS).select("prefix"))
+    n_many = many.count()
+    few = sent.join(bounded_broadcast(many, n_many), "prefix", "left_anti")
+    divided = sent.join(bounded_broadcast(many, n_many), "prefix").select("prefix", "fp", "used").mapInArrow(lambda it: emit(it, low - DIVIDE, DIVIDE), rows)
+    edges = "u long, v long"
+    met = few.groupBy("prefix").applyInPandas(lambda pdf: meet(pdf, low), edges)
+    return met.unionByName(divided.groupBy("prefix").applyInPandas(lambda pdf: meet(pdf, low - DIVIDE), edges)).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row; see the module for the cases."""
+    """(doc_id, fingerprint, component_id, text_hash) of every row; text_hash is Spark's xxhash64 of the text."""
     if radius < 0 or radius > 6:
         raise ValueError("radius must be from 0 to 6")
     fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, seed=seed))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = components(links(distinct, radius=radius))
     classed = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("class"))
-    ids = classed.groupBy("class").agg(F.min("first_id").alias("component_id"))
+    # Written first, so that the join is one that Spark may split where a class is large.
+    ids = cut(classed.groupBy("class").agg(F.min("first_id").alias("component_id")))
     of_fp = cut(classed.join(ids, "class").select("fp", "component_id"))
-    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
