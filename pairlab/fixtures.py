@@ -81,11 +81,16 @@ def intraday_panel(spark: SparkSession, sf_dir: str, *, bar_minutes: int = 120)
     events = _table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("symbol"), "value")
     whole = events.agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.count(F.lit(1)).alias("n"))
     scored = events.crossJoin(F.broadcast(whole)).withColumn("e", (F.col("value") - F.col("m")) / F.col("s"))
-    common = F.sum("e").over(Window.partitionBy().orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    # A running sum in two levels, within days and over the days' sums, so that no task holds all events.
+    scored = scored.withColumn("session", F.to_date("ts"))
+    per_day = scored.groupBy("session").agg(F.sum("e").alias("day_sum"))
+    before = per_day.select("session", F.coalesce(F.sum("day_sum").over(Window.orderBy("session").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("days_before"))
+    scored = scored.join(before, "session")
+    common = F.col("days_before") + F.sum("e").over(Window.partitionBy("session").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
     own = F.avg("e").over(Window.partitionBy("symbol").orderBy("ts", "event_id").rowsBetween(-99, 0))
     minute = F.hour("ts") * 60 + F.minute("ts")
     priced = scored.select(
-        "symbol", F.to_date("ts").alias("session"), F.floor(minute / bar_minutes).cast("int").alias("bar"), "ts", "event_id",
+        "symbol", "session", F.floor(minute / bar_minutes).cast("int").alias("bar"), "ts", "event_id",
         F.round(F.exp(F.ln(F.lit(100.0)) + 0.2 * common / F.sqrt("n") + 0.3 * own), 10).alias("price"),
     )
     return priced.groupBy("symbol", "session", "bar").agg(
@@ -106,7 +111,7 @@ f1 AS (
 F2_SQL = f"""f2k AS (
   SELECT p_brand AS symbol, {SECTOR_SQL.format('p_brand')} AS sector, l_discount + l_tax AS u, l_quantity,
     row_number() OVER (PARTITION BY p_brand ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k
-  FROM lineitem JOIN part ON l_partkey = p_partkey QUALIFY k <= 2600
+  FROM lineitem JOIN part ON l_partkey = p_partkey
 ), f2w AS (SELECT avg(u) AS mu, stddev_samp(u) AS su FROM f2k),
 f2e AS (SELECT symbol, sector, k, l_quantity, (u - mu) / su AS e FROM f2k, f2w),
 f2t AS (

@@ -27,9 +27,9 @@ def query(sql: str | None = None):
 
 
 def num(c: Column | str, digits: int = 6) -> Column:
-    """Rounded, and null for NaN, so that two engines agree."""
+    """Rounded, null for NaN and without a negative zero, so that two engines agree."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(F.when(~F.isnan(c), c), digits)
+    return F.round(F.when(~F.isnan(c), c), digits) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -371,7 +371,7 @@ def structural_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAIR_SQL = F2_SQL + """, pp AS (
   SELECT a.symbol || '~' || b.symbol AS pair, a.date, a.close AS y, b.close AS x FROM f2 a JOIN f2 b ON a.sector = b.sector AND a.date = b.date AND a.symbol < b.symbol
-), hr AS (SELECT pair, round(regr_intercept(ln(y), ln(x)), 10) AS alpha, round(regr_slope(ln(y), ln(x)), 10) AS beta, count(*) AS n_obs FROM pp GROUP BY pair),
+), hr AS (SELECT pair, regr_intercept(ln(y), ln(x)) AS alpha, regr_slope(ln(y), ln(x)) AS beta, count(*) AS n_obs FROM pp GROUP BY pair),
 sp AS MATERIALIZED (
   SELECT pair, date, beta, round(ln(y) - beta * ln(x) - alpha, 10) AS spread, row_number() OVER (PARTITION BY pair ORDER BY date) AS k FROM pp JOIN hr USING (pair)
 )"""
@@ -387,7 +387,7 @@ def same_sector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_spreads(spark: SparkSession, sf_dir: str, *, digits: int | None = 10) -> DataFrame:
     """(pair, date, alpha, beta, spread) with coefficients of the whole sample; machines run on rounded spreads."""
     aligned = cointegration.aligned_pairs(f2(spark, sf_dir), same_sector_pairs(spark, sf_dir)).select("pair", "date", "y", "x")
-    fit = cointegration.hedge_ratios(aligned, ["pair"]).select("pair", F.round("alpha", 10).alias("alpha"), F.round("beta", 10).alias("beta"), "n_obs")
+    fit = cointegration.hedge_ratios(aligned, ["pair"])
     value = signals.spread(F.col("y"), F.col("x"), F.col("beta"), F.col("alpha"))
     return aligned.join(fit, "pair").select("pair", "date", "alpha", "beta", "n_obs", (value if digits is None else F.round(value, digits)).alias("spread"))
 
@@ -396,7 +396,7 @@ def pair_spreads(spark: SparkSession, sf_dir: str, *, digits: int | None = 10) -
 def ols_hedge_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = cointegration.aligned_pairs(f2(spark, sf_dir), same_sector_pairs(spark, sf_dir)).select("pair", "date", "y", "x")
     fit = cointegration.hedge_ratios(aligned, ["pair"])
-    return rounded(rounded(fit, 10))
+    return rounded(fit)
 
 
 @query("WITH " + PAIR_SQL + """, lg AS (SELECT pair, spread AS s, lag(spread) OVER (PARTITION BY pair ORDER BY date) AS p FROM sp),
@@ -411,10 +411,10 @@ def half_life_ar1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + PAIR_SQL + """, n AS (SELECT pair, count(*) AS n FROM sp GROUP BY pair HAVING count(*) >= 20),
 l AS MATERIALIZED (SELECT pair, list(spread ORDER BY k) AS s FROM sp GROUP BY pair),
 d AS (
-  SELECT pair, t, ln(stddev_pop(s[i + t] - s[i])) AS ls FROM (SELECT l.pair, t.t, l.s, unnest(range(1, n.n - t.t + 1)) AS i FROM l JOIN n USING (pair) JOIN range(2, 21) t(t) ON t.t <= n.n // 2) GROUP BY 1, 2
+  SELECT pair, t, ln(stddev_pop(s[i + t] - s[i])) AS ls FROM (SELECT l.pair, t.t, l.s, unnest(range(1, n.n - t.t + 1)) AS i FROM l JOIN n USING (pair) JOIN range(2, 101) t(t) ON t.t <= n.n // 2) GROUP BY 1, 2
 ) SELECT pair, round(regr_slope(ls, ln(t)), 5) AS hurst FROM d GROUP BY pair HAVING count(*) >= 4""")
 def hurst_exponent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cointegration.hurst_exponent(pair_spreads(spark, sf_dir), ["pair"], "date", max_lag=20), 5)
+    return rounded(cointegration.hurst_exponent(pair_spreads(spark, sf_dir), ["pair"], "date"), 5)
 
 
 DF_SQL = "WITH " + PAIR_SQL + """, d AS (SELECT pair, lag(spread) OVER w AS l, spread - lag(spread) OVER w AS s FROM sp WINDOW w AS (PARTITION BY pair ORDER BY date)),
@@ -444,10 +444,8 @@ def engle_granger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_table(daily: DataFrame) -> DataFrame:
-    """Folds that fit the fixture at each of its sizes."""
-    n = daily.select("date").distinct().count()
-    prior, train, test = (504, 504, 252) if n > 1500 else (40, 40, 20)
-    return calendars.build_folds(daily, prior=prior, train=train, test=test)
+    """Two years before, two years of training and a year of test."""
+    return calendars.build_folds(daily, prior=504, train=504, test=252)
 
 
 def _cointegrated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -486,7 +484,7 @@ def resolve_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_PAIR_SQL = PAIR_SQL.replace("round(ln(y) - beta * ln(x) - alpha, 10) AS spread", "ln(y) - beta * ln(x) - alpha AS spread")
 
 
-@query("WITH " + RAW_PAIR_SQL + "SELECT pair, date, round(spread, 6) AS spread FROM sp")
+@query("WITH " + RAW_PAIR_SQL + "SELECT pair, date, round(spread, 6) + 0.0::DOUBLE AS spread FROM sp")
 def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pair_spreads(spark, sf_dir, digits=None).select("pair", "date", "spread"))
 
@@ -502,14 +500,14 @@ def pair_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("z", F.round("z", 8))
 
 
-@query("WITH " + RAW_PAIR_SQL + """SELECT pair, date, CASE WHEN count(*) OVER w >= 60 AND stddev_samp(spread) OVER w > 0 THEN round((spread - avg(spread) OVER w) / stddev_samp(spread) OVER w, 5) END AS z
+@query("WITH " + RAW_PAIR_SQL + """SELECT pair, date, CASE WHEN count(*) OVER w >= 60 AND stddev_samp(spread) OVER w > 0 THEN round((spread - avg(spread) OVER w) / stddev_samp(spread) OVER w, 4) + 0.0::DOUBLE END AS z
   FROM sp WINDOW w AS (PARTITION BY pair ORDER BY date ROWS 59 PRECEDING)""")
 def rolling_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = signals.rolling_z(pair_spreads(spark, sf_dir, digits=None), ["pair"], "date")
-    return scored.select("pair", "date", num("z", 5).alias("z"))
+    return scored.select("pair", "date", num("z", 4).alias("z"))
 
 
-@query("WITH " + RAW_PAIR_SQL + """SELECT pair, date, round(m - 2 * s, 6) AS lower, round(m, 6) AS roll_mean, round(m + 2 * s, 6) AS upper FROM (
+@query("WITH " + RAW_PAIR_SQL + """SELECT pair, date, round(m - 2 * s, 6) + 0.0::DOUBLE AS lower, round(m, 6) + 0.0::DOUBLE AS roll_mean, round(m + 2 * s, 6) + 0.0::DOUBLE AS upper FROM (
   SELECT pair, date, CASE WHEN count(*) OVER w >= 60 THEN avg(spread) OVER w END AS m, CASE WHEN count(*) OVER w >= 60 THEN stddev_samp(spread) OVER w END AS s
   FROM sp WINDOW w AS (PARTITION BY pair ORDER BY date ROWS 59 PRECEDING))""")
 def rolling_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -572,6 +570,7 @@ def _trades(run: DataFrame) -> DataFrame:
 
 
 def _per_pair(run: DataFrame) -> DataFrame:
+    run = materialized(run)  # returns and trades both read it
     moved = backtest.position_returns(run, ["pair"], "date")
     return backtest.deduct_costs(moved, _trades(run), ["pair"], "date", F.col("cost_log"))
 
@@ -638,6 +637,5 @@ def walkforward_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     daily = materialized(f2(spark, sf_dir))
     folds = materialized(fold_table(daily))
-    short = folds.count() and daily.select("date").distinct().count() <= 1500
-    run = walk_forward(daily, fixtures.sectors(spark, sf_dir), folds, window=10 if short else 60, min_overlap=30)
+    run = walk_forward(daily, fixtures.sectors(spark, sf_dir), folds, min_overlap=30)
     return rounded(run["portfolio"])
