@@ -88,11 +88,15 @@ def erfi(x: np.ndarray | float) -> np.ndarray:
 def bertram_thresholds(sigma_eq: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """The entry distance a that maximises (a - cost) over the mean cycle length; NaN if there is none.
 
+    A null deviation (a refused fit) gives NaN; with a deviation, a cost that is negative or not finite raises.
+
     At the maximum erfi(u) = (a - c) 2 / sqrt(pi) exp(u^2) / (sigma_eq sqrt 2) with u = a / (sigma_eq sqrt 2);
     the difference of the sides falls through zero once above c.
     """
     sigma_eq, cost = np.broadcast_arrays(np.asarray(sigma_eq, float), np.asarray(cost, float))
     with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        if np.any(np.isfinite(sigma_eq) & (~np.isfinite(cost) | (cost < 0))):
+            raise ValueError("costs must be finite and not negative")
         root2 = sigma_eq * math.sqrt(2.0)
 
         def excess(a):  # scaled by exp(-u^2), which keeps it finite

@@ -33,6 +33,11 @@ def calendar_audit(daily: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
+def days_per_year(calendar: DataFrame) -> DataFrame:
+    """(year, n_days) of a trading calendar."""
+    return calendar.groupBy(F.year("date").alias("year")).agg(F.count_distinct("date").alias("n_days"))
+
+
 def numbered_days(days: DataFrame) -> DataFrame:
     """(date, i): distinct dates counted from 0; a calendar has thousands of rows, so one task orders it."""
     return days.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)

@@ -110,9 +110,13 @@ def benjamini_hochberg(tests: DataFrame, *, alpha: float = DEFAULTS.fdr_alpha, p
 def candidates(daily: DataFrame, sectors: DataFrame, windows: DataFrame, *, threshold: float = DEFAULTS.correlation_threshold, max_gap: int = DEFAULTS.max_gap_days) -> DataFrame:
     """(fold_id, sym1, sym2, sector, corr) of the correlation screen on every window of ``windows(fold_id, train_start, train_end)``.
 
-    Windows are few; prices meet them in one range join, and all screens run as one aggregation.
+    The universe are the symbols of the sector table that are no share-class duplicates, by ISIN too if it
+    has that column; others have no say in which dates are complete. Windows are few; prices meet them in
+    one range join, and all screens run as one aggregation.
     """
-    allowed = daily.filter(~is_share_class_duplicate(F.col("symbol")))
+    isin = F.col("isin") if "isin" in sectors.columns else None
+    known = sectors.filter(~F.coalesce(is_share_class_duplicate(F.col("symbol"), isin), F.lit(False)))
+    allowed = daily.join(known.select("symbol").distinct(), "symbol", "left_semi")
     span = windows.select("fold_id", "train_start", "train_end")
     rows = allowed.select("symbol", "date", "close").join(span, F.col("date").between(F.col("train_start"), F.col("train_end")))
     order = Window.partitionBy("fold_id", "symbol").orderBy("date")
@@ -125,7 +129,7 @@ def candidates(daily: DataFrame, sectors: DataFrame, windows: DataFrame, *, thre
     returns = gapped.join(ok.select("fold_id", "symbol"), ["fold_id", "symbol"], "left_semi").filter("log_ret IS NOT NULL").select("fold_id", "symbol", "date", "log_ret")
     n = ok.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n_symbols"))
     full = returns.groupBy("fold_id", "date").agg(F.count(F.lit(1)).alias("n")).join(n, "fold_id").filter("n = n_symbols").select("fold_id", "date")
-    both = returns.join(full, ["fold_id", "date"], "left_semi").join(sectors.filter("sector IS NOT NULL").select("symbol", "sector"), "symbol")
+    both = returns.join(full, ["fold_id", "date"], "left_semi").join(known.filter("sector IS NOT NULL").select("symbol", "sector"), "symbol")
     a = both.select("fold_id", "sector", "date", F.col("symbol").alias("sym1"), F.col("log_ret").alias("r1"))
     b = both.select("fold_id", "sector", "date", F.col("symbol").alias("sym2"), F.col("log_ret").alias("r2"))
     per = a.join(b, ["fold_id", "sector", "date"]).filter("sym1 < sym2").groupBy("fold_id", "sym1", "sym2", "sector").agg(F.covar_pop("r1", "r2").alias("c"), F.stddev_pop("r1").alias("s1"), F.stddev_pop("r2").alias("s2"))
@@ -170,6 +174,12 @@ def cointegrate(
     )
 
 
+def ranked(tested: DataFrame) -> DataFrame:
+    """A candidate table in report order: tradeable pairs first, then by p-value, then by name; rank counts from 1 in each fold."""
+    order = Window.partitionBy("fold_id").orderBy(F.coalesce(is_tradeable(), F.lit(False)).desc(), F.col("adf_pvalue").asc_nulls_last(), "sym1", "sym2")
+    return tested.withColumn("rank", F.row_number().over(order))
+
+
 def is_tradeable() -> Column:
     """All flags; without a prior window its flag is not asked for."""
     return F.col("fdr_pass") & F.col("half_life_in_band") & F.col("hurst_pass") & F.coalesce(F.col("stable_prior_window"), F.lit(True))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairlab.checkpoints import materialized
 from pairlab.operators import backtest, signals
 from pairlab.params import DEFAULTS
 
@@ -58,7 +59,8 @@ def run_cells(bars: DataFrame, plans: DataFrame, keys: list[str], order: str, da
         for mode, stop in (("none", None), ("hard", hard_stop)):
             rows = each.filter((F.col("regime") == regime) & (F.col("stop_mode") == mode))
             session = dict(session="session", tradeable="tradeable") if regime == "A" else {}
-            run = signals.ou_signals(rows, own, order, entry="a_z", max_holding="max_holding", hard_stop=stop, **session)
+            # Trades and returns both read it.
+            run = materialized(signals.ou_signals(rows, own, order, entry="a_z", max_holding="max_holding", hard_stop=stop, **session))
             done = backtest.trades(run, own, order, carry=("z_ou", date, "cost_log"), finalize=regime == "B")
             moved = backtest.position_returns(run, own, order, session="session" if regime == "A" else None)
             net = backtest.deduct_costs(moved, done, own, order, F.col("exit_cost_log"))

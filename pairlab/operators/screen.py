@@ -69,6 +69,12 @@ def screen_pairs(daily: DataFrame, sectors: DataFrame, start, end, *, threshold:
     return pair_correlations(chosen.filter("log_ret IS NOT NULL"), sectors).filter(F.col("corr") > threshold)
 
 
+def ranked_pairs(correlations: DataFrame) -> DataFrame:
+    """Pairs in report order: the highest correlation first, then by name; rank counts from 1 in each sector."""
+    order = Window.partitionBy("sector").orderBy(F.col("corr").desc_nulls_last(), "sym1", "sym2")
+    return correlations.withColumn("rank", F.row_number().over(order))
+
+
 def is_share_class_duplicate(symbol: Column, isin: Column | None = None, *, listed: tuple[str, ...] = SHARE_CLASS_DUPLICATES, suffix: str = "DVR", country: str = "INE") -> Column:
     """Listed, or ends with the suffix, or has an ISIN of another kind than the country's shares."""
     s = F.upper(symbol)

@@ -12,13 +12,15 @@ from pairlab.params import DEFAULTS
 NULLS = ("", "NA", "NaN", "null")
 DAILY_NAME = r"^([A-Z0-9&\-]+)$"
 MINUTE_NAME = r"^([A-Z0-9&\-]+)_minute-data\.csv$"
+SKIPPED = ("sbin", "NSE_Instruments_23June2021")
 _TEXT = "date string, open string, high string, low string, close string, volume string"
 
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
-    """All fields as text with the file's name and a row id that rises within each file."""
+    """All fields as text with the file's name and a line that rises within each file."""
     rows = spark.read.schema(_TEXT).option("header", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.csv").csv(path)
-    return rows.select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    line = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))  # pieces of a file may be read in any order
+    return rows.select("*", F.col("_metadata.file_name").alias("file"), line.alias("line"))
 
 
 def _number(c: str, kind: str = "double") -> F.Column:
@@ -26,15 +28,15 @@ def _number(c: str, kind: str = "double") -> F.Column:
     return F.when(~blank, F.expr(f"try_cast(trim({c}) AS {kind})"))
 
 
-def read_daily(spark: SparkSession, path: str, *, skip: tuple[str, ...] = ("SBIN", "INSTRUMENT_MASTER")) -> DataFrame:
+def read_daily(spark: SparkSession, path: str, *, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
     """(symbol, date, open, high, low, close, volume, zero_volume_flag) of a folder.
 
     The date is the local one, the first 10 characters. Rows with a null or negative price go, null
-    volume is 0, and of rows with one date the last of the file stays. Files named in ``skip`` or
-    with other characters are no symbols.
+    volume is 0, and of rows with one date the last of the file stays. Files whose name without
+    ending is in ``skip``, in these very letters, or has other characters are no symbols.
     """
-    symbol = F.upper(F.regexp_replace("file", r"(?i)\.csv$", ""))
-    rows = _raw(spark, path).withColumn("symbol", symbol).filter(F.col("symbol").rlike(DAILY_NAME) & ~F.col("symbol").isin(*skip))
+    stem = F.regexp_replace("file", r"\.csv$", "")
+    rows = _raw(spark, path).withColumn("symbol", F.upper(stem)).filter(F.col("symbol").rlike(DAILY_NAME) & ~stem.isin(*skip))
     typed = rows.select("symbol", F.expr("try_to_date(substring(date, 1, 10), 'yyyy-MM-dd')").alias("date"), *[_number(c).alias(c) for c in ("open", "high", "low", "close", "volume")], "line")
     good = drop_bad_prices(typed.filter("date IS NOT NULL"))
     return zero_volume_flag(deduplicate(good, ["symbol", "date"], [F.col("line")]).drop("line"))
@@ -69,7 +71,48 @@ def universe_mismatch(found: DataFrame, expected: DataFrame) -> DataFrame:
     return a.join(b, "symbol", "left_anti").withColumn("side", F.lit("found")).unionByName(b.join(a, "symbol", "left_anti").withColumn("side", F.lit("expected")))
 
 
-def key_gates(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row (n_rows, max_group, strictly_increasing, min_order, max_order)."""
+def require_universe(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """found, if it has the expected symbols and no others; else ValueError names some."""
+    if wrong := universe_mismatch(found, expected).orderBy("side", "symbol").limit(10).collect():
+        raise ValueError(f"symbols differ, among them {[(r.symbol, r.side) for r in wrong]}")
+    return found
+
+
+def require_rows(rows: DataFrame, what: str = "rows") -> DataFrame:
+    """rows, if there are any; else ValueError."""
+    if not rows.limit(1).count():
+        raise ValueError(f"no {what} were read")
+    return rows
+
+
+def key_gates(rows: DataFrame, keys: list[str], order: str, line: str | None = None) -> DataFrame:
+    """One row (n_rows, max_group, strictly_increasing, min_order, max_order).
+
+    With ``line``, the column that gives the rows' order, strictly_increasing tells that ``order`` rises in it;
+    a table without an order of its own rises strictly if no value repeats.
+    """
     per = rows.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.sum("n").alias("n_rows"), F.max("n").alias("max_group"), (F.max("n") <= 1).alias("strictly_increasing"), F.min(order).alias("min_order"), F.max(order).alias("max_order"))
+    gates = per.agg(F.sum("n").alias("n_rows"), F.max("n").alias("max_group"), (F.max("n") <= 1).alias("strictly_increasing"), F.min(order).alias("min_order"), F.max(order).alias("max_order"))
+    if line is None:
+        return gates
+    falls = F.lag(order).over(Window.partitionBy(*keys).orderBy(line)) >= F.col(order)
+    rises = rows.select(falls.alias("falls")).agg((F.count_if("falls") == 0).alias("rises"))
+    return gates.crossJoin(F.broadcast(rises)).withColumn("strictly_increasing", F.col("strictly_increasing") & F.col("rises")).drop("rises")  # one row each
+
+
+def require_gates(minute: DataFrame, *, full: int = DEFAULTS.bars_per_session, start: str | None = None, end: str | None = None) -> DataFrame:
+    """minute, if it passes the gates after ingest; else ValueError tells the first that fails.
+
+    No time repeats within a symbol, no day has over ``full`` bars, and all dates lie within [start, end].
+    """
+    gates = key_gates(minute, ["symbol"], "timestamp").first()
+    if not gates.n_rows:
+        raise ValueError("no rows")
+    if not gates.strictly_increasing:
+        raise ValueError("times repeat within a symbol")
+    per_day = minute.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.min("date").cast("string").alias("lo"), F.max("date").cast("string").alias("hi")).first()
+    if per_day.n > full:
+        raise ValueError(f"a day has {per_day.n} bars, over {full}")
+    if start and per_day.lo < start or end and per_day.hi > end:
+        raise ValueError(f"dates from {per_day.lo} to {per_day.hi} leave [{start}, {end}]")
+    return minute

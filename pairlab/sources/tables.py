@@ -32,10 +32,11 @@ def read_leg(spark: SparkSession, root: str, symbols: list[str], start: str, end
 
     years = list(range(int(start[:4]), int(end[:4]) + 1))
     rows = spark.read.parquet(root).filter(F.col("symbol").isin(*symbols) & F.col("year").isin(*years))
+    rows = rows.withColumn("line", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id")))
     local = F.from_utc_timestamp(F.to_utc_timestamp("timestamp", F.current_timezone()), zone)
     minute = F.hour(local) * 60 + F.minute(local)
     inside = rows.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")) & minute.between(open_minute, close_minute))
-    return deduplicate(inside.withColumn("line", F.monotonically_increasing_id()), ["symbol", "timestamp"], [F.col("line")], keep="first").drop("line")
+    return deduplicate(inside, ["symbol", "timestamp"], [F.col("line")], keep="first").drop("line")
 
 
 def write_minute(bars: DataFrame, path: str) -> None:
