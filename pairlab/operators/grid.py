@@ -22,6 +22,21 @@ def cells(spark: SparkSession, *, freqs=(1, 5, 15), costs=DEFAULTS.spread_ladder
     return spark.sql(f"SELECT * FROM VALUES {rows} AS cells(cell_id, engine, freq_min, regime, spread_bps, stop_mode)")
 
 
+def smoke_cells(spark: SparkSession) -> DataFrame:
+    """The one cell of a first trial."""
+    return cells(spark, freqs=(5,), costs=(3.0,), regimes=("A",), hard_stop=None)
+
+
+def reduced_cells(spark: SparkSession) -> DataFrame:
+    """The eight cells of one frequency, without the stop ablation."""
+    return cells(spark, freqs=(5,), hard_stop=None)
+
+
+def rolling_cells(spark: SparkSession, *, freqs=(5, 15), costs=DEFAULTS.spread_ladder_bps) -> DataFrame:
+    """The sixteen cells of the rolling baseline."""
+    return cells(spark, freqs=freqs, costs=costs, hard_stop=None).withColumn("engine", F.lit("rolling"))
+
+
 def exit_name(reason="exit_reason"):
     """The export name of an exit reason; unknown ones are __OTHER__."""
     names = F.create_map(*[F.lit(x) for kv in EXIT_NAMES.items() for x in kv])

@@ -81,3 +81,25 @@ def stage_funnel(counts: DataFrame, by: list[str], stages: list[str]) -> DataFra
 def union_metrics(tables: list[DataFrame]) -> DataFrame:
     """Tables of metrics one under another; columns that one lacks are null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def with_markers(rows: DataFrame, trades: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows with entry_direction, exit_reason_at and trade_no where a trade begins or ends, null elsewhere.
+
+    A bar on which one trade ends and another begins has one row, with both.
+    """
+    begins = trades.select(*keys, F.col(f"entry_{order}").alias(order), F.col("direction").alias("entry_direction"), F.col("trade_no").alias("entry_trade"))
+    ends = trades.select(*keys, F.col(f"exit_{order}").alias(order), exit_name().alias("exit_reason_at"), F.col("trade_no").alias("exit_trade"))
+    return rows.join(begins, [*keys, order], "left").join(ends, [*keys, order], "left")
+
+
+def latest(cached: DataFrame, key: list[str], written: str) -> DataFrame:
+    """Of the rows of each key the one that was written last."""
+    order = Window.partitionBy(*key).orderBy(F.col(written).desc())
+    return cached.withColumn("n__", F.row_number().over(order)).filter("n__ = 1").drop("n__")
+
+
+def density(histogram: DataFrame, width: float) -> DataFrame:
+    """A histogram (bin, n) with its density: shares divided by the bins' width."""
+    total = histogram.agg(F.sum("n").alias("total"))  # one row
+    return histogram.crossJoin(F.broadcast(total)).withColumn("density", F.try_divide(F.col("n") / width, F.col("total"))).drop("total")
