@@ -26,12 +26,16 @@ from pairlab.llm.vectors import against, finite, matrix, query_blocks
 
 INDEX = "dim int, shard int, members binary, data binary, edges binary, entry int"
 #: Shards at least, if each has this many rows, and rows of a shard at most, about.
-SHARDS, LEAST_ROWS, SHARD_ROWS = 12, 500, 65_536
-_BATCH = 256
+SHARDS, LEAST_ROWS, SHARD_ROWS = 6, 1000, 65_536
+#: Rows that search together, and nodes whose edges each follows in a step.
+_BATCH, EXPAND = 256, 4
 
 
 def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, squared distances) of a beam for each row of q, nearest first; -1 where there is none."""
+    """(nodes, squared distances) of a beam for each row of q, nearest first; -1 where there is none.
+
+    All queries step together; a step follows the edges of the EXPAND nearest nodes of each beam that it has not followed.
+    """
     n, m = len(x), len(q)
     norms = np.einsum("ij,ij->i", x, x)
     beam = np.full((m, width), -1, np.int32)
@@ -39,31 +43,39 @@ def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, wid
     done = np.ones((m, width), bool)
     beam[:, 0], done[:, 0] = entry, False
     far[:, 0] = norms[entry] - 2 * (q @ x[entry])
-    seen = np.zeros((m, n), bool)
-    seen[:, entry] = True
+    seen = np.full((m, n), -1, np.int32)
+    seen[:, entry] = 0
     live = np.arange(m)
-    while len(live):
-        open_far = np.where(done[live], np.inf, far[live])
-        at = open_far.argmin(axis=1)
-        has = np.isfinite(open_far[np.arange(len(live)), at])
-        live, at = live[has], at[has]
+    wide = min(EXPAND, width)
+    while True:
+        open_far = np.where(done[live], np.float32(np.inf), far[live])
+        if wide < width:
+            at = np.argpartition(open_far, wide - 1, axis=1)[:, :wide]
+        else:
+            at = np.broadcast_to(np.arange(width), (len(live), width))
+        some = np.isfinite(np.take_along_axis(open_far, at, axis=1))
+        has = some.any(axis=1)
+        live, at, some = live[has], at[has], some[has]
         if not len(live):
             break
-        done[live, at] = True
-        nbrs = edges[beam[live, at]]
-        fresh = (nbrs >= 0) & ~seen[live[:, None], nbrs]
-        rows, cols = np.nonzero(fresh)
-        if not len(rows):
-            continue
+        r, c = np.nonzero(some)
+        done[live[r], at[r, c]] = True
+        nbrs = np.where(some[:, :, None], edges[np.take_along_axis(beam[live], at, axis=1)], -1).reshape(len(live), -1)
+        rows, cols = np.nonzero(nbrs >= 0)
         to = nbrs[rows, cols]
-        seen[live[rows], to] = True
+        new = seen[live[rows], to] < 0
+        rows, cols, to = rows[new], cols[new], to[new]
+        place = np.arange(len(to), dtype=np.int32)
+        seen[live[rows], to] = place
+        once = seen[live[rows], to] == place  # a node that two edges of a step reach counts once
+        rows, cols, to = rows[once], cols[once], to[once]
         d = np.full(nbrs.shape, np.inf, np.float32)
         d[rows, cols] = norms[to] - 2 * np.einsum("ij,ij->i", x[to], q[live[rows]])
         all_d = np.concatenate([far[live], d], axis=1)
         top = np.argpartition(all_d, width - 1, axis=1)[:, :width]
         far[live] = np.take_along_axis(all_d, top, axis=1)
         beam[live] = np.take_along_axis(np.concatenate([beam[live], nbrs], axis=1), top, axis=1)
-        done[live] = np.take_along_axis(np.concatenate([done[live], ~fresh], axis=1), top, axis=1)
+        done[live] = np.take_along_axis(np.concatenate([done[live], ~np.isfinite(d)], axis=1), top, axis=1)
     order = np.argsort(far, axis=1, kind="stable")
     beam, far = np.take_along_axis(beam, order, axis=1), np.take_along_axis(far, order, axis=1)
     return np.where(np.isfinite(far), beam, -1), far + np.einsum("ij,ij->i", q, q)[:, None]
@@ -92,7 +104,7 @@ def prune(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int,
     return out
 
 
-def build_graph(x: np.ndarray, *, degree: int = 32, width: int = 64, alpha: float = 1.2, seed: int = 5) -> tuple[np.ndarray, int]:
+def build_graph(x: np.ndarray, *, degree: int = 24, width: int = 48, alpha: float = 1.2, seed: int = 5) -> tuple[np.ndarray, int]:
     """(edges, entry) over the rows of x, which differ from each other."""
     n = len(x)
     entry = int(np.square(x - x.mean(axis=0)).sum(axis=1).argmin())
@@ -113,17 +125,21 @@ def build_graph(x: np.ndarray, *, degree: int = 32, width: int = 64, alpha: floa
         to, of = kept[rows, cols], new[rows]
         by = np.argsort(to, kind="stable")
         to, of = to[by], of[by]
-        starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
-        for a, b in zip(starts, np.r_[starts[1:], len(to)]):
-            t, more = to[a], of[a:b]
-            have = edges[t, : count[t]]
-            both = np.unique(np.r_[have, more])
-            if len(both) > slack:
-                both = prune(x, np.array([t]), both[None, :], degree, alpha)[0]
-                both = both[both >= 0]
-            edges[t] = -1
-            edges[t, : len(both)] = both
-            count[t] = len(both)
+        nth = np.arange(len(to)) - np.searchsorted(to, to)
+        room = count[to] + nth < slack
+        edges[to[room], count[to[room]] + nth[room]] = of[room]
+        np.add.at(count, to[room], 1)
+        # Nodes without room for all of theirs are pruned, together, from what they have and what is left.
+        over, place = np.unique(to[~room], return_inverse=True)
+        if len(over):
+            rest = nth[~room] - np.minimum.reduceat(nth[~room], np.flatnonzero(np.r_[True, place[1:] != place[:-1]]))[place]
+            pool = np.full((len(over), slack + int(rest.max()) + 1), -1, np.int32)
+            pool[:, :slack] = edges[over]
+            pool[place, slack + rest] = of[~room]
+            fewer = prune(x, over, pool, degree, alpha)
+            edges[over] = -1
+            edges[over, :degree] = fewer
+            count[over] = (fewer >= 0).sum(axis=1)
         done += step
     return edges, entry
 
@@ -141,7 +157,7 @@ def _classes(valid: DataFrame, members: int) -> DataFrame:
     return hashed.groupBy(*key).agg(F.first("vec").alias("vec")).join(few, key)
 
 
-def build_index(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", members: int = 21, degree: int = 32, width: int = 64, alpha: float = 1.2) -> DataFrame:
+def build_index(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", members: int = 21, degree: int = 24, width: int = 48, alpha: float = 1.2) -> DataFrame:
     """The index table: one row a shard, with its vectors, members and graph."""
     valid = usable(rows, id_col, vec_col)
     classes = cut(_classes(valid, members).withColumn("dim", F.size("vec")))
@@ -162,8 +178,8 @@ def build_index(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embe
         return pd.DataFrame({"dim": [x.shape[1]], "shard": [int(pdf["shard"].iloc[0])], "members": [np.c_[(ids >= 0).sum(axis=1), ids].astype(np.int64).tobytes()], "data": [x.tobytes()], "edges": [edges.tobytes()], "entry": [entry]})
 
     sharded = classes.withColumn("shard", F.pmod(F.xxhash64("h2", "h1"), F.lit(shards)).cast("int"))
-    # A fixed number of tasks: shards are small in bytes and long in work.
-    sharded = sharded.repartition(max(2 * shards, 1), "dim", "shard")
+    # A task a shard: shards are small in bytes and long in work.
+    sharded = sharded.repartitionByRange(shards, "dim", "shard")
     return written(sharded.groupBy("dim", "shard").applyInPandas(build, INDEX), "ann-index")
 
 
@@ -175,8 +191,13 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
-def search(index: DataFrame, rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, members: int = 21, width: int = 128, query_rows: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score) of about the k best other rows of each query."""
+def search(index: DataFrame, rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, members: int = 21, width: int = 32, query_rows: int = 2048) -> DataFrame:
+    """(query_id, rank, vec_id, score) of about the k best other rows of each query.
+
+    Shards hold random parts of the rows, so that a shard's beam needs ``width`` and its share of what k asks for.
+    """
+    shards = max(1, index.count())  # a row a shard
+    width = width + -(-4 * k // shards)
     queries, n_blocks = query_blocks(usable(rows.filter(is_query), id_col, vec_col), query_rows)
     pairs = against(queries, index, n_blocks)
 

@@ -1,15 +1,16 @@
 """Exact top-k by integer inner product with a three-phase uniform threshold.
 
 The dimensions are dealt to ``nodes``; a node's score of a pair is its part of the inner product.
-First, each node of each block of candidates gives the k entries that it scores highest; their
-whole scores are gathered, and the k-th best of a query is its cutoff: no better row can be below
-it. Second, the cutoff goes back to all blocks, and each node collects the entries that it scores
+First, each node of one block of candidates in FIRST gives the k entries that it scores highest; their
+whole scores are gathered, and the k-th best of a query is its cutoff: k rows reach it, so none of the best
+is below it, whichever blocks gave it. Second, the cutoff goes back to all blocks, and each node collects the entries that it scores
 at least cutoff / nodes; a pair that no node collects is below the cutoff. Third, the collected
 entries' remaining parts are added and those not below the cutoff compete, at most k a block.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part;
 only vectors of one dimension are compared; ties go to the smaller id; repeated rows compete each
-on its own, but a row with the query's id never does; fewer candidates than k give fewer rows; an
+on its own, but a row with the query's id never does; query rows with one id are one query, for which a
+candidate competes with its score for each of them; fewer candidates than k give fewer rows; an
 empty table gives none; other columns are not read. Scores past a long raise.
 """
 
@@ -25,6 +26,8 @@ from pairlab.llm.vectors import against, finite, matrix, packed, query_blocks
 
 _FOUND = "q_block long, query_id long, vec_id long, score long"
 _CHUNK = 128
+#: One block of so many, of each partition and dimension, sets the cutoffs.
+FIRST = 8
 
 
 def _whole(x: np.ndarray, scale: int) -> np.ndarray:
@@ -96,9 +99,12 @@ def top_k(
     valid = rows.filter(finite(F.col(vec_col))).filter(F.col(id_col).isNotNull())
     pair = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec")]
     queries, n_blocks = query_blocks(valid.filter(is_query).select(*pair), query_rows)
-    blocks = cut(packed(valid.select(*pair), block_rows).select("dim", "ids", "data"))
+    # The lowest 24 bits of a block's number count within its partition.
+    blocks = cut(packed(valid.select(*pair), block_rows).select("dim", "ids", "data", F.col("block").bitwiseAND(F.lit((1 << 24) - 1)).alias("number")))
 
-    gathered = against(queries, blocks, n_blocks).mapInArrow(lambda it: _search(it, k, nodes, scale, False), _FOUND)
+    some = blocks.filter(F.col("number") % FIRST == 0).drop("number")
+    blocks = blocks.drop("number")
+    gathered = against(queries, some, n_blocks).mapInArrow(lambda it: _search(it, k, nodes, scale, False), _FOUND)
     best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     kth = (
         gathered.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -67,12 +69,17 @@ def matrix(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def against(queries: DataFrame, blocks: DataFrame, n_query_blocks: int) -> DataFrame:
     """Each block of the stated queries (its columns named q_*) beside each row of ``blocks`` of its dimension.
 
-    Query blocks within QUERY_BYTES, as measured, are broadcast; beyond it they are shuffled to copies of the blocks.
+    Query blocks are broadcast, as many at a time as are within QUERY_BYTES as measured; the blocks are read once for each such part.
     """
     q = queries.select("dim", *[F.col(c).alias("q_" + c.removeprefix("q_")) for c in queries.columns if c != "dim"])
-    size = q.agg(F.coalesce(F.sum(F.octet_length("q_data") + F.octet_length("q_ids")), F.lit(0))).first()[0]
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query_blocks - 1).cast("long"))).alias("q_block")
-    return blocks.select(every, "*").join(F.broadcast(q) if size <= QUERY_BYTES else q, ["q_block", "dim"])
+    largest = q.groupBy("q_block").agg(F.sum(F.octet_length("q_data") + F.octet_length("q_ids")).alias("n")).agg(F.max("n")).first()[0] or 1
+    step = max(1, QUERY_BYTES // largest)
+    parts = []
+    for lo in range(0, n_query_blocks, step):
+        hi = min(lo + step, n_query_blocks) - 1
+        every = F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long"))).alias("q_block")
+        parts.append(blocks.select(every, "*").join(F.broadcast(q.filter(F.col("q_block").between(lo, hi))), ["q_block", "dim"]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def query_blocks(rows: DataFrame, per_block: int) -> tuple[DataFrame, int]:
