@@ -3,7 +3,8 @@
 A record's key is -ln(u) / quality, with u a uniform number from the hash of its id, text size and
 seed, so the smallest keys are a sample without replacement weighted by quality. Each source takes
 whole epochs first, then the records with the smallest keys until their prefix-summed sizes come
-nearest to what its target still lacks.
+nearest to what its target still lacks: whole records are taken, so a source's taken words differ from
+its target by at most half the size of the record at the edge.
 
 The prefix sum of a source is taken in two levels, for one source may hold most rows: keys fall
 into buckets of u's order, bucket sums are added up in order, and only the bucket in which the
@@ -85,7 +86,7 @@ def mix(
     ratio: float = 1.5,
     limit: int = 2,
     seed: int = 17,
-    buckets: int = 4096,
+    bucket_rows: int = 4096,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Every row with size, source_size, target, copies and taken = copies * size.
@@ -104,6 +105,8 @@ def mix(
         *[F.col(c).alias(f"kept_{c}") for c in keep],
     )
     rows = keyed if keep else cut(keyed)
+    # As many buckets as hold about bucket_rows records each, so that what is sorted doesn't grow with the table.
+    buckets = max(256, (docs if keep else rows).count() // bucket_rows)
     # Buckets keep the order of the keys: 1 - exp(-key) rises from 0 to 1 with it.
     bucket = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("es_key"))) * buckets), F.lit(buckets - 1)).cast("int")
     rows = rows.withColumn("bucket", bucket)

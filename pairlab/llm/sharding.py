@@ -3,7 +3,7 @@
 A record's key is the hash of its text, so equal texts are neighbours. Splitters are weighted
 quantiles of a size-weighted sample of keys; they cut the keys into ranges. A range with more
 rows than a task should hold is subdivided by linear interpolation of the key, and a subdivision
-that one key overfills by the hash of the record's id. Exact sums over the pieces, in order, then
+that one key overfills by the hash of the record's row number, for records may repeat in full. Exact sums over the pieces, in order, then
 give every record its place in the whole; the shard is the one that the record's middle byte falls
 into, so shards differ by about one record. Equal texts that weigh at most ``whole_group`` of a
 shard keep together: the middle of the group decides for all of them.
@@ -51,6 +51,7 @@ def shard(
             (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("key"),
+            F.xxhash64(F.monotonically_increasing_id()).alias("row"),  # tells rows apart that are equal in all else
         )
     )
     rows, total = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -61,7 +62,7 @@ def shard(
 
     # A record is drawn with a chance in proportion to its size, and those sure to be drawn weigh what they hold.
     share = F.lit(float(SAMPLES_PER_RANGE * ranges)) * F.col("size") / F.lit(float(total))
-    drawn = base.filter(_unit(F.xxhash64(F.lit(1), "doc_id", "key")) < share).select(
+    drawn = base.filter(_unit(F.xxhash64(F.lit(1), "row")) < share).select(
         "key", F.ceil(F.greatest(share, F.lit(1.0))).cast("long").alias("weight")
     )
     points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
@@ -77,16 +78,17 @@ def shard(
     plan = per_range.select("range", low.alias("low"), high.alias("high"), F.ceil(F.col("n") / F.lit(cap)).cast("int").alias("cuts"))
     inside = F.floor((F.col("key").cast("double") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1.0)) * F.col("cuts"))
     fine = ranged.join(bounded_broadcast(plan, ranges), "range").select(
-        "doc_id", "size", "text_crc32", "key", "range", F.least(F.greatest(inside, F.lit(0)), F.col("cuts") - 1).cast("int").alias("sub")
+        "doc_id", "size", "text_crc32", "key", "row", "range", F.least(F.greatest(inside, F.lit(0)), F.col("cuts") - 1).cast("int").alias("sub")
     )
     per_fine = fine.groupBy("range", "sub").agg(F.count(F.lit(1)).alias("n"))
     salts = per_fine.select("range", "sub", F.ceil(F.col("n") / F.lit(2 * cap)).cast("int").alias("salts")).filter("salts > 1")
     n_fine = rows // cap + ranges + 1
     pieces = (
         fine.join(bounded_broadcast(salts, n_fine), ["range", "sub"], "left")
-        .withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("salts"))).otherwise(F.lit(0)).cast("int"))
+        .withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.col("row"), F.col("salts"))).otherwise(F.lit(0)).cast("int"))
         .drop("salts")
     )
+    pieces = pieces.drop("row")
     piece = ["range", "sub", "salt"]
     sums = pieces.groupBy(*piece).agg(F.sum("size").alias("bytes"))
     in_order = Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
