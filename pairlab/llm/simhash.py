@@ -234,7 +234,10 @@ def links(distinct: DataFrame, *, radius: int = 4, prefix_bits: int | None = Non
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id, text_hash) of every row; text_hash is Spark's xxhash64 of the text."""
+    """(doc_id, fingerprint, component_id, text_hash, component) of every row.
+
+    text_hash is Spark's xxhash64 of the text; component tells groups apart whose smallest ids are equal.
+    """
     if radius < 0 or radius > 6:
         raise ValueError("radius must be from 0 to 6")
     fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, seed=seed))
@@ -243,5 +246,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classed = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("class"))
     # Written first, so that the join is one that Spark may split where a class is large.
     ids = cut(classed.groupBy("class").agg(F.min("first_id").alias("component_id")))
-    of_fp = cut(classed.join(ids, "class").select("fp", "component_id"))
-    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+    of_fp = cut(classed.join(ids, "class").select("fp", "component_id", F.col("class").alias("component")))
+    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "component")
