@@ -23,10 +23,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document with the smallest id of each group; a repeated row stays once, a null id as it is.
 
     Of several texts under the smallest id of their group, one stays: that with the smallest fingerprint, then text hash.
+    Texts of different groups stay each, even under one id.
     """
     groups = simhash.near_duplicates(docs.filter("doc_id IS NOT NULL"))
-    heads = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct("fingerprint", "text_hash")).alias("first"))
-    heads = heads.select(F.col("doc_id").alias("head"), F.col("first.text_hash").alias("head_text"))
+    heads = groups.groupBy("component").agg(F.min(F.struct("doc_id", "fingerprint", "text_hash")).alias("first"))
+    heads = heads.select(F.col("first.doc_id").alias("head"), F.col("first.text_hash").alias("head_text"))
     row = F.struct(*[F.col(c) for c in docs.columns])
     own = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("head"), F.xxhash64(F.col("text").cast("string")).alias("head_text"), row.alias("row"))
     kept = own.join(heads, ["head", "head_text"], "left_semi").groupBy("head", "head_text").agg(F.min("row").alias("row")).select("row.*")
