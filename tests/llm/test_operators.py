@@ -266,6 +266,20 @@ def test_sharding_splits_a_hot_group(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 0.25 * max(sizes.values()) and len(got) == 3000
 
 
+def test_sharding_splits_full_repeats(spark):
+    """Rows that are equal in every column, and rows without an id, are still spread over shards and tasks."""
+    same = spark.range(4000).selectExpr("7 AS doc_id", "'the very same row' AS text")
+    rows = same.union(spark.range(2000).selectExpr("CAST(NULL AS LONG)", "'no id, one text'")).union(spark.range(2000).selectExpr("id + 100", "concat('text ', id)"))
+    got = sharding.shard(rows, shards=10, rows_per_piece=100).collect()
+    assert len(got) == 8000
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r)
+    sizes = [sum(r["size"] for r in s) for s in slots.values()]
+    assert len(slots) == 10 and max(sizes) - min(sizes) <= 0.1 * max(sizes)
+    assert all(sorted(r.slot for r in s) == list(range(len(s))) for s in slots.values())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>";</script></head><body>
 <header class="site"><a href="/">Home</a> Welcome, dear reader.</header><nav><ul><li><a>One</a><li><a>Two</a></ul></nav>
 <div class="cookie-notice">We use cookies, as all do, and we like them very much indeed.</div>
@@ -508,6 +522,183 @@ def test_repeated_passages_of_documents(spark, docs):
     assert want and len(want - got) <= 0.03 * len(want)
 
 
+@pytest.mark.parametrize("search", ["top_k", "ann"])
+def test_ties_and_repeated_ids(spark, search):
+    """Ties go to smaller ids; rows with one id are one query and candidates each on its own."""
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(100, [2.0, 0.0])] * 3 + [(200, [1.0, 0.0]), (200, [0.0, 3.0]), (300, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    if search == "top_k":
+        got = topk.top_k(df, F.col("vec_id").isin(5, 200), scale=1, k=6)
+    else:
+        got = ann.search(ann.build_index(df), df, F.col("vec_id") == 5, k=6)
+    found = defaultdict(list)
+    for r in got.orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert found[5] == [(1, 100, 2), (2, 100, 2), (3, 100, 2), (4, 0, 1), (5, 1, 1), (6, 2, 1)]
+    if search == "top_k":
+        assert [s for _, _, s in found[200]] == [3, 2, 2, 2, 1, 1] and found[200][0][1] == 300
+
+
+def test_queries_in_parts(spark, monkeypatch):
+    """Queries beyond what may be broadcast are sent in parts, with the same results."""
+    from pairlab.llm import vectors as packs
+
+    df, _ = vectors(spark, 200)
+    search = lambda: sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 3 == 0, block_rows=64, query_rows=8).collect())
+    whole = search()
+    monkeypatch.setattr(packs, "QUERY_BYTES", 3000)
+    assert search() == whole
+
+
+def test_em_counts_are_those_of_all_segmentations():
+    """One round of the fit against expected piece counts summed over every segmentation."""
+    pieces = langid.Pieces.__new__(langid.Pieces)
+    pieces.number = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "ba"])}
+    pieces.longest, pieces.absent, pieces.other = 2, 6, 7
+    counts = {"ab": 3, "ba": 2, "abab": 1, "xa": 1}
+
+    def split(w):
+        if not w:
+            yield []
+        for k in (1, 2):
+            p = w[:k]
+            if len(p) == k and (p in pieces.number or k == 1):
+                for rest in split(w[k:]):
+                    yield [p, *rest]
+
+    def normalised(found):
+        found = np.array([found[p] for p in pieces.number]) + langid._UNSEEN
+        return dict(zip(pieces.number, found / found.sum()))
+
+    spans = Counter()
+    for w, n in counts.items():
+        m = "▁" + w
+        spans.update({p: 0 for p in pieces.number})
+        for i in range(len(m)):
+            for k in (1, 2):
+                if m[i : i + k] in pieces.number and i + k <= len(m):
+                    spans[m[i : i + k]] += n
+    probs = normalised(spans)
+    assert langid.fit(pieces, counts, 0)[:-2] == pytest.approx(list(probs.values()))
+    for _ in range(2):
+        expected = Counter({p: 0.0 for p in pieces.number})
+        for w, n in counts.items():
+            ways = [(s, np.prod([probs.get(p, langid._CHARACTER) for p in s])) for s in split("▁" + w)]
+            total = sum(q for _, q in ways)
+            for s, q in ways:
+                for p in s:
+                    if p in pieces.number:
+                        expected[p] += n * q / total
+        probs = normalised(expected)
+    assert langid.fit(pieces, counts, 2)[:-2] == pytest.approx(list(probs.values()))
+
+
+def test_language_learns_from_runs_without_spaces(spark):
+    """Two languages whose texts are single runs of hundreds of letters, an id on all rows of one, and more languages than are learned."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        lang, letters = (("ja", "あいうえお"), ("zh", "的一是不了"))[i % 2]
+        rows.append((7 if lang == "ja" and i % 3 else i, "".join(rng.choice(letters) for _ in range(rng.randint(60, 400))), lang))
+    rows += [(1000 + i, f"rare words here {i}", "xx") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = langid.identify(df, keep=("lang",), max_langs=2).collect()
+    assert all(r.lang_pred == r.kept_lang for r in told if r.kept_lang != "xx") and {r.lang_pred for r in told} == {"ja", "zh"}
+    assert langid.train(df)[0] == ["ja", "xx", "zh"]
+
+
+def test_tuned_bands():
+    assert substring.tuned(0.8, 0.98) == 4 and substring.tuned(1.0, 0.99) == 1
+    for b in (1, 2, 3):
+        assert 1 - (1 - 0.64) ** b < 0.98
+
+
+def test_without_ignores_what_lies_beyond():
+    assert substring.without("a b", [(5, 20)]) == "a b" and substring.without("a b c", [(1, 9)]) == "a" and substring.without("", [(0, 3)]) == ""
+    assert substring.without("a b c d", [(0, 2), (1, 2)]) == "d"
+
+
+def test_similar_lines_against_brute_force(spark):
+    """Lines with interior edits: nearly all pairs of a Jaccard similarity of 0.8 or more end in one component."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    texts = []
+    for group in range(40):
+        base = [word() for _ in range(rng.randint(60, 140))]
+        for _ in range(6):
+            own = list(base)
+            for _ in range(rng.choice((0, 1, 1, 2, 2, 3))):
+                k = rng.randrange(len(own))
+                own[k : k + 1] = rng.choice(([word()], [], [own[k], word()]))
+            texts.append((group, " ".join([word() for _ in range(30)]) + "\n" + " ".join(own) + "\n" + " ".join(word() for _ in range(30))))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = [(i, texts[k][1]) for i, k in enumerate(order)]
+    sets = {i: {tuple(w[j : j + 5]) for w in [t.split("\n")[1].split()] for j in range(len(w) - 4)} for i, t in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = substring.places(substring.taking_part(df, "doc_id", "text"), 11, 24, 4, 2).filter("n IS NOT NULL").cache()
+    assert found.count() == 3 * len(docs)
+    line = {(r.doc_id, r.place): r.band_key for r in found.collect()}
+    middle = {i: line[i, 30] for i, _ in docs}
+    classes = found.groupBy(F.col("band_key").alias("class")).agg(F.min(F.struct("doc_id", "place", "n")).alias("line"), F.max("doc_id").alias("last_doc"), F.count("*").alias("docs"), F.first("bands").alias("bands")).select("class", "line.*", "last_doc", "docs", "bands")
+    pairs = {(r.u, r.v) for r in substring.line_pairs(classes, 0.8).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    of = {c: i for i, c in middle.items()}
+    for u, v in pairs:
+        if u in of and v in of:
+            a, b = sets[of[u]], sets[of[v]]
+            if len(a & b) >= 0.8 * len(a | b):
+                root[find(u)] = find(v)
+    want = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    hit = sum(find(middle[i]) == find(middle[j]) for i, j in want)
+    assert len(want) > 200 and hit >= 0.97 * len(want)
+    kept = {}
+    for r in substring.repeated_spans(df).collect():
+        kept.setdefault(r.doc_id, []).append((r.start_word, r.n_words))
+    later = {max(p) for p in want}
+    assert sum(i in kept for i in later) >= 0.98 * len(later)
+
+
+def test_a_hot_group_of_near_copies(spark):
+    """600 edits of one line are found without forming their pairs."""
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(600):
+        own = list(base)
+        own[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = substring.places(df, 11, 24, 4, 2).filter("n IS NOT NULL")
+    classes = found.groupBy(F.col("band_key").alias("class")).agg(F.min(F.struct("doc_id", "place", "n")).alias("line"), F.max("doc_id").alias("last_doc"), F.count("*").alias("docs"), F.first("bands").alias("bands")).select("class", "line.*", "last_doc", "docs", "bands")
+    assert substring.line_pairs(classes, 0.8).count() <= 600 * 4 * (substring.SIDE + 1)
+    got = {r.doc_id: r.n for r in substring.repeated_spans(df).groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()}
+    assert len(got) >= 590 and min(got.values()) >= 90
+
+
+def test_texts_under_one_id(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, passage + " one"), (2, "start here " + passage), (2, "short"), (2, "start here " + passage), (3, None), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' AS spans", "'t' AS span_doc", "'u' AS span_text")
+    spans = substring.repeated_spans(df)
+    cut = substring.remove_spans(df, spans)
+    assert cut.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in cut.collect())
+    least = min((("short", 1), ("start here " + passage, 2)), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t[0]))).first()[0])
+    whole = Counter((i, t) for i, t in rows)
+    if least[0] == "short":
+        assert got == whole
+    else:
+        whole[2, "start here " + passage] -= 2  # one line, near enough to the kept one to go whole
+        assert got == +whole
+
+
 def test_op8_matches_sql(spark, sf_dir):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")

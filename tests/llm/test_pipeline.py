@@ -42,3 +42,22 @@ def test_registered(spark):
     names = set(queries.queries())
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "SimHash near-dedup", "substring dedup", "mixing", "packing"]
+
+
+def test_odd_tables(spark, sf_dir, tmp_path):
+    """An empty table, very long texts, and ids under which different texts stand."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    few = docs.limit(40)
+    long = few.limit(1).selectExpr("700001L AS doc_id", "repeat(concat(text, ' '), 400) AS text", "lang", "source", "n_chars")
+    other = few.selectExpr("doc_id", "concat('another text altogether, number ', doc_id, ' of the very same id') AS text", "lang", "source", "n_chars")
+    for name, table in (("none", docs.limit(0)), ("odd", few.unionByName(long).unionByName(other).unionByName(few))):
+        now = table
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{name}-{k}")
+            stage(spark, now, sf_dir).write.parquet(path)
+            now = spark.read.parquet(path)
+            if k == 1:
+                assert now.groupBy("doc_id").count().filter("count > 2").count() == 0
+                once = now.groupBy("doc_id", "text").count().filter("count > 1").count()
+                assert once == 0
+        assert (now.count() == 0) == (name == "none")
