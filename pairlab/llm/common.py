@@ -39,7 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     where = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    found = df.checkpoint(eager=True)
+    _free_shuffles(spark)
+    return found
+
+
+def _free_shuffles(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of finished queries once the driver's JVM has collected their plans; asks it to."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -64,9 +71,19 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: for wide rows, where checkpoint() is bulky."""
-    path = new_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _free_shuffles(spark)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing will read again."""
+    for t in tables:
+        remove(t.sparkSession, t.written_at)
 
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -79,7 +96,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 #: Bytes of a text column that a Python worker turns into strings at a time; a bound of memory.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def text_slices(batches, column: int = 1):
@@ -97,6 +114,7 @@ def text_slices(batches, column: int = 1):
         for lo, hi in zip(starts, [*starts[1:], b.num_rows]):
             yield b.slice(int(lo), int(hi - lo))
     pa.default_memory_pool().release_unused()
+    _trim()
 
 
 def byte_lengths(texts):
@@ -110,12 +128,17 @@ def byte_lengths(texts):
 _slot: list = []
 
 
+def _trim() -> None:
+    """Gives freed memory back to the machine, where the C library can."""
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def forget() -> None:
     """Drops what another operator left in this Python worker."""
     if _slot:
         _slot.clear()
         gc.collect()
-        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+        _trim()
 
 
 def in_worker(key, make: Callable):

@@ -40,7 +40,7 @@ _CHARACTER, _UNSEEN = 1e-7, 0.01
 #: Letters of a stretch that is fitted as a whole.
 LONGEST = 40
 #: Distinct words, and their letters, whose scores a worker keeps; a bound of memory.
-KEPT_WORDS, KEPT_CHARS = 200_000, 8_000_000
+KEPT_WORDS, KEPT_CHARS = 350_000, 12_000_000
 
 
 def words(text: str) -> list[str]:
@@ -180,7 +180,7 @@ class Scorer:
     def _reset(self):
         self.known = Numbered()
         self.chars = 0
-        self.rows = np.zeros((1 << 14, len(self.langs)))
+        self.rows = np.zeros((1 << 14, len(self.langs)), np.float32)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         keys, counts = [], []

@@ -10,8 +10,8 @@ import numpy as np
 from pairlab.llm.common import in_worker
 
 _WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*%$#&|]*)")
-#: Words and their characters kept by an encoder; a bound of its memory (about 100 MB), not of what it encodes.
-KEPT_WORDS, KEPT_CHARS = 500_000, 16_000_000
+#: Words and their characters kept by an encoder; a bound of its memory (about 80 MB), not of what it encodes.
+KEPT_WORDS, KEPT_CHARS = 400_000, 12_000_000
 
 
 def vocabulary_path(name: str) -> str:
