@@ -9,7 +9,7 @@ from pairlab.checkpoints import materialized
 from pairlab.fixtures import F2_SQL
 from pairlab.operators import backtest, calendars, grid, intraday, reports, screen, signals, two_regime
 from pairlab.plans import intraday as bars
-from pairlab.plans.daily import f2, num, query, rounded
+from pairlab.plans.daily import f2, metrics_sql, num, query, rounded
 from pairlab.plans.intraday import BANDS, KEYS, PS_B, SB_SQL, TR_B, W_SQL, spread_bars
 
 
@@ -107,10 +107,52 @@ def stage_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.stage_funnel(counts, ["cell_id"], ["n_total", "n_excluded_no_reversion", "n_excluded_hl_band", "n_excluded_infeasible", "n_survivors"])
 
 
-@query()
+def _regime_sql(regime: str) -> str:
+    """Metrics of one regime in DuckDB: windows of 24 bars, the first bar of a session without z, tests from session 10 on, 72 bars at most."""
+    a = regime == "A"
+    z = bars.z_sql("PARTITION BY y_sym, x_sym ORDER BY t ROWS 23 PRECEDING", 10, 24)
+    scored = SB_SQL + f""", zb AS MATERIALIZED (
+  SELECT * REPLACE (CASE WHEN place > 1 THEN z END AS z) FROM (SELECT *, {z} AS z, row_number() OVER (PARTITION BY y_sym, x_sym, session ORDER BY t) AS place FROM sb) WHERE session_no >= 10 AND beta >= 0
+)"""
+    machine = bars.machine_sql("zb", bars.A_GROUP if a else bars.B_GROUP, "1.5", bars.ROLL_EXITS.replace("h >= 20", "h >= 72"), 1, "h + 1", True).replace("greatest(h, since)", "h")
+    run = scored + machine + (bars.CLOSE_A if a else bars.CLOSE_B) + bars.trade_sql(not a, a) + bars.RS_SQL.removeprefix(TR_B)
+    port = run + f", pt AS (SELECT '{regime}' AS regime, spread_bps, session, avg(net) AS net FROM rs GROUP BY 2, 3) "
+    return "SELECT * FROM (WITH RECURSIVE " + port + metrics_sql("pt", "regime, spread_bps", "session", "net", 6) + ")"
+
+
+@query(_regime_sql("A") + " UNION ALL " + _regime_sql("B"))
 def two_regime_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialized(spread_bars(spark, sf_dir).withColumn("in_test", F.col("session_no") >= 10))
     folds = rows.select(*KEYS, "beta").distinct().filter("beta >= 0").drop("beta").join(rows.select(*KEYS, "beta").distinct(), KEYS).withColumn("half_life", F.lit(2.0))
     sized = two_regime.bar_windows(folds, bars=12, freq=1)
     run = two_regime.run(rows.drop("beta"), sized, KEYS, "t", "session", ladder=backtest.cost_ladder(spark), warmup=1, entry=1.5)
     return rounded(run["metrics"])
+
+
+def _cell_sql(regime: str, hard: bool) -> str:
+    """Cells of one regime and stop in DuckDB, with thresholds of 1.2 deviations, 20 bars at most and a stop at 1.8."""
+    a = regime == "A"
+    kept = bars.ZOU_SQL + ", zk AS MATERIALIZED (SELECT * FROM zo WHERE beta >= 0)"
+    machine = bars.machine_sql("zk", bars.A_GROUP if a else bars.B_GROUP, "1.2", bars.OU_HARD if hard else bars.OU_EXITS, 0, "since + 1", False)
+    run = kept + machine + (bars.OU_CLOSE_A if a else bars.CLOSE_B) + bars.trade_sql(not a, a) + bars.RS_SQL.removeprefix(TR_B)
+    port = ", pt AS MATERIALIZED (SELECT spread_bps, session, avg(gross) AS gross, avg(net) AS net FROM rs GROUP BY 1, 2)"
+    gross, net = (f"({metrics_sql('pt', 'spread_bps', 'session', v, 6)})" for v in ("gross", "net"))
+    exits = ", ".join(f"count_if(exit_reason = '{k}')::BIGINT AS exit_{v}" for k, v in (("mean_revert", "mean_revert"), ("z_stop", "z_stop"), ("time_stop", "time_stop"), ("session_close", "eod_squareoff"), ("fold_boundary", "fold_close")))
+    counts = f"(SELECT count(*) AS n_trades, {exits}, (SELECT count(*) FROM (SELECT DISTINCT y_sym, x_sym FROM rs)) AS n_pairs FROM tr)"
+    return f"""SELECT * FROM (WITH RECURSIVE {run}{port} SELECT '{regime}' AS regime, g.spread_bps, '{'hard' if hard else 'none'}' AS stop_mode, c.*, g.n AS n_sessions,
+      g.total_pct AS gross_total_pct, n.total_pct AS net_total_pct, n.sharpe AS net_sharpe, n.max_drawdown_pct AS net_max_drawdown_pct
+    FROM {gross} g JOIN {net} n ON g.spread_bps = n.spread_bps, {counts} c{' WHERE g.spread_bps = 3' if hard else ''})"""
+
+
+@query(" UNION ALL ".join(_cell_sql(r, h) for h in (False, True) for r in ("A", "B")))
+def grid_fixed_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's cells with given thresholds in place of solved ones."""
+    rows = materialized(bars.ou_bars(spark, sf_dir).filter("beta >= 0"))
+    cells = grid.cells(spark, freqs=(1,))
+    plans = rows.select(*KEYS, "beta").distinct().crossJoin(F.broadcast(cells))  # ten cells
+    cost = backtest.pair_cost(F.col("beta"), backtest.leg_bps(F.col("spread_bps")))
+    plans = plans.select(*KEYS, "cell_id", "regime", "stop_mode", F.lit(1.2).alias("a_z"), F.lit(20).alias("max_holding"), cost.alias("cost_log"), F.lit(None).cast("string").alias("exclusion_reason"))
+    trades, sessions = grid.run_cells(rows, plans, KEYS, "t", "session", hard_stop=1.8)
+    table = grid.cell_metrics(cells, trades, sessions.withColumn("pair", F.concat_ws("~", *KEYS)), grid.exclusion_counts(plans, ["cell_id"]), "session")
+    exits = [f"exit_{e}" for e in grid.EXIT_ORDER[:-1]]
+    return rounded(table.select("regime", "spread_bps", "stop_mode", "n_trades", *exits, "n_pairs", "n_sessions", "gross_total_pct", "net_total_pct", "net_sharpe", "net_max_drawdown_pct"))
