@@ -65,26 +65,22 @@ def run_cells(bars: DataFrame, plans: DataFrame, keys: list[str], order: str, da
     """(trades, pair_sessions) of all surviving pair-folds of all cells.
 
     ``bars`` has keys, order, session, date, tradeable, spread and z_ou; ``plans`` has keys, cell_id, regime,
-    stop_mode, a_z, max_holding and cost_log. Pair-folds meet their cells in a join, so one pass runs the grid.
+    stop_mode, a_z, max_holding and cost_log. Pair-folds meet their cells in a join, so one pass of the machine runs the grid.
     """
-    each = bars.join(plans.select(*keys, "cell_id", "regime", "stop_mode", "a_z", "max_holding", "cost_log"), keys)
+    each = bars.select(*keys, order, "session", *([date] if date != "session" else []), "tradeable", "spread", "z_ou").join(
+        plans.select(*keys, "cell_id", "regime", "stop_mode", "a_z", "max_holding", "cost_log"), keys
+    )
     own = ["cell_id", *keys]
-    parts = []
-    for regime in ("A", "B"):
-        for mode, stop in (("none", None), ("hard", hard_stop)):
-            rows = each.filter((F.col("regime") == regime) & (F.col("stop_mode") == mode))
-            session = dict(session="session", tradeable="tradeable") if regime == "A" else {}
-            # Trades and returns both read it.
-            run = materialized(signals.ou_signals(rows, own, order, entry="a_z", max_holding="max_holding", hard_stop=stop, **session))
-            done = backtest.trades(run, own, order, carry=("z_ou", date, "cost_log"), finalize=regime == "B")
-            moved = backtest.position_returns(run, own, order, session="session" if regime == "A" else None)
-            net = backtest.deduct_costs(moved, done, own, order, F.col("exit_cost_log"))
-            parts.append((done.withColumn("regime", F.lit(regime)).withColumn("stop_mode", F.lit(mode)), backtest.session_sums(net, own, date)))
-    trades, sessions = parts[0]
-    for t, s in parts[1:]:
-        trades, sessions = trades.unionByName(t), sessions.unionByName(s)
-    trades = trades.withColumn("cost_log", F.col("exit_cost_log")).withColumn("net_log", F.col("gross_log") - F.col("exit_cost_log"))
-    return trades, sessions
+    run = materialized(signals.ou_cells(each, own, order, "session", hard_stop=hard_stop))  # trades and returns both read it
+    done = backtest.trades(run, own, order, carry=tuple(dict.fromkeys(("z_ou", date, "cost_log", "regime", "stop_mode"))))
+    done = done.filter((F.col("exit_regime") != "A") | (F.col("exit_reason") != "fold_boundary"))
+    done = done.withColumn("regime", F.col("exit_regime")).withColumn("stop_mode", F.col("exit_stop_mode")).drop("entry_regime", "exit_regime", "entry_stop_mode", "exit_stop_mode")
+    overnight = F.col("regime") == "A"
+    same = F.coalesce(F.lag("session").over(Window.partitionBy(*own).orderBy(order)) == F.col("session"), F.lit(False))
+    moved = backtest.position_returns(run, own, order).withColumn("gross", F.when(overnight & ~same, 0.0).otherwise(F.col("gross")))
+    net = backtest.deduct_costs(moved, done, own, order, F.col("exit_cost_log"))
+    trades = done.withColumn("cost_log", F.col("exit_cost_log")).withColumn("net_log", F.col("gross_log") - F.col("exit_cost_log"))
+    return trades, backtest.session_sums(net, own, date)
 
 
 def cell_metrics(all_cells: DataFrame, trades: DataFrame, sessions: DataFrame, excluded: DataFrame, date: str, *, pair: str = "pair") -> DataFrame:

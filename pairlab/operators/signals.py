@@ -172,6 +172,36 @@ def ou_signals(
     return rows.groupBy(*keys, *([session] if session else [])).applyInPandas(run, _schema(rows))
 
 
+def ou_cells(rows: DataFrame, keys: list[str], order: str, session: str, *, z: str = "z_ou", hard_stop: float) -> DataFrame:
+    """rows with position, held and exit_reason of the threshold machine, each group by its own a_z, max_holding, regime and stop_mode.
+
+    Groups of regime A are flat again at the last tradeable bar of each session; those with stop_mode hard have the stop.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        at, limit = float(pdf["a_z"].iloc[0]), int(pdf["max_holding"].iloc[0])
+        if not np.isfinite(at) or at <= 0:
+            raise ValueError(f"the entry threshold must be positive and finite, not {at}")
+        stop = hard_stop if pdf["stop_mode"].iloc[0] == "hard" else None
+        values, tradeable = pdf[z].to_numpy(float), pdf["tradeable"].to_numpy(bool)
+        if pdf["regime"].iloc[0] != "A":
+            position, held, reason = kernels.ou_machine(values, at, stop, limit)
+        else:
+            parts = []
+            for places in pdf.groupby(session, sort=False).indices.values():
+                part = kernels.ou_machine(values[places], at, stop, limit)
+                _close_session(*part, tradeable[places], all_after=True)
+                parts.append((places, *part))
+            order_, position, held = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            reason = [x for p in parts for x in p[3]]
+            back = np.argsort(order_, kind="stable")
+            position, held, reason = position[back], held[back], [reason[i] for i in back]
+        return pdf.assign(position=position.astype(np.int32), held=held, exit_reason=reason)
+
+    return rows.groupBy(*keys).applyInPandas(run, _schema(rows))
+
+
 def signal_diagnostics(signals: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Counts of bars, trips, exits by reason, and holding times of each group."""
     w = Window.partitionBy(*keys).orderBy(order)
