@@ -104,7 +104,7 @@ def prune(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int,
     return out
 
 
-def build_graph(x: np.ndarray, *, degree: int = 24, width: int = 48, alpha: float = 1.2, seed: int = 5) -> tuple[np.ndarray, int]:
+def build_graph(x: np.ndarray, *, degree: int = 28, width: int = 56, alpha: float = 1.2, seed: int = 5) -> tuple[np.ndarray, int]:
     """(edges, entry) over the rows of x, which differ from each other."""
     n = len(x)
     entry = int(np.square(x - x.mean(axis=0)).sum(axis=1).argmin())
@@ -157,7 +157,7 @@ def _classes(valid: DataFrame, members: int) -> DataFrame:
     return hashed.groupBy(*key).agg(F.first("vec").alias("vec")).join(few, key)
 
 
-def build_index(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", members: int = 21, degree: int = 24, width: int = 48, alpha: float = 1.2) -> DataFrame:
+def build_index(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", members: int = 21, degree: int = 28, width: int = 56, alpha: float = 1.2) -> DataFrame:
     """The index table: one row a shard, with its vectors, members and graph."""
     valid = usable(rows, id_col, vec_col)
     classes = cut(_classes(valid, members).withColumn("dim", F.size("vec")))
@@ -191,7 +191,7 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
-def search(index: DataFrame, rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, members: int = 21, width: int = 32, query_rows: int = 2048) -> DataFrame:
+def search(index: DataFrame, rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, members: int = 21, width: int = 50, query_rows: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score) of about the k best other rows of each query.
 
     Shards hold random parts of the rows, so that a shard's beam needs ``width`` and its share of what k asks for.
