@@ -39,18 +39,18 @@ def ar1_half_life(rows: DataFrame, keys: list[str], order: str, value: str = "sp
 
 
 def hurst_exponent(rows: DataFrame, keys: list[str], order: str, value: str = "spread", *, max_lag: int = DEFAULTS.hurst_lag) -> DataFrame:
-    """(keys, hurst): slope of ln(std of lagged differences) on ln(lag); null under 20 rows or 4 lags.
+    """(keys, hurst): slope of ln(std of lagged differences) on ln(lag); no row under 20 rows or 4 lags.
 
-    All lags are read in one pass over the ordered rows.
+    A group is one pair in one window. Its hundred lags are slices of one array, in place of as many window
+    expressions and aggregates over every row.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    lags = range(2, max_lag + 1)
-    ahead = rows.select(*keys, F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"), *[(F.lead(value, t).over(w) - F.col(value)).alias(f"d{t}") for t in lags])
-    per = ahead.groupBy(*keys).agg(F.first("n").alias("n"), *[F.stddev_pop(f"d{t}").alias(f"s{t}") for t in lags])
-    points = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"s{t}").alias("s")) for t in lags])).alias("p")
-    used = per.filter("n >= 20").select(*keys, "n", points).filter("p.s > 0 AND p.t <= floor(n / 2)").select(*keys, F.ln("p.t").alias("lt"), F.ln("p.s").alias("ls"))
-    fit = used.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.covar_pop("lt", "ls").alias("c"), F.var_pop("lt").alias("v"))
-    return fit.filter("k >= 4").select(*keys, F.try_divide("c", "v").alias("hurst"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = kernels.hurst(pdf.sort_values(order)[value].to_numpy(float), max_lag)
+        return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | {"hurst": found}])
+
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", hurst double"
+    return rows.select(*keys, order, value).groupBy(*keys).applyInPandas(run, schema).filter(~F.isnan("hurst"))
 
 
 def dickey_fuller_stat(rows: DataFrame, keys: list[str], order: str, value: str = "spread") -> DataFrame:

@@ -340,14 +340,14 @@ cr AS (
 
 @query(CORR_SQL + "SELECT sym1, sym2, sector, round(corr, 6) AS corr FROM cr")
 def corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    returns = screen.log_returns(f2(spark, sf_dir)).filter("log_ret IS NOT NULL").select("symbol", "date", "log_ret")
+    returns = materialized(screen.log_returns(f2(spark, sf_dir)).filter("log_ret IS NOT NULL").select("symbol", "date", "log_ret"))  # dates and both legs read it
     return rounded(screen.pair_correlations(returns, fixtures.sectors(spark, sf_dir)))
 
 
 @query(CORR_SQL.replace("FROM f2 QUALIFY", "FROM f2 WHERE date BETWEEN DATE '1995-01-02' AND DATE '1997-12-31' AND symbol IN (SELECT symbol FROM f2 WHERE date BETWEEN DATE '1995-01-02' AND DATE '1997-12-31' GROUP BY 1 HAVING bool_or(date = DATE '1995-01-02') AND bool_or(date = DATE '1997-12-31')) QUALIFY")
        + "SELECT sym1, sym2, sector, round(corr, 6) AS corr FROM cr WHERE corr > 0.5")
 def same_sector_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(screen.screen_pairs(f2(spark, sf_dir), fixtures.sectors(spark, sf_dir), "1995-01-02", "1997-12-31", threshold=0.5))
+    return rounded(screen.screen_pairs(materialized(f2(spark, sf_dir)), fixtures.sectors(spark, sf_dir), "1995-01-02", "1997-12-31", threshold=0.5))
 
 
 @query("""WITH s AS (SELECT p_partkey, upper(p_name) AS symbol, CASE WHEN p_size % 3 = 0 THEN 'INE' || p_partkey WHEN p_size % 3 = 1 THEN 'US' || p_partkey END AS isin FROM part)
@@ -386,7 +386,7 @@ def same_sector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_spreads(spark: SparkSession, sf_dir: str, *, digits: int | None = 10) -> DataFrame:
     """(pair, date, alpha, beta, spread) with coefficients of the whole sample; machines run on rounded spreads."""
-    aligned = cointegration.aligned_pairs(f2(spark, sf_dir), same_sector_pairs(spark, sf_dir)).select("pair", "date", "y", "x")
+    aligned = cointegration.aligned_pairs(materialized(f2(spark, sf_dir)), same_sector_pairs(spark, sf_dir)).select("pair", "date", "y", "x")
     fit = cointegration.hedge_ratios(aligned, ["pair"])
     value = signals.spread(F.col("y"), F.col("x"), F.col("beta"), F.col("alpha"))
     return aligned.join(fit, "pair").select("pair", "date", "alpha", "beta", "n_obs", (value if digits is None else F.round(value, digits)).alias("spread"))
@@ -394,7 +394,7 @@ def pair_spreads(spark: SparkSession, sf_dir: str, *, digits: int | None = 10) -
 
 @query("WITH " + PAIR_SQL + "SELECT pair, round(alpha, 6) AS alpha, round(beta, 6) AS beta, n_obs FROM hr")
 def ols_hedge_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = cointegration.aligned_pairs(f2(spark, sf_dir), same_sector_pairs(spark, sf_dir)).select("pair", "date", "y", "x")
+    aligned = cointegration.aligned_pairs(materialized(f2(spark, sf_dir)), same_sector_pairs(spark, sf_dir)).select("pair", "date", "y", "x")
     fit = cointegration.hedge_ratios(aligned, ["pair"])
     return rounded(fit)
 
@@ -438,7 +438,7 @@ def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def engle_granger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = cointegration.aligned_pairs(f2(spark, sf_dir), same_sector_pairs(spark, sf_dir))
+    aligned = cointegration.aligned_pairs(materialized(f2(spark, sf_dir)), same_sector_pairs(spark, sf_dir))
     renamed = aligned.select("pair", F.col("y_sym").alias("sym1"), F.col("x_sym").alias("sym2"), "date", "y", "x")
     return rounded(cointegration.test_pairs(renamed, ["pair"]))
 
