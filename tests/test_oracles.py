@@ -24,7 +24,7 @@ def duck(sf_dir):
 
 def rows(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
-    clean = lambda v: None if v is None or v is pd.NaT or v != v else str(v)[:10] if hasattr(v, "isoformat") else round(float(v), 4) if isinstance(v, float) else v
+    clean = lambda v: None if v is None or v is pd.NaT or v is pd.NA or v != v else str(v)[:10] if hasattr(v, "isoformat") else round(float(v), 4) if isinstance(v, float) else v
     return sorted((tuple(clean(v) for v in r) for r in df.astype(object).itertuples(index=False)), key=repr)
 
 
