@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def materialized(df: DataFrame) -> DataFrame:
@@ -19,3 +23,8 @@ def materialized(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="pairlab-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if its rows, counted up to the bound, are within BROADCAST_ROWS; else df as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

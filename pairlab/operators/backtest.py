@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.checkpoints import small
 from pairlab.params import DEFAULTS
 
 
@@ -131,7 +132,7 @@ def restamp(returns: DataFrame, closed: DataFrame, keys: list[str], order: str,
 
     ``closed`` carries beta. The ladder has a handful of rows.
     """
-    levels = F.broadcast(ladder)
+    levels = small(ladder)
     gross = returns.groupBy(*keys, date).agg(F.sum("gross").alias("gross")).crossJoin(levels)
     ends = closed.select(*keys, F.col(f"exit_{date}").alias(date), "beta").crossJoin(levels)
     paid = ends.groupBy(*keys, date, "spread_bps").agg(F.sum(pair_cost(F.col("beta"), leg_bps(F.col("spread_bps"), fixed=fixed))).alias("cost"))

@@ -70,6 +70,7 @@ def resolve_windows(days: DataFrame, *, target: int = DEFAULTS.train_days, least
     first = n.select("n", F.greatest(F.col("n") - target, F.lit(0)).alias("a"))
     spans = first.withColumn("length", F.col("n") - F.col("a")).withColumn("p", F.greatest(F.col("a") - F.col("length"), F.lit(0)))
     at = lambda i: F.max(F.when(F.col("i") == i, F.col("date")))
+    # spans is one row.
     return numbered.crossJoin(F.broadcast(spans)).groupBy("n", "a", "p").agg(
         at(F.col("a")).alias("train_start"), at(F.col("n") - 1).alias("train_end"),
         F.max(F.when((F.col("a") > 0) & (F.col("i") == F.col("p")), F.col("date"))).alias("prior_start"), at(F.col("a") - 1).alias("prior_end"),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from pairlab.checkpoints import small
 from pairlab.functions import kernels
 from pairlab.params import DEFAULTS
 
@@ -133,7 +134,7 @@ def thresholds(fits: DataFrame, ladder: DataFrame, *, fixed: float = DEFAULTS.fi
     """fits (with beta) at every cost level: cost_log, a, a_z, feasible and return_rate."""
     from pairlab.operators.backtest import leg_bps, pair_cost
 
-    each = fits.crossJoin(F.broadcast(ladder)).withColumn("cost_log", pair_cost(F.col("beta"), leg_bps(F.col("spread_bps"), fixed=fixed)))
+    each = fits.crossJoin(small(ladder)).withColumn("cost_log", pair_cost(F.col("beta"), leg_bps(F.col("spread_bps"), fixed=fixed)))
     solved = each.withColumn("a", bertram_entry(F.coalesce("sigma_eq", F.lit(NAN)), F.col("cost_log")))
     solved = solved.withColumn("feasible", F.col("fit_ok") & ~F.isnan("a")).withColumn("a_z", F.try_divide("a", "sigma_eq"))
     return solved.withColumn("return_rate", return_rate(F.col("a"), F.col("cost_log"), F.coalesce("kappa", F.lit(NAN)), F.coalesce("sigma_eq", F.lit(NAN))))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.checkpoints import small
 from pairlab.operators.backtest import metrics
 from pairlab.operators.grid import EXIT_ORDER, exit_name
 
@@ -25,7 +26,7 @@ def equity_union(returns: DataFrame, variant: str, names: list[str], date: str,
 def forward_filled(curves: DataFrame, axis: DataFrame, keys: list[str], date: str, value: str) -> DataFrame:
     """Curves on all dates of ``axis``, the last value carried on, 0 before the first."""
     w = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    spine = curves.select(*keys).distinct().crossJoin(F.broadcast(axis.select(date).distinct())) if axis is not None else curves
+    spine = curves.select(*keys).distinct().crossJoin(small(axis.select(date).distinct())) if axis is not None else curves
     joined = spine.join(curves, [*keys, date], "left")
     return joined.select(*keys, date, F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(0.0)).alias(value))
 

@@ -431,7 +431,7 @@ def _plans(spark: SparkSession, sf_dir: str, rows: DataFrame) -> tuple[DataFrame
     all_cells = grid.cells(spark, freqs=(1,))
     fits = intraday.fit_ou(rows, KEYS, "t", freq_minutes=float(BAR)).join(rows.select(*KEYS, "beta").distinct(), KEYS).filter("beta >= 0")
     solved = intraday.thresholds(fits, backtest.cost_ladder(spark)).select(*KEYS, "fit_ok", F.col("half_life_bars").alias("half_life"), "spread_bps", "cost_log", "a_z", "feasible")
-    marked = grid.exclusions(solved.join(F.broadcast(all_cells), "spread_bps"), BANDS)  # a few dozen cells
+    marked = grid.exclusions(solved.join(all_cells, "spread_bps"), BANDS)
     return all_cells, marked.withColumn("max_holding", F.lit(20))
 
 
