@@ -607,6 +607,14 @@ def test_language_learns_from_runs_without_spaces(spark):
     assert langid.train(df)[0] == ["ja", "xx", "zh"]
 
 
+def test_bands_of_long_texts_in_parts(monkeypatch):
+    text = " ".join(f"w{k * k % 977}" for k in range(300)) + "\n" + " ".join(f"v{k}" for k in range(90))
+    whole = substring.lines(*substring.hashed(text), 24, 4, 2)
+    monkeypatch.setattr(substring, "_AT_ONCE", 900)
+    parts = substring.lines(*substring.hashed(text), 24, 4, 2)
+    assert all((a == b).all() for a, b in zip(whole, parts)) and whole[0].tolist() == [0, 300] and whole[3].shape == (2, 4)
+
+
 def test_tuned_bands():
     assert substring.tuned(0.8, 0.98) == 4 and substring.tuned(1.0, 0.99) == 1
     for b in (1, 2, 3):
