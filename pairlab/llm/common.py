@@ -96,7 +96,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 #: Bytes of a text column that a Python worker turns into strings at a time; a bound of memory.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 
 
 def text_slices(batches, column: int = 1):

@@ -32,7 +32,7 @@ from pairlab.llm.graph import components
 #: Hashes whose bits are counted at a time; a bound of memory.
 _HASHES = 200_000
 #: Variants formed at a time in a task; a bound of memory.
-_VARIANTS = 2_000_000
+_VARIANTS = 500_000
 #: Variants below a prefix beyond which it is divided, and by how many bits.
 PREFIX_VARIANTS, DIVIDE = 4_000_000, 6
 
