@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import ann, htmltext, langid, mixing, packing, sharding, simhash, substring, tokenstore, topk
+from pairlab.llm import ann, codes, hardneg, htmltext, langid, mixing, packing, quality, sharding, simhash, substring, tokenstore, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,22 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    flipped = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hardneg.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, flipped)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_langid, op4_tokenstore, op5_sharding, op6_html, op7_ann, op8_topk, op9_simhash, op10_substring)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_langid, op4_tokenstore, op5_sharding, op6_html, op7_ann, op8_topk, op9_simhash, op10_substring, op11_hard_negatives, op12_vector_codes, op13_quality)}
 
 
 #: The same mix, with each source sorted whole.
@@ -109,5 +123,54 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+def _round_sql(k: int) -> str:
+    """Parts with their nearest entry of codebook b{k}, and codebook b{k + 1}."""
+    return f"""
+, d{k} AS (
+  SELECT n, position, part, code, list_sum(list_transform(range(1, len(part) + 1), lambda i: (part[i] - entry[i]) * (part[i] - entry[i])))::BIGINT AS d FROM p JOIN b{k} USING (position)
+), a{k} AS (
+  SELECT n, position, any_value(part) AS part, min(d * 64 + code) % 64 AS code, min(d * 64 + code) // 64 AS error FROM d{k} GROUP BY n, position
+), m{k} AS (
+  SELECT position, code, i, floor(sum(part[i])::DOUBLE / count(*))::BIGINT AS x FROM a{k}, range(1, 1000) t(i) WHERE i <= len(part) GROUP BY position, code, i
+), b{k + 1} AS (
+  SELECT b{k}.position, b{k}.code, coalesce(new, entry) AS entry FROM b{k} LEFT JOIN (SELECT position, code, list(x ORDER BY i) AS new FROM m{k} GROUP BY position, code) USING (position, code)
+)"""
+
+
+OP12_SQL = f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT n, position, e[position * (len(e) // 16) + 1 : (position + 1) * (len(e) // 16)] AS part FROM v, range(16) t(position)
+), b0 AS (
+  SELECT position, n - 1 AS code, part AS entry FROM p WHERE n <= 64
+){_round_sql(0)}{_round_sql(1)}{_round_sql(2)}, c AS (
+  SELECT n, string_agg(printf('%02x', code), '' ORDER BY position) AS code, sum(error)::BIGINT AS error FROM a2 GROUP BY n
+), h AS (
+  SELECT sha256(string_agg(entry[i]::VARCHAR, ',' ORDER BY position, code, i)) AS codebooks_sha256 FROM b2, range(1, 1000) t(i) WHERE i <= len(entry)
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN c USING (n), h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op8_topk": OP8_SQL}
+    return {"op2_mixing": OP2_SQL, "op8_topk": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_vector_codes": OP12_SQL}
