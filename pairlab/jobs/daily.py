@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlab.checkpoints import materialized
-from pairlab.operators import actions, backtest, calendars, clean, cointegration, screen, signals, universe, walkforward
+from pairlab.operators import actions, backtest, calendars, cards, clean, cointegration, screen, signals, universe, walkforward
 from pairlab.params import DEFAULTS
 from pairlab.sources import csv_bars, tables
 
@@ -181,3 +181,22 @@ def backtest_daily(
     tables.write_json(found["funnel"].orderBy("fold_id"), f"{out}/funnel_json")
     tables.write_csv(found["metrics"], f"{out}/metrics_csv")
     return found
+
+
+def pair_report(spark: SparkSession, daily: DataFrame, sectors: DataFrame, run: dict[str, DataFrame], out: str, *, window: int = DEFAULTS.z_window, width: float = 2.0) -> dict[str, DataFrame]:
+    """Each pair of a walk-forward run on its own: its summary, the best first, its curve, its folds' spreads with bands, its positions as intervals and its legs.
+
+    ``run`` are the tables of backtest_daily.
+    """
+    daily = materialized(daily)
+    per_pair = run["per_pair"]
+    selected = run["candidates"].filter(cointegration.is_tradeable()).select("fold_id", "y_sym", "x_sym", "alpha", "beta", "half_life")
+    found = stored(spark, out, {"pair_summary": cards.per_pair_summary(per_pair, run["trades"], sectors), "pair_bands": cards.fold_bands(daily, selected, run["folds"], window=window, width=width)})
+    segments = cards.position_segments(per_pair.select("fold_id", "pair", "date", "position"), ["fold_id", "pair"], "date")
+    spans = found["pair_summary"].select("pair", F.split("pair", "~")[0].alias("y_sym"), F.split("pair", "~")[1].alias("x_sym"), "first_active", "last_active")
+    found |= stored(spark, out, {
+        "pair_curves": cards.stitched_curves(per_pair, ["pair"], "fold_id", "date"), "pair_segments": cards.banded_segments(segments, found["pair_bands"], ["fold_id", "pair"], "date"),
+        "pair_legs": cards.leg_levels(daily, spans),
+    })
+    tables.write_csv(found["pair_summary"].orderBy(F.col("net_total_pct").desc(), "pair"), f"{out}/pair_summary_csv")
+    return found

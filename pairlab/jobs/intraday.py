@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from pairlab.checkpoints import materialized
 from pairlab.jobs.daily import per_pair_table, stored
-from pairlab.operators import backtest, calendars, cointegration, grid, intraday, reports, signals, two_regime
+from pairlab.operators import backtest, calendars, cards, cointegration, grid, intraday, liquidity, reports, signals, two_regime
 from pairlab.params import DEFAULTS
 from pairlab.sources import tables
+from pairlab.sources.foldstore import FoldStore
 
 KEYS = ["fold_id", "y_sym", "x_sym"]
 NAN = float("nan")
@@ -28,10 +29,21 @@ def session_bars(minute: DataFrame, *, zone: str = "Asia/Kolkata", open_minute:
     return minute.select("symbol", F.col("date").alias("session"), calendars.bar_of_session(local, open_minute=open_minute).alias("bar"), "close", F.col("volume").cast("long").alias("volume")).filter(F.col("bar").between(0, bars - 1))
 
 
-def pair_folds(candidates: DataFrame, folds: DataFrame) -> DataFrame:
-    """The tradeable candidates of a walk-forward run with their folds' windows; pairs with a negative beta are left out."""
+def pair_folds(candidates: DataFrame, folds: DataFrame, gate: DataFrame | None = None) -> DataFrame:
+    """The tradeable candidates of a walk-forward run with their folds' windows; pairs with a negative beta are left out.
+
+    With ``gate`` (the table of liquidity.gate_by_fold), pair-folds that don't pass it are left out too.
+    """
     chosen = candidates.filter(cointegration.is_tradeable() & (F.col("beta") >= 0)).select("fold_id", "y_sym", "x_sym", "alpha", "beta", "half_life")
-    return chosen.join(folds.select("fold_id", "train_start", "test_start", "test_end"), "fold_id")
+    found = chosen.join(folds.select("fold_id", "train_start", "test_start", "test_end"), "fold_id")
+    return found if gate is None else found.join(gate.filter("intraday_pass"), KEYS, "left_semi")
+
+
+def liquid_pair_folds(spark: SparkSession, bars: DataFrame, candidates: DataFrame, folds: DataFrame, out: str, **gate) -> DataFrame:
+    """pair_folds that pass the liquidity gate of their fold; the gate's table is kept, as Parquet and as a CSV file."""
+    found = stored(spark, out, {"liquidity_filter": liquidity.gate_by_fold(bars, pair_folds(candidates, folds), folds, **gate)})["liquidity_filter"]
+    tables.write_csv(found.orderBy(*KEYS), f"{out}/liquidity_filter_csv")
+    return pair_folds(candidates, folds, found)
 
 
 def spread_grid(bars: DataFrame, chosen: DataFrame, freq: int) -> DataFrame:
@@ -118,6 +130,60 @@ def two_regimes(spark: SparkSession, bars: DataFrame, chosen: DataFrame, out: st
     return found | stored(spark, out, more)
 
 
+def kept_regimes(spark: SparkSession, bars: DataFrame, chosen: DataFrame, store: str, *, freq: int = 1, per_session: int = DEFAULTS.bars_per_session, warmup: int = DEFAULTS.warmup_bars, entry: float = DEFAULTS.entry_z) -> dict[str, DataFrame]:
+    """Trades, sessions and windows of the rolling-z engine from a store by fold, frequency and pair; only pair-folds that it lacks are run.
+
+    A pair-fold is run again if its coefficients, windows or the engine's settings are others than those stored.
+    """
+    kept = FoldStore(spark, store, [*KEYS, "freq_min"])
+    wanted = chosen.withColumn("freq_min", F.lit(freq)).withColumn("settings", F.concat_ws(" ", *[F.lit(str(v)) for v in (per_session, warmup, entry)]))
+
+    def compute(new: DataFrame) -> dict[str, DataFrame]:
+        pairs = new.drop("freq_min", "settings")
+        rows = materialized(spread_grid(bars, pairs, freq))
+        sized = materialized(two_regime.bar_windows(pairs, bars=per_session, freq=freq))
+        run = two_regime.run(rows, sized, KEYS, "t", "session", ladder=backtest.cost_ladder(spark), warmup=max(1, warmup // freq), entry=entry)
+        found = {"trades": run["trades"], "sessions": run["sessions"], "windows": sized.select(*KEYS, "window", "max_holding")}
+        return {name: df.withColumn("freq_min", F.lit(freq)) for name, df in found.items()}
+
+    found = kept.fill(wanted, compute)
+    pair = F.concat_ws("~", *KEYS)
+    port = backtest.portfolio(found["sessions"].withColumn("pair", pair), ["regime", "spread_bps", "session"])
+    return found | {"portfolio": port, "metrics": backtest.metrics(port, ["regime", "spread_bps"], "session", "net")}
+
+
+def pair_cards(
+    spark: SparkSession, bars: DataFrame, chosen: DataFrame, run: dict[str, DataFrame], out: str, *, sectors: DataFrame | None = None, freq: int = 1, table_bps: float = 3.0, per_session: int = DEFAULTS.bars_per_session, warmup: int = DEFAULTS.warmup_bars
+) -> dict[str, DataFrame]:
+    """What a card of each pair shows: curves of both regimes on one axis, fold spans, totals, and the representative fold's spread, z and trades.
+
+    ``run`` are the tables of two_regimes or kept_regimes. z runs over the test window alone.
+    """
+    pair = F.concat_ws("~", "y_sym", "x_sym").alias("pair")
+    regimes = ["A", "B"]
+    chosen = materialized(chosen)
+    spans = chosen.select(pair, "y_sym", "x_sym", "fold_id", "test_start", "test_end")
+    net = run["sessions"].filter(F.col("spread_bps") == table_bps).select(pair, "regime", "fold_id", "session", "net")
+    axis = cards.on_union_axis(cards.stitched_curves(net, ["pair", "regime"], "fold_id", "session"), ["pair"], "regime", regimes, "session")
+    trades = run["trades"].withColumn("pair", pair)
+    found = stored(spark, out, {"card_curves": axis, "card_spans": spans, "card_folds": cards.representative_folds(spans, trades.filter("regime = 'A'"))})
+    totals = cards.totals(spans, trades, found["card_curves"], regimes, "session")
+    if sectors is not None:
+        own = sectors.select(F.col("symbol").alias("y"), "sector").dropDuplicates(["y"])
+        totals = totals.withColumn("y", F.split("pair", "~")[0]).join(own, "y", "left").drop("y")
+    best = found["card_folds"].join(spans, ["pair", "fold_id"]).select("fold_id", "y_sym", "x_sym")
+    shown = chosen.join(best, KEYS, "left_semi")
+    sized = two_regime.bar_windows(shown, bars=per_session, freq=freq).select(*KEYS, "window")
+    rows = spread_grid(bars, shown.withColumn("train_start", F.col("test_start")), freq).join(sized, KEYS)
+    scored = signals.variable_rolling_z(rows, KEYS, "t", "window")
+    place = F.row_number().over(Window.partitionBy(*KEYS, "session").orderBy("t"))
+    series = scored.withColumn("z", F.when(place <= max(1, warmup // freq), F.lit(NAN)).otherwise(F.coalesce("z", F.lit(NAN)))).select(pair, *KEYS, "session", "bar", F.coalesce("spread", F.lit(NAN)).alias("spread"), "z")
+    marked = trades.join(best, KEYS, "left_semi").select(*KEYS, "pair", "regime", "trade_no", "direction", "entry_session", "exit_session", "entry_t", "exit_t", "held", grid.exit_name().alias("exit_reason"), "gross_log")
+    found |= stored(spark, out, {"card_totals": totals, "card_series": series, "card_trades": marked})
+    tables.write_csv(found["card_totals"].withColumn("folds", F.concat_ws(" ", F.transform("folds", lambda f: f.cast("string")))).orderBy("pair"), f"{out}/card_totals_csv")
+    return found
+
+
 def rolling_baseline(spark: SparkSession, bars: DataFrame, chosen: DataFrame, out: str, *, freqs: tuple[int, ...] = (5, 15), per_session: int = DEFAULTS.bars_per_session, warmup: int = DEFAULTS.warmup_bars, entry: float = DEFAULTS.entry_z) -> DataFrame:
     """The rolling-z engine on coarse bars: one row a frequency, regime and cost, with the windows' median and extremes."""
     parts = []

@@ -50,6 +50,8 @@ class Params:
     fixed_cost_bps: float = 4.5
     spread_ladder_bps: tuple[float, ...] = (1.0, 3.0, 5.0, 8.0)
     liquidity_fill: float = 0.90
+    probe_days: int = 365
+    probe_forward_days: int = 180
     ou_min_obs: int = 60
     half_life_minutes: dict[str, tuple[float, float]] = field(default_factory=lambda: {"A": (30.0, 120.0), "B": (120.0, 1875.0)})
 
