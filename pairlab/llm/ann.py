@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one a shard.
 
-Equal vectors are one node, which keeps its smallest ids. Vectors get one more component that makes
+Equal vectors are one node, which keeps its smallest ids and how many rows each has. Vectors get one more component that makes
 all norms of a shard equal, so that the largest inner product is the smallest distance. A graph
 grows in batches: a greedy search from the medoid proposes neighbours, relaxed distance pruning
 (drop a candidate that is ``alpha`` times nearer to a kept neighbour than to the node) keeps
@@ -10,8 +10,10 @@ double precision.
 
 Defined cases: vectors that are null, empty, all zero or hold a null or non-finite component take no
 part; only vectors of one dimension are compared; ties go to the smaller id; repeated rows are
-candidates each on its own, but a row with the query's id never is; fewer candidates than k give
-fewer rows; an empty table gives none; other columns are not read.
+candidates each on its own, but a row with the query's id never is; of query rows that share an id,
+the one with the smallest vector is the query, so repeated query rows are one; fewer candidates than k give
+fewer rows; an empty table gives none; other columns are not read. An index answers up to ``members`` - 1
+neighbours; a larger k raises.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 from pairlab.llm.common import cut, written
 from pairlab.llm.vectors import against, finite, matrix, query_blocks
 
-INDEX = "dim int, shard int, members binary, data binary, edges binary, entry int"
-#: Shards at least, if each has this many rows, and rows of a shard at most, about.
-SHARDS, LEAST_ROWS, SHARD_ROWS = 6, 1000, 65_536
+INDEX = "dim int, shard int, kept int, members binary, times binary, data binary, edges binary, entry int"
+#: Shards at least, if each has this many rows, and rows of a shard at most, about: the size at which recall was measured.
+SHARDS, LEAST_ROWS, SHARD_ROWS = 6, 1000, 10_000
 #: Rows that search together, and nodes whose edges each follows in a step.
 _BATCH, EXPAND = 256, 4
 
@@ -145,15 +147,18 @@ def build_graph(x: np.ndarray, *, degree: int = 28, width: int = 56, alpha: floa
 
 
 def _classes(valid: DataFrame, members: int) -> DataFrame:
-    """One row for each distinct vector, with its smallest ids; ids are thinned in three steps, so that no task holds all of a common vector's."""
+    """One row for each distinct vector, with its smallest different ids and their rows' number.
+
+    Ids are thinned in three steps, so that no task holds all of a common vector's.
+    """
     key = ["h1", "h2"]
     hashed = valid.select("id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
-    ids = hashed.select("id", *key, F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
+    ids = hashed.groupBy(*key, "id").agg(F.count(F.lit(1)).alias("n")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     for left in (64, 8, 1):
         ids = ids.withColumn("salt", F.col("salt") % left)
         order = Window.partitionBy(*key, "salt").orderBy("id")
         ids = ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= members).drop("k")
-    few = ids.groupBy(*key).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    few = ids.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("own")).select(*key, F.col("own.id").alias("ids"), F.col("own.n").alias("times"))
     return hashed.groupBy(*key).agg(F.first("vec").alias("vec")).join(few, key)
 
 
@@ -173,9 +178,10 @@ def build_index(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embe
         level = np.sqrt(np.maximum(norms.max() - norms, 0.0))
         edges, entry = build_graph(np.c_[x, level].astype(np.float32), degree=degree, width=width, alpha=alpha)
         ids = np.full((len(x), members), -1, np.int64)
-        for i, own in enumerate(pdf["ids"]):
-            ids[i, : len(own)] = own
-        return pd.DataFrame({"dim": [x.shape[1]], "shard": [int(pdf["shard"].iloc[0])], "members": [np.c_[(ids >= 0).sum(axis=1), ids].astype(np.int64).tobytes()], "data": [x.tobytes()], "edges": [edges.tobytes()], "entry": [entry]})
+        times = np.zeros((len(x), members), np.int64)
+        for i, (own, n) in enumerate(zip(pdf["ids"], pdf["times"])):
+            ids[i, : len(own)], times[i, : len(own)] = own, np.minimum(n, members)
+        return pd.DataFrame({"dim": [x.shape[1]], "shard": [int(pdf["shard"].iloc[0])], "kept": [members], "members": [ids.tobytes()], "times": [times.tobytes()], "data": [x.tobytes()], "edges": [edges.tobytes()], "entry": [entry]})
 
     sharded = classes.withColumn("shard", F.pmod(F.xxhash64("h2", "h1"), F.lit(shards)).cast("int"))
     # A task a shard: shards are small in bytes and long in work.
@@ -191,14 +197,18 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
-def search(index: DataFrame, rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, members: int = 21, width: int = 50, query_rows: int = 2048) -> DataFrame:
+def search(index: DataFrame, rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, width: int = 50, query_rows: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score) of about the k best other rows of each query.
 
     Shards hold random parts of the rows, so that a shard's beam needs ``width`` and its share of what k asks for.
     """
-    shards = max(1, index.count())  # a row a shard
+    n, kept = index.agg(F.count(F.lit(1)), F.min("kept")).first()  # a row a shard
+    if kept is not None and k >= kept:
+        raise ValueError(f"the index keeps {kept} ids of equal vectors; build it with members of {k + 1} or more")
+    shards = max(1, n)
     width = width + -(-4 * k // shards)
-    queries, n_blocks = query_blocks(usable(rows.filter(is_query), id_col, vec_col), query_rows)
+    stated = usable(rows.filter(is_query), id_col, vec_col).groupBy("id").agg(F.min("vec").alias("vec"))
+    queries, n_blocks = query_blocks(stated, query_rows)
     pairs = against(queries, index, n_blocks)
 
     def run(batches):
@@ -206,8 +216,8 @@ def search(index: DataFrame, rows: DataFrame, is_query: Column, *, id_col: str =
             for row in b.to_pylist():
                 dim = row["dim"]
                 q_ids, q = matrix(row["q_ids"], row["q_data"], dim)
-                own = np.frombuffer(row["members"], np.int64).reshape(-1, members + 1)
                 x = np.frombuffer(row["data"], np.float64).reshape(-1, dim)
+                ids, n_rows = (np.frombuffer(row[c], np.int64).reshape(len(x), -1) for c in ("members", "times"))
                 edges = np.frombuffer(row["edges"], np.int32).reshape(len(x), -1)
                 norms = np.square(x).sum(axis=1)
                 flat = np.c_[x, np.sqrt(np.maximum(norms.max() - norms, 0.0))].astype(np.float32)
@@ -218,10 +228,10 @@ def search(index: DataFrame, rows: DataFrame, is_query: Column, *, id_col: str =
                     r, j = np.nonzero(nodes >= 0)
                     node = nodes[r, j]
                     score = np.einsum("ij,ij->i", x[node], part[r])
-                    times = own[node, 0]
-                    place = np.repeat(np.arange(len(node)), times)
-                    nth = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
-                    r, score, vec = r[place], score[place], own[node[place], 1 + nth]
+                    # A row for each of a node's ids, as often as it has rows.
+                    place = np.repeat(np.arange(len(node)), n_rows[node].sum(axis=1))
+                    vec = np.repeat(ids[node].ravel(), n_rows[node].ravel())
+                    r, score = r[place], score[place]
                     other = vec != q_ids[at + r]
                     r, score, vec = r[other], score[other], vec[other]
                     order = np.lexsort((vec, -score, r))

@@ -9,7 +9,8 @@ text that no language explains better than the others scores low at any length.
 
 The piece probabilities are fitted by expectation maximisation, with forward and backward passes, on
 a bounded sample of labelled rows: at most ``docs_per_lang`` whole texts (those with the smallest
-hashes of id and text) of each of the ``max_langs`` languages that have the most labelled rows. Runs of
+hashes of id and text) of each language. The model's memory grows with the languages, so at most
+``max_langs`` are learned, those with the most different labelled rows; labels beyond are never predicted. Runs of
 over LONGEST letters, as scripts without spaces have them, are cut into such stretches for fitting;
 scoring takes every run whole.
 
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from pairlab.llm.common import in_worker, text_slices
 from pairlab.llm.tokens import Numbered, vocabulary_path
@@ -148,8 +150,8 @@ def train(
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h")
     )
-    # At most max_langs rows.
-    most = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    # At most max_langs rows. Different rows count: the bound below is one on their hashes.
+    most = labelled.groupBy("lang").agg(F.count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     if not most:
         return [], np.zeros((0, 0))
     # A hash bound draws about half as many again as are wanted, so what is ranked doesn't grow with the table.
@@ -238,6 +240,6 @@ def identify(
         held_out(F.col(id_col)).alias("held_out"),
         *[F.col(c).alias(f"kept_{c}") for c in carried],
     )
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]] + ([f"`kept_{text_col}` string"] if text_col in keep else []) + ["lang_pred string", "score double"]
-    names = [f.split()[0].strip("`") for f in fields]
-    return source.mapInArrow(run, ", ".join(fields))
+    out = StructType([*source.schema.fields[1:], *([StructField(f"kept_{text_col}", StringType())] if text_col in keep else []), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    names = out.fieldNames()
+    return source.mapInArrow(run, out)
