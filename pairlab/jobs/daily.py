@@ -6,7 +6,7 @@ that follows starts from stored data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlab.checkpoints import materialized
@@ -43,6 +43,12 @@ def map_sectors(spark: SparkSession, daily: DataFrame, sectors: DataFrame, out:
     return stored(spark, out, {"sectors": traded, "unmapped": tables.unmapped(daily, known)})
 
 
+def fetch_actions(spark: SparkSession, daily: DataFrame, fetch, out: str, **options) -> dict[str, DataFrame]:
+    """The actions of every traded symbol as fetched, flattened, and their coverage; what was fetched is kept, so nothing is asked for twice."""
+    fetched = stored(spark, out, {"fetched": actions.fetch_actions(daily.select("symbol"), fetch, **options)})["fetched"]
+    return {"fetched": fetched} | stored(spark, out, {"actions": actions.flatten_actions(fetched).sort("symbol", "ex_date", "action_type"), "coverage": actions.coverage(fetched)})
+
+
 def adjust(spark: SparkSession, daily: DataFrame, fetched: DataFrame, out: str, *, reference: DataFrame | None = None) -> dict[str, DataFrame]:
     """Corporate actions flattened, split audit, and prices with residual splits adjusted; raises if a split still shows.
 
@@ -69,10 +75,18 @@ def clean_daily(
 ) -> dict[str, DataFrame]:
     """Rules 1 to 5, then contiguity before the least history, and the gate.
 
+    All rules run in one pass with one write; each rule's report is counted on the way.
     ``events(symbol, event_date)``, ``keep(symbol, date)``, ``dividends(symbol, date)``, ``windows(start, end)``, ``blind(symbol)``.
     """
     calendar = materialized(calendars.trading_calendar(daily, start=start, end=end, min_symbols=min_symbols))
-    steps = [("input", daily)]
+    seen: list[tuple[str, Observation]] = []
+
+    def counted(name: str, df: DataFrame) -> DataFrame:
+        """df, whose rows and symbols are counted as they pass."""
+        seen.append((name, Observation(name)))
+        return df.observe(seen[-1][1], F.count(F.lit(1)).alias("n_rows"), F.size(F.collect_set("symbol")).cast("long").alias("n_symbols"))
+
+    passing = counted("input", daily)
     for name, rule in (
         ("calendar", lambda df: calendars.calendar_filter(df, calendar)),
         ("prices", clean.drop_bad_prices),
@@ -82,15 +96,13 @@ def clean_daily(
         ("contiguity", clean.contiguity_filter),
         ("history", lambda df: clean.min_history(df, days=min_days)),
     ):
-        steps.append((name, materialized(rule(steps[-1][1]))))
-    counts = [df.agg(F.lit(i).alias("step"), F.lit(name).alias("rule"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("symbol").alias("n_symbols")) for i, (name, df) in enumerate(steps)]
-    report = counts[0]
-    for c in counts[1:]:
-        report = report.unionByName(c)
-    cleaned = steps[-1][1]
+        passing = counted(name, rule(passing))
+    cleaned = stored(spark, out, {"daily_clean": passing})["daily_clean"]
+    counts = [(i, name, told.get["n_rows"], told.get["n_symbols"]) for i, (name, told) in enumerate(seen)]
+    report = spark.createDataFrame(counts, "step int, rule string, n_rows long, n_symbols long")
     left = materialized(clean.gate_survivors(cleaned, keep, dividends, windows))
-    found = {"daily_clean": cleaned, "calendar": calendar, "days_per_year": calendars.days_per_year(calendar), "report": report, "survivors": left, "gate": clean.validation_gate(left, blind)}
-    return stored(spark, out, found)
+    found = {"calendar": calendar, "days_per_year": calendars.days_per_year(calendar), "report": report, "survivors": left, "gate": clean.validation_gate(left, blind)}
+    return {"daily_clean": cleaned} | stored(spark, out, found)
 
 
 def repair(

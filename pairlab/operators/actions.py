@@ -2,12 +2,57 @@
 
 from __future__ import annotations
 
+import math
+import random
+import time
+from collections.abc import Callable, Iterable
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.operators.clean import by_symbol
 
 
+#: What a fetch gives of each symbol.
+FETCHED = "symbol string, splits array<struct<ex_date: date, value: double>>, dividends array<struct<ex_date: date, value: double>>, error string"
+
+
+def fetch_one(symbol: str, fetch: Callable[[str], Iterable[tuple[date, float | None, float | None]] | None], *, tries: int = 3, delay: float = 1.0) -> dict:
+    """A symbol's splits and dividends from fetch(symbol), rows of (date, split ratio, dividend), where 0, null and NaN are none.
+
+    A call that raises is tried again after delay, then twice as long, and so on, with up to a quarter of a second more; the
+    last error is told. None and no rows are a success without actions.
+    """
+    error = None
+    for attempt in range(tries):
+        try:
+            rows = list(fetch(symbol) or [])
+        except Exception as e:  # whatever a source raises is told of the symbol
+            error = f"{type(e).__name__}: {e}"
+            if attempt + 1 < tries:
+                time.sleep(delay * 2**attempt + random.random() * min(0.25, delay))
+            continue
+        some = lambda k: [{"ex_date": r[0], "value": float(r[k])} for r in rows if r[k] and not math.isnan(r[k])]
+        return {"symbol": symbol, "splits": some(1), "dividends": some(2), "error": None}
+    return {"symbol": symbol, "splits": [], "dividends": [], "error": error or "not tried"}
+
+
+def fetch_actions(symbols: DataFrame, fetch: Callable[[str], Iterable[tuple[date, float | None, float | None]] | None], *, at_once: int = 8, tries: int = 3, delay: float = 1.0) -> DataFrame:
+    """The actions of each symbol (columns FETCHED), ``at_once`` symbols at a time.
+
+    ``fetch`` runs in tasks, so a lost executor's symbols are asked for again; write the result before it is read twice.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame([fetch_one(s, fetch, tries=tries, delay=delay) for s in pdf["symbol"]], columns=["symbol", "splits", "dividends", "error"])
+
+    return symbols.select("symbol").filter("symbol IS NOT NULL").distinct().repartition(at_once, "symbol").mapInPandas(run, FETCHED)
+
+
 def flatten_actions(fetched: DataFrame) -> DataFrame:
     """(symbol, action_type, ex_date, value) from rows with arrays ``splits`` and ``dividends`` of (ex_date, value)."""
     kinds = [("split", "splits"), ("dividend", "dividends")]

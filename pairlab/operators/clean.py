@@ -72,11 +72,13 @@ def split_smoothness(daily: DataFrame, splits: DataFrame, *, tolerance: float =
 
 def trim_phantoms(daily: DataFrame, excused: DataFrame | None = None, *, jump: float = DEFAULTS.phantom_jump) -> DataFrame:
     """History from each symbol's latest unexcused jump on; ``excused(symbol, date)``."""
-    jumps = daily.select("symbol", "date", simple_return().alias("ret")).filter(F.abs("ret") > jump)
+    marked = daily.withColumn("ret__", simple_return())
+    jumped = F.abs("ret__") > jump
     if excused is not None:
-        jumps = jumps.join(excused, ["symbol", "date"], "left_anti")
-    seams = jumps.groupBy("symbol").agg(F.max("date").alias("seam"))
-    return daily.join(seams, "symbol", "left").filter(F.col("seam").isNull() | (F.col("date") >= F.col("seam"))).select(*daily.columns)
+        marked = marked.join(excused.select("symbol", "date", F.lit(True).alias("excused__")).distinct(), ["symbol", "date"], "left")
+        jumped = jumped & F.col("excused__").isNull()
+    seam = F.max(F.when(jumped, F.col("date"))).over(Window.partitionBy("symbol"))
+    return marked.withColumn("seam__", seam).filter(F.col("seam__").isNull() | (F.col("date") >= F.col("seam__"))).select(*daily.columns)
 
 
 def after_structural_events(daily: DataFrame, events: DataFrame) -> DataFrame:
@@ -105,6 +107,16 @@ def segments(daily: DataFrame, *, max_gap: int = DEFAULTS.max_gap_days) -> DataF
     return gapped.withColumn("segment_id", F.sum(F.when(F.col("gap_days") > max_gap, 1).otherwise(0)).over(running))
 
 
+def _in_window(window_start: str | None, window_end: str | None, start: Column, end: Column) -> Column:
+    """Whether [start, end] meets the window."""
+    met = F.lit(True)
+    if window_start:
+        met = met & (end >= F.lit(window_start).cast("date"))
+    if window_end:
+        met = met & (start <= F.lit(window_end).cast("date"))
+    return met
+
+
 def segment_detail(daily: DataFrame, *, window_start: str | None = None, window_end: str | None = None, max_gap: int = DEFAULTS.max_gap_days) -> DataFrame:
     """(symbol, segment_id, n_rows, seg_start, seg_end, max_gap, in_window) of every segment.
 
@@ -113,19 +125,17 @@ def segment_detail(daily: DataFrame, *, window_start: str | None = None, window_
     cut = segments(daily, max_gap=max_gap)
     inside = F.when(F.col("gap_days") <= max_gap, F.col("gap_days")).otherwise(0)
     stats = cut.groupBy("symbol", "segment_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("seg_start"), F.max("date").alias("seg_end"), F.max(inside).alias("max_gap"))
-    met = F.lit(True)
-    if window_start:
-        met = met & (F.col("seg_end") >= F.lit(window_start).cast("date"))
-    if window_end:
-        met = met & (F.col("seg_start") <= F.lit(window_end).cast("date"))
-    return stats.withColumn("in_window", met)
+    return stats.withColumn("in_window", _in_window(window_start, window_end, F.col("seg_start"), F.col("seg_end")))
 
 
 def contiguity_filter(daily: DataFrame, *, window_start: str | None = None, window_end: str | None = None, max_gap: int = DEFAULTS.max_gap_days) -> DataFrame:
     """Each symbol's best segment: one that meets the window, then the longest, then the latest."""
-    detail = segment_detail(daily, window_start=window_start, window_end=window_end, max_gap=max_gap)
-    best = detail.groupBy("symbol").agg(F.max_by("segment_id", F.struct("in_window", "n_rows", "seg_end")).alias("segment_id"))
-    return segments(daily, max_gap=max_gap).join(best, ["symbol", "segment_id"], "left_semi").select(*daily.columns)
+    own = Window.partitionBy("symbol", "segment_id")
+    # A symbol's rows are together from the first rule on, so this costs no further shuffle.
+    cut = segments(daily, max_gap=max_gap).withColumn("n__", F.count(F.lit(1)).over(own)).withColumn("from__", F.min("date").over(own)).withColumn("to__", F.max("date").over(own))
+    place = F.struct(_in_window(window_start, window_end, F.col("from__"), F.col("to__")).alias("in_window"), "n__", "to__", "segment_id")
+    best = cut.withColumn("best__", F.max(place).over(Window.partitionBy("symbol")))
+    return best.filter(F.col("segment_id") == F.col("best__.segment_id")).select(*daily.columns)
 
 
 def max_internal_gap(daily: DataFrame) -> DataFrame:
@@ -135,8 +145,7 @@ def max_internal_gap(daily: DataFrame) -> DataFrame:
 
 def min_history(daily: DataFrame, *, days: int = DEFAULTS.min_history_days) -> DataFrame:
     """Rows of symbols with at least so many rows."""
-    enough = daily.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= days)
-    return daily.join(enough, "symbol", "left_semi")
+    return daily.withColumn("n__", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).filter(F.col("n__") >= days).drop("n__")
 
 
 def gate_survivors(
