@@ -13,7 +13,11 @@ The content nodes choose the article and what belongs to it:
   element, or the deepest element that holds all content.
 * Of the article, content nodes are returned with the other nodes of their blocks. A block without
   content is returned if it lies between content, is a heading before it, or, in an ``article`` or ``main``
-  element, lies anywhere; but not if most of its element's text is links and the ratios found nothing there.
+  element, lies anywhere; but not if most of its element's text is links and the ratios found nothing there,
+  and not if it is one of _ITEMS or more short neighbours of one path, without punctuation, before or after all content.
+
+Inside ``article`` and ``main``, the id or class of a heading, that of a paragraph (but for adverts and comments), and an id
+made of words that aren't parts of a page are anchors and exclude nothing.
 
 Defined cases: a null or empty page, or one without text, gives the empty string; tags left open,
 cut-off markup and unknown tags are allowed, at any depth; a null page id or url is kept; repeated rows
@@ -62,10 +66,21 @@ _WORDS = frozenset(
 _SAYS = frozenset("no has have with without not non is hide show".split())
 _SITE = frozenset("site page top main global".split())
 _COMMENTS = frozenset("comment comments disqus respond".split())
+#: Words of adverts and the like, which name a paragraph too; and what the rest of a compound id says of an element's part in the page.
+#: An id with other words in it, inside an article, is an anchor that says what the text is about.
+_ADVERTS = frozenset("ad ads advert adverts advertisement advertising banner cookie cookies consent gdpr newsletter popup promo promoted promotion sponsor sponsored subscribe".split())
+_PARTS_OF_PAGE = frozenset(
+    "area articles bar block body bottom box btn button container content count div element group header holder inner item items left link links list"
+    " main outer page panel post posts reply right row section sections site slot stories thread title top unit wrap wrapper zone".split()
+)
 _INLINE = frozenset("p b i em strong span a".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Characters of content that an excluded element must hold to be the article after all.
 _PROSE = 120
+#: Neighbouring short nodes of one path, none with punctuation, that are a menu where they stand before or after an article's content, and their characters at most on average.
+_ITEMS, _ITEM = 8, 40
+#: Elements whose short texts are lists or tables of an article.
+_LISTED = frozenset("li dt dd td th pre caption figcaption summary address".split())
 
 
 def _named(value: str, header: bool) -> int:
@@ -123,10 +138,20 @@ class _Page:
                 return 2
             if name == "role" and value in _ROLES:
                 found = found or 1
-            elif name in ("class", "id"):
+            elif name in ("class", "id") and not (inside and self._anchor(tag, name, value)):
                 found = max(found, _named(value, not inside))
         return found
 
+    @staticmethod
+    def _anchor(tag: str, name: str, value: str) -> bool:
+        """Whether a class or id, inside an article, only tells of the text: a heading's, a paragraph's but for adverts, or an id of some words."""
+        if tag in _HEADINGS:
+            return True
+        parts = [x for x in _PARTS.split(value) if x]
+        if tag == "p":
+            return not set(re.split(r"[-_\s]+", value)) & (_ADVERTS | _COMMENTS)
+        return name == "id" and " " not in value and len(parts) > 1 and not all(x in _WORDS or x in _PARTS_OF_PAGE or x.isdigit() or len(x) == 1 for x in parts)
+
     def _text(self, at: int, raw: str) -> None:
         if raw:
             self.nodes.append((at, self.block, raw))
@@ -229,6 +254,29 @@ def _content(page: _Page, texts: list[str], among: list[int], strictness: float)
     return [i for i, v in zip(among, fused.tolist()) if v >= least]
 
 
+def _edge_items(page: _Page, texts: list[str], among: list[int], first: int, last: int) -> set[int]:
+    """Blocks, before the first or after the last with content, of at least _ITEMS neighbouring nodes of one path whose ratios are those of a menu."""
+    out: set[int] = set()
+    run: list[int] = []
+    path = -1
+
+    def end() -> None:
+        lengths = [len(texts[i].strip()) for i in run]
+        if len(run) >= _ITEMS and sum(lengths) <= _ITEM * len(run) and not any(_PUNCTUATION.search(texts[i]) for i in run):
+            out.update(page.nodes[i][1] for i in run)
+
+    for i in among:
+        e, block, _ = page.nodes[i]
+        own = page.path_of[e] if not first <= block <= last and page.tag[page.nearest[e]] not in _LISTED | _HEADINGS else -1
+        if own != path or own < 0:
+            end()
+            run, path = [], own
+        if own >= 0:
+            run.append(i)
+    end()
+    return out
+
+
 def main_text(html: str | None, *, strictness: float = 0.5, share: float = 0.8) -> str:
     """The article's text: blocks in page order, joined by an empty line."""
     if not html:
@@ -284,10 +332,11 @@ def main_text(html: str | None, *, strictness: float = 0.5, share: float = 0.8)
     menu = _below([not found[e] and page.tag[e] in _BLOCK - _HEADINGS - {"p", "li"} and 2 * linked[e] > all_text[e] for e in range(n)], page.parent)
     content = {page.nodes[i][1] for i in chosen if inside[page.nodes[i][0]]}
     first, last = min(content, default=0), max(content, default=-1)
+    items = _edge_items(page, texts, [i for i in kept if inside[page.nodes[i][0]]], first, last)
     blocks: dict[int, list[str]] = defaultdict(list)
     heads: set[int] = set()
     for i, (e, block, _) in enumerate(page.nodes):
-        if inside[e] and not outside[e] and (not menu[e] or block in content):
+        if inside[e] and not outside[e] and block not in items and (not menu[e] or block in content):
             blocks[block].append(texts[i])
             if page.tag[page.nearest[e]] in _HEADINGS:
                 heads.add(block)

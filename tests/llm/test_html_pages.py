@@ -86,3 +86,41 @@ def test_deep_pages(tag):
 
     text, took, peak = run(50_000)
     assert text.startswith(PARAGRAPHS[0]) and took < 30 and peak < 150e6
+
+
+WHOLE = "\n\n".join(PARAGRAPHS * 2)
+
+
+@pytest.mark.parametrize("outer", ["article", "main"])
+@pytest.mark.parametrize("inner", ["<section id='related-work'>{}</section>", "<section id=comment-on-results>{}</section>", "<div id='form-and-function'>{}</div>"])
+def test_anchors_inside_an_article_exclude_nothing(outer, inner):
+    assert htmltext.main_text(f"<body><nav>x</nav><{outer}>{ARTICLE}{inner.format(ARTICLE)}</{outer}></body>") == WHOLE
+
+
+@pytest.mark.parametrize("tag", ["h2 id=notice", "h2 id='form'", "h3 class=related", "p class='social'"])
+def test_named_headings_and_paragraphs_of_an_article_stay(tag):
+    name = tag.split()[0]
+    assert htmltext.main_text(f"<body><article>{ARTICLE}<{tag}>{LONG}</{name}>{ARTICLE}</article></body>") == "\n\n".join([*PARAGRAPHS, LONG, *PARAGRAPHS])
+
+
+@pytest.mark.parametrize("other", [
+    "<section id='comments'>{}</section>", "<div id='comment-7'>{}</div>", "<div id='comment-list'>{}</div>", "<div class=ad>{}</div>", "<p class='ad'>Buy, now.</p>", "<div id='ad-1'>{}</div>",
+    "<div id='related-posts'>{}</div>", "<div id='social-share'>{}</div>", "<div class='related-work'>{}</div>", "<p class='x comment'>Well, no.</p>",
+])
+def test_names_of_page_parts_inside_an_article_exclude(other):
+    assert htmltext.main_text(f"<body><article>{ARTICLE}{other.format(ARTICLE)}{ARTICLE}</article></body>") == WHOLE
+
+
+@pytest.mark.parametrize("outer", ["article", "main"])
+def test_plain_menus_at_the_edges_of_an_article_go(outer):
+    menu = lambda w, t: f"<div>{''.join(f'<{t}>{w} {i}</{t}>' for i in range(20))}</div>"
+    page = f"<body><{outer}>{menu('Item', 'div')}<h1>Head</h1>{ARTICLE}{menu('Thing', 'span')}</{outer}></body>"
+    assert htmltext.main_text(page) == "\n\n".join(["Head", *PARAGRAPHS])
+    assert htmltext.main_text(page, strictness=-1e9) != htmltext.main_text(page)  # the ratios tell them from the text
+    # Lists, tables and what lies between content are the article's, and so are a few short lines.
+    listed = f"<ul>{''.join(f'<li>Item {i}</li>' for i in range(20))}</ul>"
+    assert htmltext.main_text(f"<body><{outer}>{ARTICLE}{listed}</{outer}></body>") == "\n\n".join([*PARAGRAPHS, *(f"Item {i}" for i in range(20))])
+    inside = menu("Line", "div")
+    assert htmltext.main_text(f"<body><{outer}>{ARTICLE}{inside}{ARTICLE}</{outer}></body>") == "\n\n".join([*PARAGRAPHS, *(f"Line {i}" for i in range(20)), *PARAGRAPHS])
+    few = "".join(f"<div>Line {i}</div>" for i in range(5))
+    assert htmltext.main_text(f"<body><{outer}>{ARTICLE}{few}</{outer}></body>") == "\n\n".join([*PARAGRAPHS, *(f"Line {i}" for i in range(5))])
