@@ -162,13 +162,12 @@ def half_life(s: np.ndarray) -> float:
     return math.nan if math.isnan(phi) or phi <= 0 else math.inf if phi >= 1 else -math.log(2.0) / math.log(phi)
 
 
-def rolling_machine(z: np.ndarray, entry: float, exit_: float, stop: float, max_holding: int) -> tuple[np.ndarray, np.ndarray, list]:
+def rolling_machine(z: np.ndarray, entry: float, exit_: float, stop: float, max_holding: int, side: int = 0, bars: int = 0) -> tuple[np.ndarray, np.ndarray, list]:
     """(position, held, reason) at each bar: enter beyond entry, leave by stop, then reversion, then time.
 
-    A NaN carries the state. The bar of an exit is flat and never enters anew.
+    A NaN carries the state. The bar of an exit is flat and never enters anew. ``side`` and ``bars`` are the state before the first bar.
     """
     position, held, reason = np.zeros(len(z), np.int8), np.zeros(len(z), np.int32), [None] * len(z)
-    side = bars = 0
     for i, v in enumerate(z.tolist()):
         if v == v:
             if side == 0:
@@ -185,6 +184,32 @@ def rolling_machine(z: np.ndarray, entry: float, exit_: float, stop: float, max_
     return position, held, reason
 
 
+def machine_state(number: int, max_holding: int) -> tuple[int, int]:
+    """(side, bars) of a numbered state: 0 is flat, then long for 1 to max_holding bars, then short."""
+    return (0, 0) if number == 0 else (1, number) if number <= max_holding else (-1, number - max_holding)
+
+
+def rolling_transitions(z: np.ndarray, entry: float, exit_: float, stop: float, max_holding: int) -> np.ndarray:
+    """The numbered state after z of rolling_machine, for each numbered state before it.
+
+    All states run side by side until they have met, at the latest when the longest holding is over and all were flat at once.
+    """
+    each = np.arange(1, max_holding + 1)
+    side, bars = np.r_[0, np.ones_like(each), -np.ones_like(each)], np.r_[0, each, each]
+    seen = z[~np.isnan(z)]
+    for i, v in enumerate(seen.tolist()):
+        if (side == side[0]).all() and (bars == bars[0]).all():
+            position, held, _ = rolling_machine(seen[i:], entry, exit_, stop, max_holding, int(side[0]), int(bars[0]))
+            side, bars = np.full_like(side, position[-1]), np.full_like(bars, held[-1])
+            break
+        toward = v * side
+        new = -1 if v > entry else 1 if v < -entry else 0
+        flat = side == 0
+        out = (toward <= -stop) | (toward >= -exit_) | (bars >= max_holding)
+        side, bars = np.where(flat, new, np.where(out, 0, side)), np.where(flat, abs(new), np.where(out, 0, bars + 1))
+    return np.where(side == 0, 0, np.where(side > 0, bars, bars + max_holding)).astype(np.int32)
+
+
 def ou_machine(z: np.ndarray, entry: float, hard_stop: float | None, max_holding: int) -> tuple[np.ndarray, np.ndarray, list]:
     """(position, held, reason): enter at or beyond the threshold, leave by hard stop, at the crossing of zero, or by time.
 

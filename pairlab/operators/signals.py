@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.checkpoints import materialized
 from pairlab.functions import kernels
 from pairlab.params import DEFAULTS
 
@@ -154,6 +155,49 @@ def rolling_signals(
     return rows.groupBy(*keys, *([session] if session else [])).applyInPandas(run, _schema(rows))
 
 
+def rolling_signals_in_parts(
+    rows: DataFrame, keys: list[str], order: str, part: str, *, z: str = "z", entry: float = DEFAULTS.entry_z, exit_: float = DEFAULTS.exit_z, stop: float = DEFAULTS.stop_z, max_holding: int | str = DEFAULTS.max_holding
+) -> DataFrame:
+    """rolling_signals without sessions, where a long group runs in many tasks, one for each value of ``part``, which must not fall in ``order``.
+
+    First each part tells which state it ends in for every state that it may begin in; these tables, 2 * max_holding + 1
+    numbers a part, are chained along each group; then each part runs from the state that it begins in.
+    """
+    if min(entry, exit_, stop) <= 0 or exit_ >= entry or stop <= entry or not isinstance(max_holding, str) and max_holding < 1:
+        raise ValueError("needs 0 < exit < entry < stop and max_holding of at least 1")
+    rows = materialized(rows)  # read by both passes
+    by = [*keys, part]
+
+    def schema(names: list[str], more: str) -> str:
+        return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names] + [more])
+
+    named = [f.name for f in rows.schema.fields if f.name in by]
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        most = int(_of(pdf, max_holding))
+        return pdf[named].iloc[:1].assign(most__=most, ends__=[kernels.rolling_transitions(pdf[z].to_numpy(float), entry, exit_, stop, most).tolist()])
+
+    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(part)
+        begins, state = [], 0
+        for ends in pdf["ends__"]:
+            begins.append(state)
+            state = int(ends[state])
+        return pdf[named].assign(begin__=begins)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        most = int(_of(pdf, max_holding))
+        side, bars = kernels.machine_state(int(pdf["begin__"].iloc[0]), most)
+        position, held, reason = kernels.rolling_machine(pdf[z].to_numpy(float), entry, exit_, stop, most, side, bars)
+        return pdf.drop(columns="begin__").assign(position=position.astype(np.int32), held=held, exit_reason=reason)
+
+    tables = rows.groupBy(*by).applyInPandas(summary, schema(by, "most__ int, ends__ array<int>"))
+    begins = tables.groupBy(*keys).applyInPandas(chained, schema(by, "begin__ int"))
+    return rows.join(begins, by).select(*rows.columns, "begin__").groupBy(*by).applyInPandas(run, _schema(rows))
+
+
 def ou_signals(
     rows: DataFrame, keys: list[str], order: str, *, z: str = "z_ou", entry: float | str, max_holding: int | str, hard_stop: float | None = None, session: str | None = None, tradeable: str | None = None
 ) -> DataFrame:

@@ -156,3 +156,9 @@ def grid_fixed_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = grid.cell_metrics(cells, trades, sessions.withColumn("pair", F.concat_ws("~", *KEYS)), grid.exclusion_counts(plans, ["cell_id"]), "session")
     exits = [f"exit_{e}" for e in grid.EXIT_ORDER[:-1]]
     return rounded(table.select("regime", "spread_bps", "stop_mode", "n_trades", *exits, "n_pairs", "n_sessions", "gross_total_pct", "net_total_pct", "net_sharpe", "net_max_drawdown_pct"))
+
+
+@query(bars.ROLL_B + bars.SIG_OUT)
+def signals_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overnight machine with each session in a task of its own."""
+    return bars._states(signals.rolling_signals_in_parts(bars.z_bars(spark, sf_dir), KEYS, "t", "session", entry=1.5, max_holding=20))

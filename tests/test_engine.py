@@ -112,3 +112,30 @@ def test_closed_form_matches_simulation():
         live &= x < a
     # From -a the path meets 0 first and then either end alike, so a passage to a takes two cycles.
     assert t.mean() == pytest.approx(2 * float(kernels.cycle_length(a, kappa, sigma_eq)), rel=0.12)
+
+
+def test_machine_over_parts_equals_the_whole(spark):
+    """Parts of one bar, of many, and without any z; holdings longer than a part; a holding limit a group."""
+    import numpy as np
+    import pytest
+
+    from pairlab.operators import signals
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for k, p in enumerate("ab"):
+        z = np.cumsum(rng.normal(0, 0.6, 400)) * 0.3 + rng.normal(0, 1.2, 400)
+        z[rng.random(400) < 0.1] = np.nan
+        z[100:140] = np.nan
+        rows += [(p, i, i // 30 if p == "a" else int(np.sqrt(i)), float(z[i]), 7 + 40 * k, "x") for i in range(400)]
+    df = spark.createDataFrame(rows, "pair string, t int, part int, z double, most int, position_before string").repartition(4)
+    for most in (5, "most"):
+        kw = dict(entry=1.2, exit_=0.3, stop=4.0, max_holding=most)
+        want = signals.rolling_signals(df, ["pair"], "t", **kw)
+        got = signals.rolling_signals_in_parts(df, ["pair"], "t", "part", **kw)
+        assert got.columns == want.columns
+        key = lambda r: (r.pair, r.t, r.position, r.held, r.exit_reason)
+        assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.collect()), key=str)
+    assert signals.rolling_signals_in_parts(df.limit(0), ["pair"], "t", "part").count() == 0
+    with pytest.raises(ValueError):
+        signals.rolling_signals_in_parts(df, ["pair"], "t", "part", entry=0.1)

@@ -84,3 +84,19 @@ def test_half_life_and_hurst():
     assert k.half_life(s) == pytest.approx(math.log(0.5) / math.log(0.9), rel=0.15)
     assert k.hurst(s) < 0.3 < 0.4 < k.hurst(np.cumsum(rng.normal(size=4000))) < 0.6
     assert math.isnan(k.hurst(np.arange(10.0))) and math.isnan(k.half_life(np.array([1.0, 2.0])))
+
+
+def test_transitions_are_the_machine_from_every_state():
+    rng = np.random.default_rng(6)
+    for most in (1, 3, 12):
+        for n in (0, 1, 2, 5, 60):
+            for scale in (0.8, 2.5):
+                z = rng.normal(0, scale, n)
+                z[rng.random(n) < 0.2] = np.nan
+                got = k.rolling_transitions(z, 1.5, 0.5, 3.0, most)
+                assert len(got) == 2 * most + 1
+                for number, end in enumerate(got.tolist()):
+                    side, bars = k.machine_state(number, most)
+                    position, held, _ = k.rolling_machine(z, 1.5, 0.5, 3.0, most, side, bars)
+                    want = (int(position[-1]), int(held[-1])) if n else (side, bars)
+                    assert k.machine_state(end, most) == want

@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 NAMES = [
     "trading_calendar", "residual_split_adjust", "split_audit_status", "liquidity_filter", "contiguity_filter", "validation_gate", "apply_repair", "dedup_keep_last", "adv_distribution",
     "corr_pairs", "hurst_exponent", "bh_fdr", "build_folds", "rolling_signals", "trades_daily", "portfolio_metrics", "tod_adjusted_z", "signals_two_regime_a", "signals_ou_hard", "intraday_trades", "cost_ladder",
-    "two_regime_metrics", "grid_fixed_thresholds", "spread", "rolling_zscore", "liquidity_by_fold", "card_curves", "card_union_axis", "position_segments", "per_pair_summary", "leg_levels",
+    "two_regime_metrics", "grid_fixed_thresholds", "spread", "rolling_zscore", "liquidity_by_fold", "signals_in_parts", "card_curves", "card_union_axis", "position_segments", "per_pair_summary", "leg_levels",
 ]
 
 
