@@ -235,3 +235,25 @@ def rollups(found: dict[str, DataFrame], rolling: DataFrame, chosen: DataFrame,
         "ladder": metrics.select("engine", "freq_min", "regime", "stop_mode", "spread_bps", "net_sharpe", "net_total_pct").orderBy("engine", "freq_min", "regime", "stop_mode", "spread_bps"),
         "drift": found["diagnostics"].select("freq_min", *KEYS, "drift_mean", "drift_flag").orderBy("freq_min", "drift_mean"),
     }
+
+
+def matched_engines(found: dict[str, DataFrame], rolling: dict[int, dict[str, DataFrame]], *, freq: int = 5, regime: str = "B", spread_bps: float = 3.0) -> DataFrame:
+    """The cost ladders of both engines over the pair-folds that the threshold engine trades in its headline cell, without a hard stop.
+
+    ``found`` are the tables of ou_grid, ``rolling`` those of two_regimes or kept_regimes by frequency.
+    """
+    by = ["engine", "freq_min", "regime", "spread_bps", "stop_mode"]
+    cells = found["metrics"].select("cell_id", *by)
+    headline = (F.col("freq_min") == freq) & (F.col("regime") == regime) & (F.col("spread_bps") == spread_bps) & (F.col("stop_mode") == "none")
+    universe = found["marked"].filter("exclusion_reason IS NULL").join(cells.filter(headline).select("cell_id"), "cell_id", "left_semi").select(*KEYS)
+    own = cells.filter((F.col("regime") == regime) & (F.col("stop_mode") == "none") & F.col("freq_min").isin(*rolling))
+    sessions = [found["sessions"].select("cell_id", *KEYS, "session", "gross", "net").join(own, "cell_id").drop("cell_id")]
+    trades = [found["trades"].select("cell_id", *KEYS).join(own, "cell_id").drop("cell_id")]
+    for f, run in rolling.items():  # a handful of frequencies
+        marks = {"engine": F.lit("rolling"), "freq_min": F.lit(f), "stop_mode": F.lit("none")}
+        sums = run["sessions"].filter(F.col("regime") == regime).withColumns(marks)
+        sessions.append(sums.select(*KEYS, "session", "gross", "net", *by))
+        # A rolling trade doesn't depend on the cost: it counts at each.
+        each = run["trades"].filter(F.col("regime") == regime).withColumns(marks).drop("spread_bps")
+        trades.append(each.crossJoin(F.broadcast(backtest.cost_ladder(run["trades"].sparkSession))).select(*KEYS, *by))
+    return reports.matched_ladder(reduce(DataFrame.unionByName, sessions), reduce(DataFrame.unionByName, trades), universe, KEYS, by, "session")

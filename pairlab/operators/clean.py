@@ -6,6 +6,7 @@ tables are joined back and left to the optimizer to broadcast where they are sma
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 from operator import or_
 
@@ -70,6 +71,12 @@ def split_smoothness(daily: DataFrame, splits: DataFrame, *, tolerance: float =
     return joined.withColumn("smooth", F.coalesce(F.abs("ret") < tolerance, F.lit(False)))
 
 
+def smooth_at(daily: DataFrame, symbol: str, day: date | str, *, tolerance: float = DEFAULTS.smooth_tolerance) -> bool:
+    """Whether one symbol's return on a day is within tolerance; no row there, or none before it, is not smooth."""
+    one = daily.sparkSession.range(1).select(F.lit(symbol).alias("symbol"), F.lit(day).cast("date").alias("ex_date"))
+    return split_smoothness(daily.filter(F.col("symbol") == symbol), one, tolerance=tolerance).first().smooth
+
+
 def trim_phantoms(daily: DataFrame, excused: DataFrame | None = None, *, jump: float = DEFAULTS.phantom_jump) -> DataFrame:
     """History from each symbol's latest unexcused jump on; ``excused(symbol, date)``."""
     marked = daily.withColumn("ret__", simple_return())

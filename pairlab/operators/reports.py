@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlab.checkpoints import small
+from pairlab.checkpoints import materialized, small
 from pairlab.operators.backtest import metrics
 from pairlab.operators.grid import EXIT_ORDER, exit_name
 
@@ -61,6 +61,18 @@ def matched_universe(sessions: DataFrame, universe: DataFrame, keys: list[str],
     return metrics(port, by, date, value)
 
 
+def matched_ladder(sessions: DataFrame, trades: DataFrame, universe: DataFrame, keys: list[str], by: list[str], date: str) -> DataFrame:
+    """(by, n_trades, gross and net total_pct and sharpe): portfolios and trades of all ``by`` over the same pair-folds, those of ``universe``.
+
+    ``sessions(keys, by, date, gross, net)``; a row a trade in ``trades(keys, by)``. What has no session of the universe has no row.
+    """
+    chosen = sessions.join(small(universe.select(*keys).distinct()), keys, "left_semi")
+    port = materialized(chosen.groupBy(*by, date).agg(F.avg("gross").alias("gross"), F.avg("net").alias("net")))  # a row a session and variant
+    sides = [metrics(port, by, date, v).select(*by, F.col("total_pct").alias(f"{v}_total_pct"), F.col("sharpe").alias(f"{v}_sharpe")) for v in ("gross", "net")]
+    n = trades.join(small(universe.select(*keys).distinct()), keys, "left_semi").groupBy(*by).agg(F.count(F.lit(1)).alias("n_trades"))
+    return sides[0].join(sides[1], by).join(n, by, "left").na.fill(0, ["n_trades"])
+
+
 def excluding(sessions: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
     """sessions twice, as variant ``all`` and, without the excluded pairs, ``ex_listed``."""
     rest = sessions.join(excluded.select(*keys).distinct(), keys, "left_anti")

@@ -270,3 +270,45 @@ def test_pair_report(spark, tmp_path):
     curve = {(r.pair, r.date): r.cum_pct for r in found["pair_curves"].collect()}
     assert curve["AA~BB", days[59]] == pytest.approx(a.net_total_pct)
     assert [r["pair"] for r in spark.read.csv(f"{tmp_path}/pair_summary_csv", header=True).collect()] == sorted(told, key=lambda p: -told[p].net_total_pct)
+
+
+def test_both_engines_over_the_same_pair_folds(spark):
+    """Only pair-folds of the headline cell count, in both engines, at each frequency and cost."""
+    rng = np.random.default_rng(5)
+    cells = [(k, "ou", f, "B", c, s) for k, (f, c, s) in enumerate([(5, 1.0, "none"), (5, 3.0, "none"), (5, 3.0, "hard"), (15, 3.0, "none")])]
+    folds = [(0, "A", "X"), (0, "B", "X"), (1, "A", "X")]
+    out = {folds[1]: "hl_band"}
+    marked = [(*f, k, out.get(f) if k == 1 else None) for f in folds for k in range(4)]
+    sessions = [(*f, k, D0 + timedelta(d), float(rng.normal()) / 50, float(rng.normal()) / 50) for f in folds for k in range(4) for d in range(6)]
+    trades = [(*f, k) for f in folds for k in range(4) for _ in range(f[0] + 1)]
+    rolled = [(*f, g, c, D0 + timedelta(d), float(rng.normal()) / 50, float(rng.normal()) / 50) for f in folds for g in "AB" for c in (1.0, 3.0, 5.0, 8.0) for d in range(6)]
+    key = "fold_id int, y_sym string, x_sym string"
+    df = lambda rows, more: spark.createDataFrame(rows, f"{key}, {more}")
+    found = {
+        "metrics": spark.createDataFrame(cells, "cell_id int, engine string, freq_min int, regime string, spread_bps double, stop_mode string"), "marked": df(marked, "cell_id int, exclusion_reason string"),
+        "sessions": df(sessions, "cell_id int, session date, gross double, net double"), "trades": df(trades, "cell_id int"),
+    }
+    run = {"sessions": df(rolled, "regime string, spread_bps double, session date, gross double, net double"), "trades": df([(*f, g) for f in folds for g in "AB" for _ in range(3)], "regime string")}
+    got = {(r.engine, r.freq_min, r.spread_bps): r for r in bars_jobs.matched_engines(found, {5: run}).collect()}
+    kept = [folds[0], folds[2]]
+    assert set(got) == {("ou", 5, 1.0), ("ou", 5, 3.0)} | {("rolling", 5, c) for c in (1.0, 3.0, 5.0, 8.0)}
+
+    def want(rows, at):
+        by = defaultdict(list)
+        for r in rows:
+            by[r[-3]].append(r[at])
+        v = np.array([np.mean(by[d]) for d in sorted(by)])
+        return math.expm1(v.sum()) * 100, v.mean() / v.std(ddof=1) * math.sqrt(252)
+
+    for (engine, _, c), r in got.items():
+        rows = [s for s in sessions if s[:3] in kept and s[3] == (0 if c == 1 else 1)] if engine == "ou" else [s for s in rolled if s[:3] in kept and s[3] == "B" and s[4] == c]
+        assert (r.gross_total_pct, r.gross_sharpe) == pytest.approx(want(rows, -2)) and (r.net_total_pct, r.net_sharpe) == pytest.approx(want(rows, -1))
+        assert r.n_trades == (3 if engine == "ou" else 6)
+
+
+def test_one_key_smoothness(spark):
+    from pairlab.operators import clean
+
+    daily = spark.createDataFrame([("A", D0 + timedelta(i), c) for i, c in enumerate((100.0, 104.0, 52.0))] + [("B", D0, 1.0)], "symbol string, date date, close double")
+    assert clean.smooth_at(daily, "A", D0 + timedelta(1)) and not clean.smooth_at(daily, "A", "2020-01-03")
+    assert not clean.smooth_at(daily, "A", D0) and not clean.smooth_at(daily, "C", D0) and clean.smooth_at(daily, "A", D0 + timedelta(2), tolerance=0.6)
