@@ -100,7 +100,8 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.cells(spark).select("freq_min", "regime", "spread_bps", "stop_mode")
 
 
-@query()
+@query(bars.EXCLUDED_SQL + """, st AS (SELECT cell_id, unnest([0, 1, 2, 3, 4]) AS stage_no, unnest(['n_total', 'n_excluded_no_reversion', 'n_excluded_hl_band', 'n_excluded_infeasible', 'n_survivors']) AS stage,
+  unnest([n_total, n_excluded_no_reversion, n_excluded_hl_band, n_excluded_infeasible, n_survivors]) AS n FROM ec) SELECT * FROM st""")
 def stage_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialized(spread_bars(spark, sf_dir))
     counts = grid.exclusion_counts(bars._plans(spark, sf_dir, rows)[1], ["cell_id"])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pairlab import fixtures
 from pairlab.checkpoints import materialized
-from pairlab.operators import backtest, calendars, grid, intraday, reports, signals
+from pairlab.operators import backtest, calendars, cycles, grid, intraday, reports, signals
+from pairlab.params import DEFAULTS
 from pairlab.plans.daily import metrics_sql, num, query, rounded
 
 KEYS = ["y_sym", "x_sym"]
@@ -418,12 +419,47 @@ def equity_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.equity_union(_sessions(materialized(rolling_run(spark, sf_dir, "B"))), "y_sym", ["click", "purchase"], "session"))
 
 
-@query()
+def erfi_sql(u: str, damped: str = "0") -> str:
+    """exp(-damped) erfi(u) for u > 0 in DuckDB, by 400 terms of its series."""
+    return f"(2 / sqrt(pi()) * list_sum(list_transform(range(0, 400), lambda n: exp((2 * n + 1) * ln({u}) - lgamma(n + 1) - {damped}) / (2 * n + 1))))"
+
+
+def _least_gain_sql() -> str:
+    """Positive where the condition of the best threshold lies above lo and hi's middle."""
+    u = "((lo + hi) / 2 / (sigma_eq * sqrt(2)))"
+    return f"{erfi_sql(u, f'{u} * {u}')} > ((lo + hi) / 2 - c) * 2 / sqrt(pi()) / (sigma_eq * sqrt(2))"
+
+
+#: Thresholds at every cost in DuckDB, by 70 halvings; th has a (null if there is none), feasible and rate.
+TH_SQL = "WITH RECURSIVE " + OU_SQL + f""", tc AS MATERIALIZED (
+  SELECT y_sym, x_sym, reject_reason = '' AS fit_ok, kappa, sigma_eq, beta, spread_bps, (1 + beta) * (spread_bps + {DEFAULTS.fixed_cost_bps}) / 1e4 AS c
+  FROM og JOIN fit USING (y_sym, x_sym), (SELECT unnest({[float(x) for x in DEFAULTS.spread_ladder_bps]})::DOUBLE AS spread_bps) WHERE beta >= 0
+), bi AS (
+  SELECT y_sym, x_sym, spread_bps, sigma_eq, c, c AS lo, 15 * sigma_eq AS hi, 0 AS i FROM tc WHERE sigma_eq > 0 AND 15 * sigma_eq > c
+  UNION ALL SELECT y_sym, x_sym, spread_bps, sigma_eq, c, CASE WHEN g THEN (lo + hi) / 2 ELSE lo END, CASE WHEN g THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM (SELECT *, {_least_gain_sql()} AS g FROM bi WHERE i < 70)
+), ta AS MATERIALIZED (SELECT tc.*, CASE WHEN (lo + hi) / 2 < 14.999::DOUBLE * tc.sigma_eq THEN (lo + hi) / 2 END AS a FROM tc LEFT JOIN (SELECT * FROM bi WHERE i = 70) b USING (y_sym, x_sym, spread_bps)),
+th AS MATERIALIZED (SELECT *, a IS NOT NULL AND fit_ok AS feasible, CASE WHEN a > 0 THEN pi() / (2 * kappa) * {erfi_sql('(a / (sigma_eq * sqrt(2)))')} END AS cycle FROM ta)"""
+
+
+@query(TH_SQL + "SELECT y_sym, x_sym, spread_bps, round(beta, 6) AS beta, round(c, 6) AS cost_log, round(a, 6) AS a, round(a / sigma_eq, 6) AS a_z, feasible, round(CASE WHEN a > c THEN (a - c) / cycle ELSE 0 END, 6) AS return_rate FROM th")
 def bertram_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    betas = spread_bars(spark, sf_dir).select(*KEYS, "beta").distinct()
-    fits = ou_fits(spark, sf_dir).join(betas, KEYS).filter("beta >= 0")
-    solved = intraday.thresholds(fits, backtest.cost_ladder(spark))
-    return rounded(solved.select(*KEYS, "spread_bps", "beta", "cost_log", "a", "a_z", "feasible", "return_rate"))
+    return rounded(_solved(spark, sf_dir).select(*KEYS, "spread_bps", "beta", "cost_log", "a", "a_z", "feasible", "return_rate"))
+
+
+def _solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread_bars(spark, sf_dir)
+    fits = ou_fits(spark, sf_dir).join(rows.select(*KEYS, "beta").distinct(), KEYS).filter("beta >= 0")
+    return intraday.thresholds(fits, backtest.cost_ladder(spark))
+
+
+@query(TH_SQL + "SELECT y_sym, x_sym, spread_bps, round(cycle, 4) AS cycle_closed, round((a - c) / cycle, 6) AS rate_closed, true AS cycle_agrees, true AS rate_agrees FROM th WHERE a > 0")
+def simulated_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean cycle and return per time at each pair's threshold and cost, and whether 1,000 simulated paths agree."""
+    drawn = cycles.simulate_cycles(_solved(spark, sf_dir), [*KEYS, "spread_bps"])
+    return drawn.select(
+        *KEYS, "spread_bps", num("cycle_closed", 4).alias("cycle_closed"), num("rate_closed").alias("rate_closed"),
+        cycles.agrees("cycle", "cycle_closed", "cycle_se").alias("cycle_agrees"), cycles.agrees("rate", "rate_closed", "rate_se").alias("rate_agrees"),
+    )
 
 
 def _plans(spark: SparkSession, sf_dir: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -435,7 +471,24 @@ def _plans(spark: SparkSession, sf_dir: str, rows: DataFrame) -> tuple[DataFrame
     return all_cells, marked.withColumn("max_holding", F.lit(20))
 
 
-@query()
+def _cells_sql() -> str:
+    """The grid's cells of one frequency in DuckDB, in their order."""
+    base = [(r, float(c), "none") for r in BANDS for c in DEFAULTS.spread_ladder_bps] + [(r, 3.0, "hard") for r in BANDS]
+    rows = ", ".join(f"({i}, '{r}', {c}::DOUBLE, '{s}', {BANDS[r][0]}::DOUBLE, {BANDS[r][1]}::DOUBLE)" for i, (r, c, s) in enumerate(base))
+    return f"(VALUES {rows}) AS cells(cell_id, regime, spread_bps, stop_mode, lo, hi)"
+
+
+#: Why a pair-fold has no part in a cell, in DuckDB, and how many have none for each reason.
+EXCLUDED_SQL = TH_SQL + f""", mk AS (
+  SELECT cell_id, regime, spread_bps, stop_mode, CASE WHEN NOT fit_ok THEN 'no_reversion' WHEN NOT coalesce(ln(2::DOUBLE) / kappa BETWEEN lo AND hi, false) THEN 'hl_band' WHEN NOT feasible THEN 'infeasible' ELSE '' END AS why
+  FROM th JOIN {_cells_sql()} USING (spread_bps)
+), ec AS (
+  SELECT cell_id, regime, spread_bps, stop_mode, count(*) AS n_total, count_if(why = 'no_reversion')::BIGINT AS n_excluded_no_reversion, count_if(why = 'hl_band')::BIGINT AS n_excluded_hl_band,
+    count_if(why = 'infeasible')::BIGINT AS n_excluded_infeasible, 0::BIGINT AS n_excluded_other, count_if(why = '')::BIGINT AS n_survivors FROM mk GROUP BY ALL
+)"""
+
+
+@query(EXCLUDED_SQL + "SELECT * FROM ec")
 def exclusion_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialized(spread_bars(spark, sf_dir))
     return grid.exclusion_counts(_plans(spark, sf_dir, rows)[1], ["cell_id", "regime", "spread_bps", "stop_mode"])
