@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,20 +12,28 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df computed once, without its lineage, for tables that several branches read.
-
-    The folder is spark.checkpoint.dir; only a local session without one gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
+def _checkpoint_dir(spark) -> str:
+    """The session's checkpoint folder, set from spark.checkpoint.dir; only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="pairlab-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df computed once, in the session's checkpoint folder and without its lineage, for tables that several branches read."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def small(df: DataFrame) -> DataFrame:
     """df marked for broadcast if its rows, counted up to the bound, are within BROADCAST_ROWS; else df as it is."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def shared_folder(spark, name: str) -> str:
+    """A new folder's path for tables that a query writes and reads again, beside the checkpoints."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -87,17 +87,27 @@ def forward_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.forward_filled(sums.filter("active").select(*KEYS, "session", "net"), sums, KEYS, "session", "net"))
 
 
-@query("""WITH h AS (SELECT i AS id, i * 0.37::DOUBLE AS hl FROM range(1, 200) t(i)), w AS (SELECT id, hl, least(greatest(round_even(hl * 375, 0)::INT, 375), 1875) AS m FROM h)
-SELECT id, m AS window_minutes, greatest(round_even(greatest(m, least(22500, round_even(hl * 1125, 0)::INT)) / 5.0::DOUBLE, 0)::INT, 1) AS bars_5 FROM w""")
+@query("WITH " + SB_SQL + """, nb AS (SELECT y_sym, x_sym, session, spread AS y, lag(spread) OVER (PARTITION BY y_sym, x_sym, session ORDER BY t) AS x FROM sb),
+ph AS (SELECT y_sym, x_sym, session, regr_slope(y, x) AS phi FROM nb WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 8),
+h AS (SELECT y_sym, x_sym, session, round(ln(2::DOUBLE) / -ln(phi) / 12, 6) AS hl FROM ph WHERE phi > 0 AND phi < 1), w AS (SELECT *, least(greatest(round_even(hl * 375, 0)::INT, 375), 1875) AS m FROM h)
+SELECT y_sym, x_sym, session, round(hl, 4) AS hl, m AS window_minutes, greatest(round_even(greatest(m, least(22500, round_even(hl * 1125, 0)::INT)) / 5.0::DOUBLE, 0)::INT, 1) AS bars_5 FROM w""")
 def holding_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = spark.range(1, 200).withColumn("hl", F.col("id") * 0.37)
-    return h.select("id", intraday.window_minutes(F.col("hl")).alias("window_minutes"), intraday.max_holding_bars(F.col("hl"), 5).alias("bars_5"))
+    """Windows and holding limits of the half-lives that each pair has in each session."""
+    own = [*KEYS, "session"]
+    fits = intraday.fit_ou(spread_bars(spark, sf_dir), own, "t", least=8).filter("fit_ok")
+    h = fits.select(*own, F.round(F.col("half_life_bars") / 12, 6).alias("hl"))
+    return h.select(*own, num("hl", 4).alias("hl"), intraday.window_minutes(F.col("hl")).alias("window_minutes"), intraday.max_holding_bars(F.col("hl"), 5).alias("bars_5"))
 
 
-@query("""WITH f AS (SELECT unnest([1, 5, 15])::INT AS freq_min), r AS (SELECT unnest(['A', 'B']) AS regime)
-SELECT freq_min, regime, c AS spread_bps, 'none' AS stop_mode FROM f, r, (SELECT unnest([1.0, 3.0, 5.0, 8.0])::DOUBLE AS c) UNION ALL SELECT freq_min, regime, 3.0::DOUBLE, 'hard' FROM f, r""")
+@query("WITH " + SB_SQL + f""", f AS (SELECT unnest([1, 5, 15])::INT AS freq_min), r AS (SELECT unnest(['A', 'B']) AS regime),
+c AS (SELECT freq_min, regime, c AS spread_bps, 'none' AS stop_mode FROM f, r, (SELECT unnest([1.0, 3.0, 5.0, 8.0])::DOUBLE AS c) UNION ALL SELECT freq_min, regime, 3.0::DOUBLE, 'hard' FROM f, r)
+SELECT y_sym, x_sym, freq_min, regime, spread_bps, stop_mode, round((1 + beta) * (spread_bps + {bars.DEFAULTS.fixed_cost_bps}) / 1e4, 8) AS cost_log FROM fit, c WHERE beta >= 0""")
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.cells(spark).select("freq_min", "regime", "spread_bps", "stop_mode")
+    """The grid's cells for each pair, with what a round trip costs there."""
+    betas = spread_bars(spark, sf_dir).select(*KEYS, "beta").distinct().filter("beta >= 0")
+    each = betas.crossJoin(F.broadcast(grid.cells(spark)))  # thirty cells
+    cost = backtest.pair_cost(F.col("beta"), backtest.leg_bps(F.col("spread_bps")))
+    return each.select(*KEYS, "freq_min", "regime", "spread_bps", "stop_mode", num(cost, 8).alias("cost_log"))
 
 
 @query(bars.EXCLUDED_SQL + """, st AS (SELECT cell_id, unnest([0, 1, 2, 3, 4]) AS stage_no, unnest(['n_total', 'n_excluded_no_reversion', 'n_excluded_hl_band', 'n_excluded_infeasible', 'n_survivors']) AS stage,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlab.plans import cards, daily, extra, intraday  # noqa: F401  register their queries with daily
+from pairlab.plans import cards, daily, extra, intraday, stores  # noqa: F401  register their queries with daily
 
 
 def queries() -> dict:
