@@ -443,6 +443,29 @@ def engle_granger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cointegration.test_pairs(renamed, ["pair"]))
 
 
+def _direction_sql(number: int, y: str, x: str) -> str:
+    """One direction of the Engle-Granger test without lags in DuckDB."""
+    fit = f"SELECT pair, regr_slope(ln({y}), ln({x})) AS beta, regr_intercept(ln({y}), ln({x})) AS alpha FROM pp GROUP BY pair"
+    step = f"SELECT pair, alpha, beta, ln({y}) - beta * ln({x}) - alpha AS v, lag(ln({y}) - beta * ln({x}) - alpha) OVER (PARTITION BY pair ORDER BY date) AS l FROM pp JOIN ({fit}) USING (pair)"
+    return f"""SELECT pair, {number} AS first, any_value(alpha) AS alpha, any_value(beta) AS beta, count(*) AS n_obs, 1 + regr_slope(v - l, l) AS phi,
+  regr_slope(v - l, l) / sqrt((regr_syy(v - l, l) - regr_slope(v - l, l) * regr_sxy(v - l, l)) / (count(l) - 2) / regr_sxx(v - l, l)) AS stat FROM ({step}) GROUP BY pair"""
+
+
+@query(f"""WITH {PAIR_SQL}, eg AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY least(greatest(stat, -18.83::DOUBLE), 2.74::DOUBLE), first) AS r FROM ({_direction_sql(0, 'y', 'x')} UNION ALL {_direction_sql(1, 'x', 'y')}))
+SELECT pair, split_part(pair, '~', 1 + first) AS y_sym, split_part(pair, '~', 2 - first) AS x_sym, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(stat, 5) AS adf_stat,
+  CASE WHEN phi >= 1 THEN 'inf' WHEN phi > 0 THEN printf('%.3f', round(ln(0.5::DOUBLE) / ln(phi), 3)) END AS half_life, n_obs FROM eg WHERE r = 1""")
+def engle_granger_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Engle-Granger test without lags, a year of each pair's bars or more in a task; the orders of the lags are tested elsewhere."""
+    from pairlab.operators import unit_root
+
+    aligned = cointegration.aligned_pairs(materialized(f2(spark, sf_dir)), same_sector_pairs(spark, sf_dir))
+    renamed = materialized(aligned.select("pair", F.col("y_sym").alias("sym1"), F.col("x_sym").alias("sym2"), "date", F.year("date").alias("year"), "y", "x"))
+    found = unit_root.engle_granger_in_parts(renamed, ["pair"], "date", "year", block_rows=5000, max_lag=0)
+    life = F.when(F.col("half_life") == float("inf"), "inf").otherwise(F.format_string("%.3f", F.round("half_life", 3)))
+    kept = found.select("pair", "y_sym", "x_sym", num("alpha").alias("alpha"), num("beta").alias("beta"), num("adf_stat", 5).alias("adf_stat"), F.when(F.col("half_life").isNotNull(), life).alias("half_life"), "n_obs")
+    return kept
+
+
 def fold_table(daily: DataFrame) -> DataFrame:
     """Two years before, two years of training and a year of test."""
     return calendars.build_folds(daily, prior=504, train=504, test=252)

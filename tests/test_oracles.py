@@ -11,7 +11,7 @@ NAMES = [
     "trading_calendar", "residual_split_adjust", "split_audit_status", "liquidity_filter", "contiguity_filter", "validation_gate", "apply_repair", "dedup_keep_last", "adv_distribution",
     "corr_pairs", "hurst_exponent", "bh_fdr", "build_folds", "rolling_signals", "trades_daily", "portfolio_metrics", "tod_adjusted_z", "signals_two_regime_a", "signals_ou_hard", "intraday_trades", "cost_ladder",
     "two_regime_metrics", "grid_fixed_thresholds", "spread", "rolling_zscore", "liquidity_by_fold", "signals_in_parts", "card_curves", "card_union_axis", "position_segments", "per_pair_summary", "leg_levels",
-    "bertram_thresholds", "simulated_cycles", "exclusion_funnel", "stage_funnel", "holding_limits", "grid_cells",
+    "engle_granger_in_parts", "bertram_thresholds", "simulated_cycles", "exclusion_funnel", "stage_funnel", "holding_limits", "grid_cells",
     "minute_store", "ingest_statistics", "order_gates", "universe_differences", "daily_store", "action_cache", "sector_tables", "unmapped_symbols", "validated_table",
 ]
 
