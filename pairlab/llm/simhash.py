@@ -8,8 +8,10 @@ flips left to it, and its variants below that prefix are formed there. This send
 fingerprint in place of thousands and yields the same meetings.
 
 Of the fingerprints that meet on one variant each is linked to the one nearest to it, not in all pairs;
-each link is verified by its distance. Equal fingerprints are one node from the start. A prefix that many
-fingerprints reach is divided by further bits, in the same way.
+each link is verified by its distance. Equal fingerprints are one node from the start. The variants below a
+prefix that many fingerprints reach are divided among tasks by parities of random bits of the variant, as many
+as the prefix needs: near copies share most bits but their variants spread evenly over parities, so a dense
+cloud is divided too. A fingerprint goes to those tasks in which it has a variant.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; fewer words
 than a shingle make one shingle; repeated rows and ties share a component, whose id is its
@@ -33,8 +35,10 @@ from pairlab.llm.graph import components
 _HASHES = 200_000
 #: Variants formed at a time in a task; a bound of memory.
 _VARIANTS = 500_000
-#: Variants below a prefix beyond which it is divided, and by how many bits.
-PREFIX_VARIANTS, DIVIDE = 4_000_000, 6
+#: Variants below a prefix beyond which they are divided among tasks.
+PREFIX_VARIANTS = 4_000_000
+#: Bits whose parities divide variants, one word a parity.
+_PARITIES = np.random.default_rng(9).integers(1, 2**64, 32, dtype=np.uint64)
 
 
 def shingle_hashes(text: str, width: int, seed: int) -> list[int]:
@@ -106,24 +110,33 @@ def masks(bits: int, flips: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for k in range(flips + 1) for c in combinations(range(bits), k)], np.uint64)
 
 
-def meeting_slices(fps: np.ndarray, left: np.ndarray, low: int, half: int, reach: int):
+def slice_of(words: np.ndarray, parities: int) -> np.ndarray:
+    """The number that the first ``parities`` parities of each word make; slice_of(a ^ b) is slice_of(a) ^ slice_of(b)."""
+    out = np.zeros(words.shape, np.uint64)
+    for k in range(parities):
+        out |= (np.bitwise_count(words & _PARITIES[k]) & 1).astype(np.uint64) << np.uint64(k)
+    return out
+
+
+def meeting_slices(fps: np.ndarray, left: np.ndarray, low: int, half: int, reach: int, parities: int = 0, slice_no: int = 0):
     """Pairs of places in ``fps`` that meet on a variant with up to ``left`` flips in the lowest ``low`` bits, slice by slice.
 
     Of the fingerprints on one variant each is paired with the one that flipped the fewest bits, if those are
-    at most ``half`` (two that flipped more meet elsewhere if they are near enough). When variants are many, a
-    slice holds those with equal lowest bits, and only they are formed for it.
+    at most ``half`` (two that flipped more meet elsewhere if they are near enough). Only variants whose first
+    ``parities`` parities make ``slice_no`` count; when these are still many, a slice holds those with further
+    parities equal, and only they are formed for it.
     """
     fps = fps & np.uint64((1 << low) - 1)
     kinds = [(r, masks(low, int(r)), np.flatnonzero(left == r)) for r in np.unique(left)]
-    total = sum(len(m) * len(i) for _, m, i in kinds)
-    slicing = min(low, max(0, (total // _VARIANTS).bit_length()))
-    bottom = np.uint64((1 << slicing) - 1)
+    total = sum(len(m) * len(i) for _, m, i in kinds) >> parities
+    slicing = min(len(_PARITIES), parities + (total // _VARIANTS).bit_length())
     sorted_kinds = []
     for r, m, i in kinds:
-        i, ends = i[np.argsort(fps[i] & bottom, kind="stable")], m & bottom
+        own, ends = slice_of(fps[i], slicing), slice_of(m, slicing)
+        order = np.argsort(own, kind="stable")
         by = {int(e): m[ends == e] for e in np.unique(ends)}
-        sorted_kinds.append((r, by, i, fps[i] & bottom))
-    for part in range(1 << slicing):
+        sorted_kinds.append((r, by, i[order], own[order]))
+    for part in range(slice_no, 1 << slicing, 1 << parities):
         values, owners, flips = [], [], []
         for r, by, i, ends in sorted_kinds:
             for end, m in by.items():
@@ -191,46 +204,64 @@ def links(distinct: DataFrame, *, radius: int = 4, prefix_bits: int | None = Non
     bits = prefix_bits if prefix_bits is not None else max(6, min(24, (max(n, 1) * 2081 // 2_000_000).bit_length()))
     low = 64 - bits
 
-    def emit(batches, shift: int, width: int):
-        """Each (prefix, fp, used) once for every prefix that is ``width`` bits longer, with the flips that reaching it takes."""
-        own_masks = masks(width, reach)
+    def emit(batches):
+        """Each (prefix, fp, used) once for every prefix of ``bits`` bits, with the flips that reaching it takes."""
+        own_masks = masks(bits, reach)
         own_flips = np.bitwise_count(own_masks).astype(np.int8)
         for b in batches:
             for at in range(0, b.num_rows, 10_000):
-                before, fp, used = (c.slice(at, 10_000).to_numpy(zero_copy_only=False) for c in b.columns)
-                place = fp.view(np.uint64) >> np.uint64(shift) & np.uint64((1 << width) - 1)
-                p = (before[:, None] << width) | (place[:, None] ^ own_masks[None, :]).astype(np.int64)
-                u = used[:, None] + own_flips[None, :]
-                there = u <= reach
-                f = np.broadcast_to(fp[:, None], p.shape)[there]
-                yield pa.RecordBatch.from_arrays([pa.array(p[there]), pa.array(f), pa.array(u[there])], names=["prefix", "fp", "used"])
-
-    def meet(pdf, low: int):
+                fp = b.column(0).slice(at, 10_000).to_numpy(zero_copy_only=False)
+                p = ((fp.view(np.uint64) >> np.uint64(low))[:, None] ^ own_masks[None, :]).astype(np.int64)
+                f, u = np.repeat(fp, len(own_masks)), np.tile(own_flips, len(fp))
+                yield pa.RecordBatch.from_arrays([pa.array(p.ravel()), pa.array(f), pa.array(u)], names=["prefix", "fp", "used"])
+
+    def scatter(batches):
+        """Each (prefix, parities, slice_no, fp, used) once for every slice of its prefix in which the fp has a variant."""
+        reached: dict[tuple[int, int], np.ndarray] = {}
+        below = np.uint64((1 << low) - 1)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                prefix, fp, used, parities = (c.slice(at, 500).to_numpy(zero_copy_only=False) for c in b.columns)
+                own = fp.view(np.uint64) & below
+                for n, u in {*zip(parities.tolist(), used.tolist())}:
+                    if (n, u) not in reached:
+                        reached[n, u] = np.unique(slice_of(masks(low, reach - u), n))
+                    i, to = np.flatnonzero((parities == n) & (used == u)), reached[n, u]
+                    slices = (slice_of(own[i], n)[:, None] ^ to[None, :]).astype(np.int64)
+                    each = np.repeat(i, len(to))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(prefix[each]), pa.array(parities[each]), pa.array(slices.ravel()), pa.array(fp[each]), pa.array(used[each])],
+                        names=["prefix", "parities", "slice_no", "fp", "used"],
+                    )
+
+    def meet(pdf):
         import pandas as pd
 
         forget()
+        parities, slice_no = int(pdf["parities"].iloc[0]), int(pdf["slice_no"].iloc[0])
         fps = pdf["fp"].to_numpy().view(np.uint64)
         order = np.argsort(fps, kind="stable")
         fps, flips = fps[order], pdf["used"].to_numpy()[order]
         forest = Forest(len(fps))
-        for pairs in meeting_slices(fps, reach - flips, low, half, reach):
+        for pairs in meeting_slices(fps, reach - flips, low, half, reach, parities, slice_no):
             forest.link(pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius])
         out = forest.edges()
         signed = fps.view(np.int64)
         return pd.DataFrame({"u": signed[out[:, 0]], "v": signed[out[:, 1]]})
 
-    rows = "prefix long, fp long, used byte"
-    start = distinct.select(F.lit(0).cast("long").alias("prefix"), "fp", F.lit(0).cast("byte").alias("used"))
-    sent = written(start.mapInArrow(lambda it: emit(it, low, bits), rows), "prefixes")
-    # Prefixes of many variants get DIVIDE further bits; what flips into the same longer prefix meets there.
+    sent = written(distinct.select("fp").mapInArrow(emit, "prefix long, fp long, used byte"), "prefixes")
+    # Variants below each prefix, and the parities that divide those of prefixes with many into about PREFIX_VARIANTS each.
     below = F.array(*[F.lit(len(masks(low, reach - used))) for used in range(reach + 1)])
-    many = cut(sent.groupBy("prefix").agg(F.sum(F.get(below, F.col("used").cast("int"))).alias("n")).filter(F.col("n") > PREFIX_VARIANTS).select("prefix"))
+    sizes = sent.groupBy("prefix").agg(F.sum(F.get(below, F.col("used").cast("int"))).alias("n")).filter(F.col("n") > PREFIX_VARIANTS)
+    parities = F.least(F.ceil(F.log2(F.col("n") / PREFIX_VARIANTS)), F.lit(len(_PARITIES))).cast("int")
+    many = cut(sizes.select("prefix", parities.alias("parities")))
     n_many = many.count()
     few = sent.join(bounded_broadcast(many, n_many), "prefix", "left_anti")
-    divided = sent.join(bounded_broadcast(many, n_many), "prefix").select("prefix", "fp", "used").mapInArrow(lambda it: emit(it, low - DIVIDE, DIVIDE), rows)
-    edges = "u long, v long"
-    met = few.groupBy("prefix").applyInPandas(lambda pdf: meet(pdf, low), edges)
-    return met.unionByName(divided.groupBy("prefix").applyInPandas(lambda pdf: meet(pdf, low - DIVIDE), edges)).distinct()
+    few = few.select("prefix", F.lit(0).alias("parities"), F.lit(0).cast("long").alias("slice_no"), "fp", "used")
+    divided = sent.join(bounded_broadcast(many, n_many), "prefix").select("prefix", "fp", "used", "parities")
+    divided = divided.mapInArrow(scatter, "prefix long, parities int, slice_no long, fp long, used byte")
+    tasks = few.unionByName(divided).groupBy("prefix", "parities", "slice_no")
+    return tasks.applyInPandas(meet, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:

@@ -431,7 +431,7 @@ def test_balls_meet(spark, radius):
 
 @pytest.mark.parametrize("radius", [1, 3, 4])
 def test_divided_prefixes(spark, monkeypatch, radius):
-    """A dense cluster below one prefix, divided by further bits and formed in slices, gives the brute-force classes."""
+    """A dense cluster below one prefix, divided among tasks and formed in slices, gives the brute-force classes."""
     monkeypatch.setattr(simhash, "PREFIX_VARIANTS", 20_000)
     monkeypatch.setattr(simhash, "_VARIANTS", 30_000)
     rng = random.Random(radius)
@@ -463,6 +463,25 @@ def test_meetings_in_slices(monkeypatch):
     assert simhash.meetings(fps, left, 58).tolist() == whole.tolist() and len(whole)
 
 
+def test_slices_of_a_cloud():
+    """Variants of near copies of one text spread evenly over slices; each lies in one, the same from either end."""
+    rng = np.random.default_rng(1)
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 4, replace=False).astype(np.uint64)) for _ in range(500)])
+    fps, m = np.unique(np.uint64(rng.integers(2**63)) ^ flips), simhash.masks(52, 2)
+    variants = fps[:, None] ^ m[None, :]
+    slices = simhash.slice_of(variants, 6)
+    assert np.bincount(slices.ravel().astype(int), minlength=64).max() < 1.5 * variants.size / 64
+    assert (slices == (simhash.slice_of(fps, 6)[:, None] ^ simhash.slice_of(m, 6)[None, :])).all()
+    fps = fps[:120]
+    left = np.full(len(fps), 2)
+    whole, parts = simhash.Forest(len(fps)), simhash.Forest(len(fps))
+    whole.link(simhash.meetings(fps, left, 52))
+    for k in range(8):
+        for pairs in simhash.meeting_slices(fps, left, 52, 2, 2, 3, k):
+            parts.link(pairs)
+    assert parts.root.tolist() == whole.root.tolist() and 1 < len(set(parts.root)) < len(fps)
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(60)] + [(5, 5), (None, 3)]
