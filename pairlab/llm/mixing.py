@@ -2,13 +2,15 @@
 
 A record's key is -ln(u) / quality, with u a uniform number from the hash of its id, text size and
 seed, so the smallest keys are a sample without replacement weighted by quality. Each source takes
-whole epochs first, then the records with the smallest keys until their prefix-summed sizes come
-nearest to what its target still lacks: whole records are taken, so a source's taken words differ from
-its target by at most half the size of the record at the edge.
+whole epochs first, then the records with the smallest keys until their prefix-summed sizes reach what
+its target still lacks. The record at the edge is taken whole or not, whichever comes nearer, so a source's
+taken words differ from its target by at most half of that record's size; with ``parts`` its first words
+are taken, as many as the target lacks, so they differ by half a word at most.
 
 The prefix sum of a source is taken in two levels, for one source may hold most rows: keys fall
-into buckets of u's order, bucket sums are added up in order, and only the bucket in which the
-target is reached is sorted.
+into buckets in their order, bucket sums are added up in order, and only the bucket in which the
+target is reached is sorted. A key's place among the buckets is the mean of its distribution functions
+for qualities 4^-6 to 4^6, so records of any quality in that range spread over all buckets.
 
 Targets: sources in code point order, null last, weigh ``weights`` in turn and share ``ratio`` of
 all sizes; a target stops at ``limit`` times its source's size, and the excess is shared again by
@@ -21,6 +23,9 @@ by order, which changes no sum; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +33,8 @@ from pairlab.llm.common import bounded_broadcast, cut
 
 #: White space of a word count, as in the word pattern [^\x20\x09-\x0D]+.
 _WORD = r"[^\x20\x09-\x0D]+"
+#: Qualities whose distributions of keys place a key among the buckets.
+_QUALITIES = tuple(4.0**k for k in range(-6, 7))
 
 
 def word_count(text: Column) -> Column:
@@ -48,6 +55,19 @@ def uniform(seed: int, *cols: Column) -> Column:
     return (whole + F.lit(0.5)) / F.lit(float(2**48))
 
 
+def first_words(text: Column, words: Column) -> Column:
+    """The text up to the end of its first ``words`` words and the white space after them."""
+    pieces = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    # White space before the first word is a piece of its own.
+    leading = F.regexp_like(text, F.lit(r"^[\x20\x09-\x0D]")).cast("int")
+    return F.array_join(F.slice(pieces, 1, words.cast("int") + leading), "")
+
+
+def place(key: Column) -> Column:
+    """A number from 0 to 1 that rises with the key, nowhere denser than 52 times for a quality from 4^-6 to 4^6."""
+    return reduce(add, [F.lit(1.0) - F.exp(-key * F.lit(q)) for q in _QUALITIES]) / F.lit(float(len(_QUALITIES)))
+
+
 def targets(sizes: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), ratio: float = 1.5, limit: int = 2) -> DataFrame:
     """(source, source_size, target) from one row a source with its source_size.
 
@@ -87,10 +107,12 @@ def mix(
     limit: int = 2,
     seed: int = 17,
     bucket_rows: int = 4096,
+    parts: bool = False,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Every row with size, source_size, target, copies and taken = copies * size.
+    """Every row with size, source_size, target, copies, part and taken = copies * size + part.
 
+    ``part`` is how many of the first words of one more copy are taken: always 0 without ``parts``.
     ``keep`` names input columns to carry along; without them only (doc_id, ...) are read.
     """
     text = F.col(text_col).cast("string")
@@ -107,8 +129,7 @@ def mix(
     rows = keyed if keep else cut(keyed)
     # As many buckets as hold about bucket_rows records each, so that what is sorted doesn't grow with the table.
     buckets = max(256, (docs if keep else rows).count() // bucket_rows)
-    # Buckets keep the order of the keys: 1 - exp(-key) rises from 0 to 1 with it.
-    bucket = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("es_key"))) * buckets), F.lit(buckets - 1)).cast("int")
+    bucket = F.least(F.floor(place(F.col("es_key")) * buckets), F.lit(buckets - 1)).cast("int")
     rows = rows.withColumn("bucket", bucket)
     per_bucket = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")))
     plan = targets(per_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights=weights, ratio=ratio, limit=limit)
@@ -131,10 +152,14 @@ def mix(
     own = Window.partitionBy("source", "bucket").orderBy("es_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at_edge = F.col("bucket") == F.col("edge")
     sorted_edge = wide.filter(at_edge).withColumn("prefix", F.col("edge_before") + F.coalesce(F.sum("size").over(own), F.lit(0)))
-    taken_edge = sorted_edge.withColumn("extra", (F.col("prefix") + F.col("size") / 2 <= F.col("lack")).cast("long")).drop("prefix")
-    others = wide.filter(~F.coalesce(at_edge, F.lit(False))).withColumn(
-        "extra", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)).cast("long")
-    )
+    if parts:
+        room = F.floor(F.col("lack") - F.col("prefix") + F.lit(0.5)).cast("long")
+        whole, part = room >= F.col("size"), F.when((room > 0) & (room < F.col("size")), room).otherwise(F.lit(0))
+    else:
+        whole, part = F.col("prefix") + F.col("size") / 2 <= F.col("lack"), F.lit(0)
+    taken_edge = sorted_edge.withColumn("extra", whole.cast("long")).withColumn("part", part.cast("long")).drop("prefix")
+    before_edge = F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)).cast("long")
+    others = wide.filter(~F.coalesce(at_edge, F.lit(False))).withColumn("extra", before_edge).withColumn("part", F.lit(0).cast("long"))
     both = others.unionByName(taken_edge)
     copies = F.least(F.col("epochs") + F.col("extra"), F.lit(limit)).cast("long")
     return both.select(
@@ -143,7 +168,8 @@ def mix(
         "size",
         "source_size",
         "target",
-        (copies * F.col("size")).alias("taken"),
+        (copies * F.col("size") + F.col("part")).alias("taken"),
         copies.alias("copies"),
+        "part",
         *[F.col(f"kept_{c}").alias(f"kept_{c}") for c in keep],
     )

@@ -19,7 +19,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), parts=True)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -104,7 +104,7 @@ WITH d AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY es_key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix FROM k
 )
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-  (size * least(epochs + CASE WHEN prefix + size / 2.0::DOUBLE <= lack THEN 1 ELSE 0 END, 2))::BIGINT AS taken
+  (size * epochs + greatest(0, least(size, floor(lack - prefix + 0.5::DOUBLE))))::BIGINT AS taken
 FROM p
 """
 

@@ -110,6 +110,34 @@ def test_targets_reshare_the_excess(spark):
     assert sum(got.values()) == pytest.approx(1.5 * 2010)
 
 
+def test_mixing_parts(spark):
+    """A source of one long document comes near its target; the words that are taken of it are its first."""
+    rows = [(1, "long", " a\t" + " ".join(f"w{i}" for i in range(999))), (2, "other", "x y z"), (3, "other", None), (4, None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in mixing.mix(docs, weights=(1, 1, 1), ratio=1.2, parts=True, keep=("text",)).collect()}
+    assert (got[1].copies, got[1].taken) == (1, round(got[1].target)) and 0 < got[1].part == got[1].taken - 1000
+    assert got[2].taken == 6 and got[3].taken == got[4].taken == 0
+    whole = {r.doc_id: r for r in mixing.mix(docs, weights=(1, 1, 1), ratio=1.2).collect()}
+    assert whole[1].taken in (1000, 2000) and all(r.part == 0 for r in whole.values())
+    texts = spark.createDataFrame([(t, n) for t in (" a\t b  c ", "a b", "", "a", " ", "a\u00a0b c") for n in range(4)], "t string, n int")
+    for r in texts.select("t", "n", mixing.first_words(F.col("t"), F.col("n")).alias("got")).collect():
+        assert r.t.startswith(r.got) and mixing_words(r.got) == mixing_words(r.t)[: r.n]
+
+
+def mixing_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+@pytest.mark.parametrize("quality", [1.0, 0.25, 0.001, 30.0])
+def test_places_of_keys(spark, quality):
+    """Keys of one quality spread over all buckets, in their order."""
+    key = -F.ln(mixing.uniform(1, F.col("id"))) / F.lit(quality)
+    rows = spark.range(20_000).select(key.alias("k"), mixing.place(key).alias("p")).orderBy("k").collect()
+    p = np.array([r.p for r in rows])
+    assert (np.diff(p) >= 0).all() and 0 <= p[0] and p[-1] <= 1
+    assert np.bincount((p * 1000).astype(int)).max() <= 2 * 52 * len(p) / 1000
+
+
 def test_mixing_prefers_quality(spark):
     rows = spark.range(4000).selectExpr("id AS doc_id", "'a b c' AS text", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS source", "id % 4 < 2 AS good")
     mixed = mixing.mix(rows, quality=F.when(F.col("good"), 1.0).otherwise(0.2), weights=(1, 9), ratio=0.5, keep=("good",))
