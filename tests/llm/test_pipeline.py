@@ -40,7 +40,7 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_registered(spark):
     names = set(queries.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "SimHash near-dedup", "substring dedup", "mixing", "packing"]
 
 
