@@ -26,6 +26,20 @@ def _design(s: np.ndarray, lags: int, rows: int) -> tuple[np.ndarray, np.ndarray
     return d[n - rows :], np.column_stack(cols)
 
 
+def _squares(s: np.ndarray, max_lag: int, rows: int) -> list[float]:
+    """Sums of squared residuals with 0 to max_lag lags on the same rows, from one triangular factor of them all.
+
+    Columns that nearly depend on each other are fitted lag by lag, in the least norm.
+    """
+    y, x = _design(s, max_lag, rows)
+    nested = np.column_stack([x[:, -1], x[:, :-1], y])  # constant, level, lags in order, difference
+    r = np.linalg.qr(nested, mode="r") if rows > nested.shape[1] else np.zeros((1, 1))
+    least = np.abs(np.diag(r))[:-1] <= 1e-9 * np.sqrt((r * r).sum(axis=0))[:-1]
+    if len(r) < nested.shape[1] or least.any():
+        return [ols(*_design(s, lags, rows))[1] for lags in range(max_lag + 1)]
+    return np.cumsum(r[::-1, -1] ** 2)[::-1][2:].tolist()
+
+
 def adf(s: np.ndarray, max_lag: int | None = None) -> tuple[float, float, int]:
     """(statistic, p-value, lags) of the augmented Dickey-Fuller test with a constant.
 
@@ -36,10 +50,9 @@ def adf(s: np.ndarray, max_lag: int | None = None) -> tuple[float, float, int]:
         max_lag = max(0, min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2))
     rows = n - 1 - max_lag
     best = None
-    for lags in range(max_lag + 1):
-        y, x = _design(s, lags, rows)
-        sse = max(ols(y, x)[1], 1e-300)
-        aic = rows * (math.log(2 * math.pi * sse / rows) + 1) + 2 * x.shape[1]
+    for lags, sse in enumerate(_squares(s, max_lag, rows)):
+        sse = max(sse, 1e-300)
+        aic = rows * (math.log(2 * math.pi * sse / rows) + 1) + 2 * (lags + 2)
         if best is None or aic < best[0]:
             best = (aic, lags)
     lags = best[1]
@@ -145,7 +158,13 @@ def hurst(x: np.ndarray, max_lag: int = 100) -> float:
     if n < 20:
         return math.nan
     lags = range(2, min(max_lag, n // 2) + 1)
-    found = [(math.log(t), math.log(sd)) for t in lags if (sd := float(np.std(x[t:] - x[:-t]))) > 0]
+
+    def deviation(t: int) -> float:
+        d = x[t:] - x[:-t]
+        d -= d.sum() / len(d)
+        return math.sqrt(float(d @ d) / len(d))
+
+    found = [(math.log(t), math.log(sd)) for t in lags if (sd := deviation(t)) > 0]
     if len(found) < 4:
         return math.nan
     t, s = np.array(found).T

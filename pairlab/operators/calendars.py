@@ -77,6 +77,21 @@ def resolve_windows(days: DataFrame, *, target: int = DEFAULTS.train_days, least
     ).select(F.col("n").alias("n_days"), "train_start", "train_end", "prior_start", "prior_end")
 
 
+#: Days of a bin in which rows and spans meet.
+BIN_DAYS = 256
+
+
+def within(rows: DataFrame, spans: DataFrame, lo: str, hi: str, by: tuple[str, ...] = (), date: str = "date") -> DataFrame:
+    """rows joined to the spans, from ``lo`` to ``hi`` with both ends, that hold their date and share the columns ``by``.
+
+    Both meet in bins of days, so a row is compared with the few spans near it, however many there are.
+    """
+    bin_of = lambda c: F.floor(F.unix_date(c) / BIN_DAYS)
+    near = spans.withColumn("bin__", F.explode(F.sequence(bin_of(lo), bin_of(hi))))
+    met = rows.withColumn("bin__", bin_of(date)).join(near, [*by, "bin__"])
+    return met.filter(F.col(date).between(F.col(lo), F.col(hi))).drop("bin__")
+
+
 def overlapping_folds(folds: DataFrame, lo: str, hi: str) -> DataFrame:
     """Folds whose test window meets [lo, hi]."""
     return folds.filter((F.col("test_end") >= F.lit(lo).cast("date")) & (F.col("test_start") <= F.lit(hi).cast("date")))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.checkpoints import materialized
 from pairlab.functions import kernels
+from pairlab.operators.calendars import within
 from pairlab.operators.screen import is_share_class_duplicate, is_structural_pair
 from pairlab.params import DEFAULTS
 
@@ -81,22 +83,29 @@ def test_pairs(aligned: DataFrame, keys: list[str], *, least: int = 20, max_lag:
     """
     schema = ", ".join(f"{k} {aligned.schema[k].dataType.simpleString()}" for k in keys) + ", " + _TEST
     names = [f.split()[0] for f in _TEST.split(", ")]
+    types = [pa.string()] * 3 + [pa.float64()] * 6 + [pa.int64()]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        a, b = np.log(pdf["y"].to_numpy(float)), np.log(pdf["x"].to_numpy(float))
-        head = {k: pdf[k].iloc[0] for k in keys}
-        s1, s2 = pdf["sym1"].iloc[0], pdf["sym2"].iloc[0]
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["date"].to_numpy(), kind="stable")
+        a, b = (np.log(rows[c].cast(pa.float64()).to_numpy()[order]) for c in ("y", "x"))
+        head = rows.select(keys).slice(0, 1)
+
+        def out(*found) -> pa.Table:
+            return pa.table([*head.columns, *[pa.array([v], t) for v, t in zip(found, types)]], names=[*keys, *names])
+
+        s1, s2 = rows["sym1"][0].as_py(), rows["sym2"][0].as_py()
         if len(a) < least:
-            return pd.DataFrame([head | dict(zip(names, [None, s1, s2, *[np.nan] * 6, len(a)]))])
+            return out(None, s1, s2, *[np.nan] * 6, len(a))
         one, two = _direction(a, b), _direction(b, a)
         first = not two[3] < one[3]
         best, y, x = (one, s1, s2) if first else (two, s2, s1)
         life = kernels.half_life(best[4]) if diagnostics else np.nan
         rough = kernels.hurst(best[4], max_lag) if diagnostics else np.nan
-        return pd.DataFrame([head | dict(zip(names, [f"{y}~{x}", y, x, *best[:4], life, rough, len(a)]))])
+        return out(f"{y}~{x}", y, x, *best[:4], life, rough, len(a))
 
-    return aligned.groupBy(*keys).applyInPandas(run, schema)
+    if aligned.schema["date"].dataType.typeName() == "date":
+        aligned = aligned.withColumn("date", F.unix_date("date"))  # Python has no dates past the year 9999
+    return aligned.groupBy(*keys).applyInArrow(run, schema)
 
 
 def benjamini_hochberg(tests: DataFrame, *, alpha: float = DEFAULTS.fdr_alpha, p: str = "p", by: list[str] | None = None) -> DataFrame:
@@ -111,14 +120,14 @@ def candidates(daily: DataFrame, sectors: DataFrame, windows: DataFrame, *, thre
     """(fold_id, sym1, sym2, sector, corr) of the correlation screen on every window of ``windows(fold_id, train_start, train_end)``.
 
     The universe are the symbols of the sector table that are no share-class duplicates, by ISIN too if it
-    has that column; others have no say in which dates are complete. Windows are few; prices meet them in
-    one range join, and all screens run as one aggregation.
+    has that column; others have no say in which dates are complete. Prices meet their windows in bins of
+    days, and all screens run as one aggregation.
     """
     isin = F.col("isin") if "isin" in sectors.columns else None
     known = sectors.filter(~F.coalesce(is_share_class_duplicate(F.col("symbol"), isin), F.lit(False)))
     allowed = daily.join(known.select("symbol").distinct(), "symbol", "left_semi")
     span = windows.select("fold_id", "train_start", "train_end")
-    rows = allowed.select("symbol", "date", "close").join(span, F.col("date").between(F.col("train_start"), F.col("train_end")))
+    rows = within(allowed.select("symbol", "date", "close"), span, "train_start", "train_end")
     order = Window.partitionBy("fold_id", "symbol").orderBy("date")
     gapped = rows.withColumn("gap", F.coalesce(F.date_diff("date", F.lag("date").over(order)), F.lit(0))).withColumn("log_ret", F.ln(F.try_divide(F.col("close"), F.lag("close").over(order))))
     ok = (
@@ -152,7 +161,7 @@ def cointegrate(
     def legs(span: DataFrame) -> DataFrame:
         a = daily.select(F.col("symbol").alias("sym1"), "date", F.col("close").alias("y"))
         b = daily.select(F.col("symbol").alias("sym2"), "date", F.col("close").alias("x"))
-        return span.join(a, "sym1").filter(F.col("date").between(F.col("lo"), F.col("hi"))).join(b, ["sym2", "date"]).filter("y > 0 AND x > 0")
+        return within(a, span, "lo", "hi", by=("sym1",)).join(b, ["sym2", "date"]).filter("y > 0 AND x > 0")
 
     bounds = windows.select("fold_id", F.col("train_start").alias("lo"), F.col("train_end").alias("hi"))
     aligned = legs(found.join(bounds, "fold_id")).withColumn("n__", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter(F.col("n__") >= min_overlap)

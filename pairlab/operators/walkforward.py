@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairlab.checkpoints import materialized
 from pairlab.operators import backtest, signals
-from pairlab.operators.calendars import numbered_days
+from pairlab.operators.calendars import numbered_days, within
 from pairlab.operators.cointegration import cointegrate, is_tradeable
 from pairlab.params import DEFAULTS
 
@@ -20,7 +20,7 @@ def fold_prices(daily: DataFrame, selected: DataFrame, folds: DataFrame, *, wind
     wanted = selected.join(spans, "fold_id")
     y = daily.select(F.col("symbol").alias("y_sym"), "date", F.col("close").alias("y"))
     x = daily.select(F.col("symbol").alias("x_sym"), "date", F.col("close").alias("x"))
-    rows = wanted.join(y, "y_sym").filter(F.col("date").between(F.col("warm_start"), F.col("test_end"))).join(x, ["x_sym", "date"])
+    rows = within(y, wanted, "warm_start", "test_end", by=("y_sym",)).join(x, ["x_sym", "date"])
     return rows.withColumn("in_test", F.col("date") >= F.col("test_start"))
 
 
@@ -39,7 +39,7 @@ def run_selected(daily: DataFrame, selected: DataFrame, folds: DataFrame, *, win
     cost = backtest.pair_cost(F.col("exit_beta"), cost_bps, guard=False)
     closed = closed.withColumn("cost_log", cost).withColumn("net_log", F.col("gross_log") - F.col("cost_log"))
     net = backtest.deduct_costs(backtest.position_returns(run, keys, "date"), closed, keys, "date", F.col("cost_log"))
-    axis = daily.select("date").distinct().join(folds.select("fold_id", "test_start", "test_end"), F.col("date").between(F.col("test_start"), F.col("test_end"))).select("fold_id", "date")
+    axis = within(daily.select("date").distinct(), folds.select("fold_id", "test_start", "test_end"), "test_start", "test_end").select("fold_id", "date")
     per_pair = backtest.densify(net, axis, keys, "date", ("gross", "net", "position"))
     n = selected.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n_selected_pairs"))
     port = per_pair.groupBy("fold_id", "date").agg(F.avg("gross").alias("gross"), F.avg("net").alias("net"), F.count_if(F.col("position") != 0).alias("n_active_pairs"))

@@ -232,3 +232,24 @@ def test_sensitivity_markers_and_cells(spark, minute):
     assert {r.v for r in reports.latest(cached, ["key"], "at").collect()} == {"new", "one"}
     d = reports.density(spark.createDataFrame([(0, 3), (1, 1)], "bin int, n long"), 0.5).orderBy("bin").collect()
     assert [r.density for r in d] == [1.5, 0.5] and backtest.cost_ladder(spark).count() == 4
+
+
+def test_rows_meet_spans_in_bins(spark):
+    """Every row meets the spans that hold it, past the year 9999 too, and no join compares all rows with all spans."""
+    days = spark.range(0, 4000, 7).select((F.date_from_unix_date(F.col("id").cast("int") + 2_932_000)).alias("date"), (F.col("id") % 2).alias("k"))
+    spans = spark.range(30).select("id", (F.col("id") % 2).alias("k"), F.date_from_unix_date((2_931_900 + F.col("id") * 130).cast("int")).alias("lo"), F.date_from_unix_date((2_932_000 + F.col("id") * 150).cast("int")).alias("hi"))
+    met = calendars.within(days, spans, "lo", "hi", by=("k",))
+    got = sorted(tuple(r) for r in met.select("id", F.unix_date("date")).collect())
+    each = [(d, d % 2) for d in range(0, 4000, 7)]
+    assert got == sorted((i, d + 2_932_000) for i in range(30) for d, k in each if k == i % 2 and i * 130 - 100 <= d <= i * 150)
+    plan = calendars.within(days, spans, "lo", "hi")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_pairs_past_the_year_9999(spark):
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.normal(0, 0.01, 90))
+    rows = [("p", "A", "B", 3_000_000 + i, float(np.exp(v + 0.1 * np.sin(i))), float(np.exp(v))) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "pair string, sym1 string, sym2 string, day int, y double, x double")
+    df = df.select("pair", "sym1", "sym2", F.date_from_unix_date("day").alias("date"), "y", "x")
+    assert cointegration.test_pairs(df, ["pair"]).select("n_obs").first().n_obs == 90
