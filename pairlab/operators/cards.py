@@ -60,9 +60,15 @@ def position_segments(states: DataFrame, keys: list[str], order: str) -> DataFra
 def banded_segments(segments: DataFrame, bands: DataFrame, keys: list[str], order: str) -> DataFrame:
     """segments with the spread and bands where they begin and end, and how many of their bars lie outside the bands.
 
-    ``bands`` is from signals.rolling_bands; each bar lies in one segment at most.
+    ``bands`` is from signals.rolling_bands; each bar lies in one segment at most, the last that began by then,
+    so no bar is compared with all segments.
     """
-    inside = bands.join(segments, keys).filter(F.col(order).between(F.col("start"), F.col("end")))
+    own = ["segment_no", "direction", "start", "end", "n"]
+    bars = bands.select(*keys, order, "spread", "lower", "roll_mean", "upper", F.lit(1).alias("bar__"))
+    begins = segments.select(*keys, F.col("start").alias(order), F.struct(*own).alias("segment__"), F.lit(0).alias("bar__"))
+    so_far = Window.partitionBy(*keys).orderBy(order, "bar__").rowsBetween(Window.unboundedPreceding, 0)
+    met = bars.unionByName(begins, allowMissingColumns=True).withColumn("segment__", F.last("segment__", ignorenulls=True).over(so_far))
+    inside = met.filter((F.col("bar__") == 1) & (F.col(order) <= F.col("segment__.end"))).select(*keys, order, "spread", "lower", "roll_mean", "upper", "segment__.*")
     here = F.struct("spread", "lower", "roll_mean", "upper")
     outside = (F.col("spread") > F.col("upper")) | (F.col("spread") < F.col("lower"))
     found = inside.groupBy(*keys, "segment_no", "direction", "start", "end", "n").agg(F.min_by(here, order).alias("a"), F.max_by(here, order).alias("b"), F.count_if(outside & ~F.isnan("upper")).alias("n_outside"))

@@ -312,3 +312,14 @@ def test_one_key_smoothness(spark):
     daily = spark.createDataFrame([("A", D0 + timedelta(i), c) for i, c in enumerate((100.0, 104.0, 52.0))] + [("B", D0, 1.0)], "symbol string, date date, close double")
     assert clean.smooth_at(daily, "A", D0 + timedelta(1)) and not clean.smooth_at(daily, "A", "2020-01-03")
     assert not clean.smooth_at(daily, "A", D0) and not clean.smooth_at(daily, "C", D0) and clean.smooth_at(daily, "A", D0 + timedelta(2), tolerance=0.6)
+
+
+def test_bands_meet_segments_without_a_product(spark):
+    n = 400
+    states = spark.range(n).select(F.lit("k").alias("pair"), F.col("id").alias("t"), F.when(F.col("id") % 4 < 2, 1).when(F.col("id") % 4 == 2, -1).otherwise(0).alias("position"))
+    bands = spark.range(n).select(F.lit("k").alias("pair"), F.col("id").alias("t"), F.col("id").cast("double").alias("spread"), F.lit(-1.0).alias("lower"), F.lit(0.0).alias("roll_mean"), F.lit(200.0).alias("upper"))
+    found = cards.banded_segments(cards.position_segments(states, ["pair"], "t"), bands, ["pair"], "t")
+    got = sorted((r.start, r.end, r.n, r.start_spread, r.end_spread, r.n_outside) for r in found.collect())
+    want = sorted([(i, i + 1, 2, float(i), i + 1.0, sum(v > 200 for v in (i, i + 1))) for i in range(0, n, 4)] + [(i, i, 1, float(i), float(i), int(i > 200)) for i in range(2, n, 4)])
+    assert got == want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
