@@ -62,7 +62,7 @@ def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "trend", F.sum("m").over(Window.partitionBy("sector").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     )
     own = F.avg("e").over(Window.partitionBy("symbol").orderBy("k").rowsBetween(-19, 0))
-    day = F.date_add(F.lit("1995-01-02").cast("date"), (F.floor((F.col("k") - 1) / 5) * 7 + F.pmod(F.col("k") - 1, F.lit(5))).cast("int"))
+    day = dense_day(F.col("k"))
     return (
         scored.withColumn("own", own)
         .join(trend.select("sector", "k", "trend"), ["sector", "k"])
@@ -76,6 +76,17 @@ def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dense_day(place) -> F.Column:
+    """The date of a row of the dense panel by its place, counted from 1: weekdays without gaps."""
+    return F.date_add(F.lit("1995-01-02").cast("date"), (F.floor((place - 1) / 5) * 7 + F.pmod(place - 1, F.lit(5))).cast("int"))
+
+
+def dense_place(date) -> F.Column:
+    """The place, counted from 1, of a date of the dense panel."""
+    days = F.date_diff(date, F.lit("1995-01-02").cast("date"))
+    return (F.floor(days / 7) * 5 + F.pmod(days, F.lit(7)) + 1).cast("long")
+
+
 def intraday_panel(spark: SparkSession, sf_dir: str, *, bar_minutes: int = 120) -> DataFrame:
     """(symbol, session, bar, ts, close, volume): the last price of each bar that has an event."""
     events = _table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("symbol"), "value")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +30,53 @@ def _check(window: int, least: int) -> None:
         raise ValueError("window must be at least 2 and min_periods from 2 to window")
 
 
-def rolling_stats(rows: DataFrame, keys: list[str], order: str, value: str = "spread", *, window: int = DEFAULTS.z_window, least: int | None = None) -> DataFrame:
-    """rows with roll_mean and roll_std (sample) over the trailing window; NaN until ``least`` rows."""
+#: Rows of a block of a long group.
+BLOCK_ROWS = 20_000
+
+
+def _stats_in_blocks(rows: DataFrame, keys: list[str], place: str, value: str, window: int, block_rows: int) -> DataFrame:
+    """rolling_stats over full windows of groups that are cut into blocks, each with the window - 1 rows before it."""
+    if block_rows < window:
+        raise ValueError("a block must hold a window")
+    own = F.floor(F.col(place) / block_rows)
+    late = F.pmod(F.col(place), F.lit(block_rows)) >= block_rows - (window - 1)
+    cut = rows.withColumn("block__", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    names = rows.columns
+
+    def run(table: pa.Table) -> pa.Table:
+        at = table[place].to_numpy()
+        order = np.argsort(at, kind="stable")
+        at, x = at[order], table[value].cast(pa.float64()).to_numpy()[order]
+        mean, deviation = np.full(len(x), NAN), np.full(len(x), NAN)
+        if len(x) >= window:
+            frames = np.lib.stride_tricks.sliding_window_view(x, window)
+            moved = frames - frames[:, :1]  # from its first value, so that a flat window deviates by 0 exactly
+            middle = moved.mean(axis=1)
+            mean[window - 1 :] = frames[:, 0] + middle
+            moved -= middle[:, None]
+            deviation[window - 1 :] = np.sqrt(np.einsum("ij,ij->i", moved, moved) / (window - 1))
+        kept = np.flatnonzero(at // block_rows == table["block__"][0].as_py())
+        out = table.select(names).take(pa.array(order[kept]))
+        return pa.table([*out.columns, pa.array(mean[kept]), pa.array(deviation[kept])], names=[*names, "roll_mean", "roll_std"])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["roll_mean double", "roll_std double"])
+    return cut.groupBy(*keys, "block__").applyInArrow(run, schema)
+
+
+def rolling_stats(
+    rows: DataFrame, keys: list[str], order: str, value: str = "spread", *, window: int = DEFAULTS.z_window, least: int | None = None, place: str | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """rows with roll_mean and roll_std (sample) over the trailing window; NaN until ``least`` rows.
+
+    ``place`` may name a column that counts a group's rows in order, without gaps. With it long groups are
+    cut into blocks of ``block_rows`` with tasks of their own; windows are full there.
+    """
     least = window if least is None else least
     _check(window, least)
+    if place is not None:
+        if least != window:
+            raise ValueError("blocks take full windows")
+        return _stats_in_blocks(rows, keys, place, value, window, block_rows)
     frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(window - 1), 0)
     ready = F.count(value).over(frame) >= least
     nan = F.lit(NAN)
@@ -45,9 +89,11 @@ def z_score(value: str = "spread") -> Column:
     return F.when(ok, F.try_divide(F.col(value) - F.col("roll_mean"), F.col("roll_std"))).otherwise(F.lit(NAN))
 
 
-def rolling_z(rows: DataFrame, keys: list[str], order: str, value: str = "spread", *, window: int = DEFAULTS.z_window, least: int | None = None) -> DataFrame:
-    """rows with z, the rolling z-score of value within keys."""
-    return rolling_stats(rows, keys, order, value, window=window, least=least).withColumn("z", z_score(value)).drop("roll_mean", "roll_std")
+def rolling_z(
+    rows: DataFrame, keys: list[str], order: str, value: str = "spread", *, window: int = DEFAULTS.z_window, least: int | None = None, place: str | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """rows with z, the rolling z-score of value within keys; ``place`` as in rolling_stats."""
+    return rolling_stats(rows, keys, order, value, window=window, least=least, place=place, block_rows=block_rows).withColumn("z", z_score(value)).drop("roll_mean", "roll_std")
 
 
 def session_z(rows: DataFrame, keys: list[str], session: str, order: str, value: str = "spread", *, window: int, least: int | None = None) -> DataFrame:
@@ -62,9 +108,11 @@ def warmed_z(rows: DataFrame, keys: list[str], session: str, order: str, value:
     return scored.withColumn("z", F.when(place <= warmup, F.lit(NAN)).otherwise(F.col("z")))
 
 
-def rolling_bands(rows: DataFrame, keys: list[str], order: str, value: str = "spread", *, window: int = DEFAULTS.z_window, width: float = 2.0) -> DataFrame:
-    """rows with lower, roll_mean and upper band."""
-    s = rolling_stats(rows, keys, order, value, window=window)
+def rolling_bands(
+    rows: DataFrame, keys: list[str], order: str, value: str = "spread", *, window: int = DEFAULTS.z_window, width: float = 2.0, place: str | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """rows with lower, roll_mean and upper band; ``place`` as in rolling_stats."""
+    s = rolling_stats(rows, keys, order, value, window=window, place=place, block_rows=block_rows)
     return s.withColumn("lower", F.col("roll_mean") - width * F.col("roll_std")).withColumn("upper", F.col("roll_mean") + width * F.col("roll_std")).drop("roll_std")
 
 

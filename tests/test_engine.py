@@ -139,3 +139,23 @@ def test_machine_over_parts_equals_the_whole(spark):
     assert signals.rolling_signals_in_parts(df.limit(0), ["pair"], "t", "part").count() == 0
     with pytest.raises(ValueError):
         signals.rolling_signals_in_parts(df, ["pair"], "t", "part", entry=0.1)
+
+
+def test_blocks_equal_whole_groups(spark):
+    """Means, deviations and scores of groups in blocks, with nulls, NaN and flat windows; no task holds more than a block."""
+    rng = np.random.default_rng(9)
+    rows = [("a", i, float(v)) for i, v in enumerate(np.cumsum(rng.normal(size=173)), 1)] + [("b", i, None if i == 40 else float("nan") if i == 70 else 1.1 if 80 < i < 110 else float(i % 7)) for i in range(1, 131)]
+    rows += [("short", 1, 2.0)]
+    df = spark.createDataFrame(rows, "pair string, t long, spread double")
+    for block in (12, 25, 1000):
+        got = signals.rolling_stats(df, ["pair"], "t", window=12, place="t", block_rows=block)
+        want = signals.rolling_stats(df, ["pair"], "t", window=12)
+        z = {(r.pair, r.t): r for r in got.withColumn("z", signals.z_score()).collect()}
+        plain = want.withColumn("z", signals.z_score()).collect()
+        assert len(z) == len(plain) == len(rows) and got.count() == len(rows)
+        for r in plain:
+            for c in ("roll_mean", "roll_std", "z"):
+                a, b = z[r.pair, r.t][c], r[c]
+                assert (a != a and b != b) or (a is None and b is None) or a == pytest.approx(b, rel=1e-9, abs=1e-12), (r, c, block)
+    with pytest.raises(ValueError):
+        signals.rolling_stats(df, ["pair"], "t", window=12, place="t", block_rows=11)
