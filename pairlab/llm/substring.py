@@ -7,8 +7,9 @@ the middle of others are found:
   bands * rows permutations over its 5-word shingles; ``tuned`` chooses the number of bands so that two
   paragraphs at the wanted similarity collide in one with a chance of ``recall``. Equal paragraphs are one
   class. Colliding classes form pairs with their band's leader, the class of most documents, and with
-  their neighbours in the order of the next band (SIDE of them, in salted runs), never all pairs of a
-  group; pairs are verified by the exact Jaccard similarity of their shingle sets.
+  their neighbours in the order of the next band (SIDE of them, in salted runs); pairs are verified by the
+  exact Jaccard similarity of their shingle sets. What these links leave apart in a band is then compared
+  each with each, so the components are those of all colliding pairs.
 * **Runs.** Overlapping runs of words, set by content alone: the shingle with the smallest hash among
   every ``window`` successive shingles is the MinHash of those shingles, and the paragraph is the fixed
   run of words around it. Any ``window`` successive shingles with their runs inside a passage have
@@ -196,6 +197,28 @@ def line_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     return both.distinct()
 
 
+def crowded(classes: DataFrame) -> DataFrame:
+    """(key, class, n) of the bands with more classes than ``line_pairs`` compares each with each other."""
+    keyed = classes.select(F.explode("bands").alias("key"), "class", "n")
+    # Written first, so that the join is one that Spark may split where a key is common.
+    many = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") > SIDE + 1).select("key"))
+    return keyed.join(many, "key")
+
+
+def remaining_pairs(met: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of all other classes of a crowded band that the links so far don't join, so that leaders and neighbours leave no link out.
+
+    Bands whose classes have met in one component, as those of copies have, give no pair; the others give each with each.
+    """
+    found = components(links).select(F.col("node").alias("class"), "component")
+    placed = cut(met.join(found, "class", "left").select("key", "class", "n", F.coalesce("component", "class").alias("component")))
+    mixed = cut(placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key"))
+    left = cut(placed.join(mixed, "key"))
+    a, b = left.toDF("key", "u", "n", "cu"), left.toDF("key", "v", "m", "cv")
+    near = F.least("n", "m") >= F.floor(F.lit(similarity) * (F.greatest("n", "m") - SHINGLE + 1))
+    return a.join(b, "key").filter((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & near).select("u", "v").distinct()
+
+
 _ASKED = "doc_id long, place int, side int, words array<int>, class long, shingles array<long>"
 
 
@@ -294,14 +317,23 @@ def repeated_spans(
     classes = line_rows.groupBy("class").agg(F.min(F.struct("doc_id", "place", "n")).alias("line"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("docs"), F.first("bands").alias("bands"))
     classes = written(classes.select("class", "line.*", "last_doc", "docs", "bands"), "line-classes")
     pairs = written(line_pairs(classes, similarity), "line-pairs")
-    paired = classes.join(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct(), "class", "left_semi").select("doc_id", "place", "n", "class")
+    met = written(crowded(classes), "crowded-bands")
+    every_class = pairs.select(F.explode(F.array("u", "v")).alias("class")).union(met.select("class")).distinct()
+    paired = classes.join(every_class, "class", "left_semi").select("doc_id", "place", "n", "class")
 
     asked = written(surroundings(texts, run_sides.unionByName(paired, allowMissingColumns=True)), "surroundings")
     sets = asked.filter("class IS NOT NULL").select("class", "shingles")
-    both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
-    common = F.size(F.array_intersect("x", "y"))
-    line_links = both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("u", "v")
-    line_links = written(line_links, "line-links")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
+        common = F.size(F.array_intersect("x", "y"))
+        return both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("u", "v")
+
+    line_links = written(similar(pairs), "line-links")
+    rest = written(remaining_pairs(met, line_links, similarity).join(pairs, ["u", "v"], "left_anti"), "remaining-pairs")
+    if not rest.isEmpty():
+        line_links = written(line_links.union(similar(rest)), "all-line-links")
+    discard(met, rest)
     linked = line_links.select(F.explode(F.array("u", "v")).alias("class")).distinct()
     repeated = classes.join(linked, "class", "left_semi").unionByName(classes.filter("doc_id < last_doc").join(linked, "class", "left_anti"))
     of_line = clusters_of(line_links, repeated.select(F.col("class").alias("node"), F.col("doc_id").alias("first_doc")))

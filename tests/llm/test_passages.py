@@ -39,3 +39,18 @@ def test_every_repeat_of_documents(spark, sf_dir):
                 want |= {(r.doc_id, k) for k in range(i, i + 51)}
     got = {(r.doc_id, k) for r in substring.repeated_spans(docs).collect() for k in range(r.start_word, r.start_word + r.n_words)}
     assert want and want <= got
+
+
+def test_a_crowded_band_leaves_no_link_out(spark):
+    """Similar classes of a band that are neither its leader's nor neighbours there are linked; bands in one component give no pair."""
+    from pairlab.llm.substring import crowded, line_pairs, remaining_pairs
+
+    rows = [(i, 10 if i == 0 else 1, 30, [7, 1000 + i]) for i in range(12)]
+    classes = spark.createDataFrame(rows, "class long, docs long, n int, bands array<long>")
+    first = {(r.u, r.v) for r in line_pairs(classes, 0.8).collect()}
+    links = spark.createDataFrame([(1, 2), (3, 4)], "u long, v long")
+    rest = {(r.u, r.v) for r in remaining_pairs(crowded(classes), links, 0.8).collect()}
+    every = {(i, j) for i in range(12) for j in range(i + 1, 12)}
+    assert (2, 9) not in first and first | rest | {(1, 2), (3, 4)} == every
+    chain = spark.createDataFrame([(i, i + 1) for i in range(11)], "u long, v long")
+    assert remaining_pairs(crowded(classes), chain, 0.8).count() == 0
