@@ -8,8 +8,9 @@ the middle of others are found:
   paragraphs at the wanted similarity collide in one with a chance of ``recall``. Equal paragraphs are one
   class. Colliding classes form pairs with their band's leader, the class of most documents, and with
   their neighbours in the order of the next band (SIDE of them, in salted runs); pairs are verified by the
-  exact Jaccard similarity of their shingle sets. What these links leave apart in a band is then compared
-  each with each, so the components are those of all colliding pairs.
+  exact Jaccard similarity of their shingle sets. Of what these links leave apart in a band, all pairs that
+  can be similar by the first of their shingles, rare ones first, are then compared likewise, so the components
+  are those of all colliding pairs.
 * **Runs.** Overlapping runs of words, set by content alone: the shingle with the smallest hash among
   every ``window`` successive shingles is the MinHash of those shingles, and the paragraph is the fixed
   run of words around it. Any ``window`` successive shingles with their runs inside a passage have
@@ -205,20 +206,47 @@ def crowded(classes: DataFrame) -> DataFrame:
     return keyed.join(many, "key")
 
 
+def apart(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, class, n, component) of the crowded bands whose classes lie in several components of ``found(node, component)``."""
+    placed = cut(met.join(found.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", F.coalesce("component", "class").alias("component")))
+    mixed = cut(placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key"))
+    return cut(placed.join(mixed, "key"))
+
+
 def remaining_pairs(met: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     """(u, v) of all other classes of a crowded band that the links so far don't join, so that leaders and neighbours leave no link out.
 
     Bands whose classes have met in one component, as those of copies have, give no pair; the others give each with each.
+    ``reaching_pairs`` gives those of them that can be similar, without forming the rest.
     """
-    found = components(links).select(F.col("node").alias("class"), "component")
-    placed = cut(met.join(found, "class", "left").select("key", "class", "n", F.coalesce("component", "class").alias("component")))
-    mixed = cut(placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key"))
-    left = cut(placed.join(mixed, "key"))
+    left = apart(met, components(links))
     a, b = left.toDF("key", "u", "n", "cu"), left.toDF("key", "v", "m", "cv")
     near = F.least("n", "m") >= F.floor(F.lit(similarity) * (F.greatest("n", "m") - SHINGLE + 1))
     return a.join(b, "key").filter((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & near).select("u", "v").distinct()
 
 
+def reaching_pairs(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, cu, cv) of all classes of ``left(key, class, component)`` that share a band, lie apart and can reach the similarity by their ``sets(class, shingles)``.
+
+    Sets of a and b shingles need similarity / (1 + similarity) * (a + b) in common. In one order of all shingles, rare
+    ones first, the first that both hold has at most what follows it in common, so it lies near the start of both: nearer
+    in the shorter set, which needs a greater share. Only these starts meet; no similar pair is left out.
+    """
+    share, slack = similarity / (1 + similarity), F.lit(1e-9)
+    held = left.select("class", "component").distinct().join(sets, "class").select("class", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    # Written first, so that the join is one that Spark may split where a shingle is common.
+    holders = cut(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")))
+    rarest_first = Window.partitionBy("class").orderBy("holders", "shingle")
+    follow = held.join(holders, "shingle").withColumn("rest", F.col("size") - F.row_number().over(rarest_first) + 1)
+    starts = follow.filter(F.col("rest") >= similarity * F.col("size") - slack).select("class", "component", "size", "shingle", "rest")
+    starts = cut(starts.join(left.select("key", "class"), "class").select("key", "shingle", "class", "component", "size", "rest"))
+    short = starts.filter(F.col("rest") >= 2 * share * F.col("size") - slack).toDF("key", "shingle", "u", "cu", "a", "follow_u")
+    long = starts.toDF("key", "shingle", "v", "cv", "b", "follow_v")
+    ordered = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("u") < F.col("v")))
+    enough = F.least("follow_u", "follow_v") >= share * (F.col("a") + F.col("b")) - slack
+    return short.join(long, ["key", "shingle"]).filter(ordered & (F.col("cu") != F.col("cv")) & enough).select("u", "v", "cu", "cv").distinct()
+
+
 _ASKED = "doc_id long, place int, side int, words array<int>, class long, shingles array<long>"
 
 
@@ -253,9 +281,9 @@ def surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(run, _ASKED)
 
 
-def clusters_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, cluster, kept_doc_id) of nodes(node, first_doc): the components of edges, and the smallest document of each."""
-    found = nodes.join(components(edges), "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("cluster"))
+def clusters_of(components_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, cluster, kept_doc_id) of nodes(node, first_doc): their components_(node, component), and the smallest document of each."""
+    found = nodes.join(components_, "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("cluster"))
     # Written first, so that the join is one that Spark may split where a cluster is large.
     kept = cut(found.groupBy("cluster").agg(F.min("first_doc").alias("kept_doc_id")))
     return cut(found.join(kept, "cluster").select("node", "cluster", "kept_doc_id"))
@@ -292,7 +320,7 @@ def repeated_spans(
     alive = cut(ends.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc"))
     run_links = members.select("u", "v").distinct().join(alive.select(F.col("node").alias("u")), "u", "left_semi").join(alive.select(F.col("node").alias("v")), "v", "left_semi")
 
-    of_run = clusters_of(run_links, alive.select("node", "first_doc"))
+    of_run = clusters_of(components(run_links), alive.select("node", "first_doc"))
 
     held = members.select("doc_id", "place", F.explode(F.array("u", "v")).alias("node")).join(of_run, "node").select("cluster", "doc_id", "place", "kept_doc_id")
     held = written(held, "held")
@@ -327,16 +355,20 @@ def repeated_spans(
     def similar(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
         common = F.size(F.array_intersect("x", "y"))
-        return both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("u", "v")
+        return both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
 
     line_links = written(similar(pairs), "line-links")
-    rest = written(remaining_pairs(met, line_links, similarity).join(pairs, ["u", "v"], "left_anti"), "remaining-pairs")
-    if not rest.isEmpty():
-        line_links = written(line_links.union(similar(rest)), "all-line-links")
-    discard(met, rest)
-    linked = line_links.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    found = components(line_links)
+    # Links of what leaders and neighbours leave apart join whole components.
+    more = cut(similar(reaching_pairs(apart(met, found), sets, similarity)).select("u", "v", "cu", "cv"))
+    if not more.isEmpty():
+        alone = more.select(F.explode(F.array("cu", "cv")).alias("node")).distinct().withColumn("component", F.col("node"))
+        joined = components(more.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).toDF("component", "whole")
+        found = cut(found.union(alone).distinct().join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
+    discard(met)
+    linked = found.select(F.col("node").alias("class"))
     repeated = classes.join(linked, "class", "left_semi").unionByName(classes.filter("doc_id < last_doc").join(linked, "class", "left_anti"))
-    of_line = clusters_of(line_links, repeated.select(F.col("class").alias("node"), F.col("doc_id").alias("first_doc")))
+    of_line = clusters_of(found, repeated.select(F.col("class").alias("node"), F.col("doc_id").alias("first_doc")))
     discard(classes, pairs)
 
     words = asked.filter("side IS NOT NULL").select("doc_id", "place", "side", "words")

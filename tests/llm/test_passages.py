@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from pairlab.llm import substring
 
 
@@ -54,3 +56,26 @@ def test_a_crowded_band_leaves_no_link_out(spark):
     assert (2, 9) not in first and first | rest | {(1, 2), (3, 4)} == every
     chain = spark.createDataFrame([(i, i + 1) for i in range(11)], "u long, v long")
     assert remaining_pairs(crowded(classes), chain, 0.8).count() == 0
+
+
+def test_what_stays_apart_in_a_band_is_linked_without_all_pairs(spark):
+    """Of 300 edits of one line, most too far apart: all similar pairs of the band are found, and few others are formed."""
+    from pairlab.llm.substring import crowded, reaching_pairs, remaining_pairs
+
+    rng = random.Random(23)
+    base, sets = list(range(90)), {}
+    for i in range(300):
+        own = set(base) if i % 10 else set(sets.get(i - 1, base))
+        for k in rng.sample(base, rng.randint(8, 24) if i % 10 else 3):
+            own.discard(k)
+            own.add(1000 * (i + 1) + k)
+        sets[i] = own
+    classes = spark.createDataFrame([(i, 1, len(s) + 4, [7, 1000 + i]) for i, s in sets.items()], "class long, docs long, n int, bands array<long>")
+    links = spark.createDataFrame([], "u long, v long")
+    every = {(r.u, r.v) for r in remaining_pairs(crowded(classes), links, 0.8).collect()}
+    similar = {(u, v) for u, v in every if len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v])}
+    left = crowded(classes).withColumn("component", F.col("class"))
+    held = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "class long, shingles array<long>")
+    got = {(min(r.u, r.v), max(r.u, r.v)) for r in reaching_pairs(left, held, 0.8).collect()}
+    assert len(every) > 40_000 and 25 < len(similar) and similar <= got <= every
+    assert len(got) < len(similar) + 0.05 * len(every)
