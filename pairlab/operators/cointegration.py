@@ -30,9 +30,24 @@ def hedge_ratios(aligned: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, (F.col("my") - F.col("beta") * F.col("mx")).alias("alpha"), "beta", "n_obs")
 
 
-def ar1_half_life(rows: DataFrame, keys: list[str], order: str, value: str = "spread") -> DataFrame:
-    """(keys, phi, half_life, n): AR(1) by regression on the previous row; NaN for phi <= 0, inf for phi >= 1."""
-    lagged = rows.withColumn("prev__", F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
+def with_previous(rows: DataFrame, keys: list[str], order: str, value: str, block_rows: int | None = None) -> DataFrame:
+    """(keys, value, prev__), the value of the row before.
+
+    With ``block_rows``, ``order`` counts a group's rows without gaps, and long groups are cut into blocks with tasks of
+    their own, each with the row before it.
+    """
+    if block_rows is None:
+        return rows.select(*keys, value, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)).alias("prev__"))
+    own = F.floor(F.col(order) / block_rows)
+    last = F.pmod(F.col(order), F.lit(block_rows)) == block_rows - 1
+    cut = rows.select(*keys, order, value, F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))).alias("block__"))
+    before = F.lag(value).over(Window.partitionBy(*keys, "block__").orderBy(order))
+    return cut.withColumn("prev__", before).filter(own == F.col("block__")).select(*keys, value, "prev__")
+
+
+def ar1_half_life(rows: DataFrame, keys: list[str], order: str, value: str = "spread", *, block_rows: int | None = None) -> DataFrame:
+    """(keys, phi, half_life, n): AR(1) by regression on the previous row; NaN for phi <= 0, inf for phi >= 1. ``block_rows`` as in with_previous."""
+    lagged = with_previous(rows, keys, order, value, block_rows)
     pairs = lagged.filter(F.col("prev__").isNotNull() & F.col(value).isNotNull())
     s = pairs.groupBy(*keys).agg(F.covar_pop("prev__", value).alias("c"), F.var_pop("prev__").alias("v"), F.count(F.lit(1)).alias("n"))
     s = s.withColumn("phi", F.try_divide("c", "v"))
@@ -55,10 +70,10 @@ def hurst_exponent(rows: DataFrame, keys: list[str], order: str, value: str = "s
     return rows.select(*keys, order, value).groupBy(*keys).applyInPandas(run, schema).filter(~F.isnan("hurst"))
 
 
-def dickey_fuller_stat(rows: DataFrame, keys: list[str], order: str, value: str = "spread") -> DataFrame:
-    """(keys, n, stat): t-statistic of the level in the regression of its difference on it, without lags."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    d = rows.select(*keys, F.lag(value).over(w).alias("level"), (F.col(value) - F.lag(value).over(w)).alias("step")).filter("level IS NOT NULL AND step IS NOT NULL")
+def dickey_fuller_stat(rows: DataFrame, keys: list[str], order: str, value: str = "spread", *, block_rows: int | None = None) -> DataFrame:
+    """(keys, n, stat): t-statistic of the level in the regression of its difference on it, without lags. ``block_rows`` as in with_previous."""
+    lagged = with_previous(rows, keys, order, value, block_rows)
+    d = lagged.select(*keys, F.col("prev__").alias("level"), (F.col(value) - F.col("prev__")).alias("step")).filter("level IS NOT NULL AND step IS NOT NULL")
     s = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("level", "step").alias("c"), F.var_pop("level").alias("vx"), F.var_pop("step").alias("vy"))
     b = F.try_divide("c", "vx")
     s = s.withColumn("b", b).withColumn("sse", F.col("n") * (F.col("vy") - F.col("b") * F.col("c")))
