@@ -9,6 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairlab.checkpoints import materialized
+from pairlab.operators import blocks
+
+#: Lines of all brands in a bin of order keys.
+BIN_LINES = 500_000
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,31 +54,37 @@ def calendar_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, sector, date, close, volume) on consecutive weekdays, with sector trends."""
-    order = Window.partitionBy("symbol").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+def dense_panel(spark: SparkSession, sf_dir: str, *, bin_lines: int = BIN_LINES, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """(symbol, sector, date, close, volume) on consecutive weekdays, with sector trends.
+
+    Lines are numbered in bins of order keys, and means and trends come from blocks of places, so no task holds a symbol.
+    """
     lines = _branded_lines(spark, sf_dir, "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity")
-    kept = (
-        lines.withColumn("k", F.row_number().over(order))
-        .select("symbol", sector_of(F.col("symbol")).alias("sector"), "k", (F.col("l_discount") + F.col("l_tax")).alias("u"), "l_quantity")
-    )
+    keys = _table(spark, sf_dir, "lineitem").agg(F.min("l_orderkey").alias("lo"), F.max("l_orderkey").alias("hi"), F.ceil(F.count(F.lit(1)) / bin_lines).alias("bins"))  # one row
+    place = F.floor((F.col("l_orderkey") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * F.col("bins"))
+    lines = lines.crossJoin(F.broadcast(keys)).withColumn("bin", F.coalesce(place, F.lit(-1))).select("symbol", "bin", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (F.col("l_discount") + F.col("l_tax")).alias("u"), "l_quantity")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    kept = blocks.numbered(lines, ["symbol"], order, "bin", "k", lambda df: materialized(df.drop(*order)))
+    kept = kept.select("symbol", sector_of(F.col("symbol")).alias("sector"), "k", "u", "l_quantity")
     whole = kept.agg(F.avg("u").alias("mu"), F.stddev_samp("u").alias("su"))
     scored = kept.crossJoin(F.broadcast(whole)).withColumn("e", (F.col("u") - F.col("mu")) / F.col("su"))
-    trend = scored.groupBy("sector", "k").agg(F.avg("e").alias("m")).withColumn(
-        "trend", F.sum("m").over(Window.partitionBy("sector").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    )
-    own = F.avg("e").over(Window.partitionBy("symbol").orderBy("k").rowsBetween(-19, 0))
-    day = dense_day(F.col("k"))
-    return (
-        scored.withColumn("own", own)
-        .join(trend.select("sector", "k", "trend"), ["sector", "k"])
-        .select(
-            "symbol",
-            "sector",
-            day.alias("date"),
-            F.round(F.exp(F.ln(F.lit(100.0)) + 0.02 * F.col("trend") + 0.02 * F.col("own")), 10).alias("close"),
-            (F.col("l_quantity") * 1e6).alias("volume"),
-        )
+    # A block of a sector's places is one task; rows copied from the block before serve the trailing means only.
+    near = blocks.with_rows_before(scored, "k", 19, block="block", block_rows=block_rows).repartition("sector", "block")
+    near = near.withColumn("own", F.avg("e").over(Window.partitionBy("sector", "block", "symbol").orderBy("k").rowsBetween(-19, 0)))
+    near = near.filter(F.col("block") == blocks.block_of("k", block_rows))
+    same = Window.partitionBy("sector", "block", "k")
+    near = near.withColumn("m", F.when(F.col("symbol") == F.min("symbol").over(same), F.avg("e").over(same)))
+    near = near.withColumn("inside", F.sum("m").over(Window.partitionBy("sector", "block").orderBy("k").rangeBetween(Window.unboundedPreceding, 0)))
+    near = materialized(near.select("symbol", "sector", "block", "k", "own", "inside", "l_quantity"))
+    ends = near.groupBy("sector", "block").agg(F.max_by("inside", "k").alias("end"))
+    earlier = Window.partitionBy("sector").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("sector", "block", F.coalesce(F.sum("end").over(earlier), F.lit(0.0)).alias("carry"))
+    return near.join(F.broadcast(carried), ["sector", "block"]).select(
+        "symbol",
+        "sector",
+        dense_day(F.col("k")).alias("date"),
+        F.round(F.exp(F.ln(F.lit(100.0)) + 0.02 * (F.col("carry") + F.col("inside")) + 0.02 * F.col("own")), 10).alias("close"),
+        (F.col("l_quantity") * 1e6).alias("volume"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.operators import blocks
 from pairlab.operators.clean import by_symbol, days_since_previous
 from pairlab.params import DEFAULTS
 
@@ -31,8 +32,16 @@ def eligible_symbols(daily: DataFrame, start, end, *, max_gap: int = DEFAULTS.ma
     return per.filter(F.col("a") & F.col("b") & (F.col("g") <= max_gap)).select("symbol")
 
 
-def log_returns(daily: DataFrame) -> DataFrame:
-    """daily with log_ret; restrict the window first, for its first row has none."""
+def log_returns(daily: DataFrame, *, place: str | None = None, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """daily with log_ret; restrict the window first, for its first row has none.
+
+    ``place`` may name a column that counts a symbol's rows without gaps; with it symbols run in blocks with tasks of their own.
+    """
+    if place is not None:
+        cut = blocks.with_rows_before(daily, place, 1, block_rows=block_rows)
+        before = F.lag("close").over(Window.partitionBy("symbol", "block__").orderBy(place))
+        cut = cut.withColumn("log_ret", F.ln(F.try_divide(F.col("close"), before)))
+        return cut.filter(F.col("block__") == blocks.block_of(place, block_rows)).drop("block__")
     return daily.withColumn("log_ret", F.ln(F.try_divide(F.col("close"), F.lag("close").over(by_symbol()))))
 
 
