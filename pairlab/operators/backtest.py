@@ -34,17 +34,18 @@ def position_returns(signals: DataFrame, keys: list[str], order: str, *, session
     return signals.withColumn("gross", gross)
 
 
-def trades(signals: DataFrame, keys: list[str], order: str, *, carry: tuple[str, ...] = (), finalize: bool = True) -> DataFrame:
+def trades(signals: DataFrame, keys: list[str], order: str, *, carry: tuple[str, ...] = (), finalize: bool = True, before: str | None = None) -> DataFrame:
     """(keys, trade_no, direction, entry_<order>, exit_<order>, entry and exit of ``carry``, held, gross_log, exit_reason).
 
     A trade runs from the bar it is entered to the first exit reason after; one still open at the end is
     closed as fold_boundary at the last bar with a spread if ``finalize``, else left out. ``held`` counts
-    as the machine does, on the bar before an exit.
+    as the machine does, on the bar before an exit. ``before`` may name a column with that of the bar before; rows on which
+    no trade begins or ends may then be left out.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     entry = (F.lag("position", 1, 0).over(w) == 0) & (F.col("position") != 0)
-    s = signals.withColumn("entry__", entry).withColumn("before__", F.lag("held", 1, 0).over(w))
+    s = signals.withColumn("entry__", entry).withColumn("before__", F.lag("held", 1, 0).over(w) if before is None else F.col(before))
     s = s.withColumn("trade_no", F.sum(F.col("entry__").cast("int")).over(running)).filter("trade_no > 0")
     here = ["spread", *carry]
     seen = ~F.isnan("spread") & F.col("spread").isNotNull()
@@ -91,15 +92,29 @@ def session_sums(bars: DataFrame, keys: list[str], date: str) -> DataFrame:
     return bars.groupBy(*keys, date).agg(F.sum("gross").alias("gross"), F.sum("net").alias("net"), F.bool_or(moved).alias("active"))
 
 
-def metrics(returns: DataFrame, keys: list[str], date: str, value: str, *, periods: int = DEFAULTS.periods_per_year) -> DataFrame:
+def metrics(returns: DataFrame, keys: list[str], date: str, value: str, *, periods: int = DEFAULTS.periods_per_year, part: str | None = None) -> DataFrame:
     """(keys, n, total_pct, ann_pct, sharpe, max_drawdown_pct) of log returns.
 
-    The drawdown's first peak is the first cumulative return, not 0. A flat or single series has sharpe NaN.
+    The drawdown's first peak is the first cumulative return, not 0. A flat or single series has sharpe NaN. ``part`` may name a
+    column that rises with ``date``; each part of a long series is then summed in a task of its own, and only sums meet.
     """
-    w = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, *([part] if part else [])).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
     clean = returns.filter(F.col(value).isNotNull() & ~F.isnan(value))
     down = clean.withColumn("cum__", F.sum(value).over(w)).withColumn("down__", F.col("cum__") - F.max("cum__").over(w))
-    s = down.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("t"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.min("down__").alias("d"))
+    if part is None:
+        s = down.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("t"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.min("down__").alias("d"))
+    else:
+        # A row a part.
+        ends = [F.min("cum__").alias("low"), F.max("cum__").alias("peak"), F.min("down__").alias("d"), F.min(value).alias("least"), F.max(value).alias("most")]
+        per = down.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("t"), F.avg(value).alias("m"), F.var_pop(value).alias("v"), *ends)
+        earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        per = per.withColumn("at", F.coalesce(F.sum("t").over(earlier), F.lit(0.0)))
+        per = per.withColumn("d", F.least("d", F.col("at") + F.col("low") - F.max(F.col("at") + F.col("peak")).over(earlier)))
+        every = Window.partitionBy(*keys)
+        per = per.withColumn("mean", F.sum("t").over(every) / F.sum("n").over(every))
+        squares = F.sum(F.col("n") * (F.col("v") + (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))))
+        deviation = F.when(F.min("least") == F.max("most"), 0.0).otherwise(F.sqrt(F.try_divide(squares, F.sum("n") - 1)))
+        s = per.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.first("mean").alias("m"), deviation.alias("s"), F.min("d").alias("d"))
     years = F.greatest(F.col("n") / float(periods), F.lit(1.0 / periods))
     sharpe = F.when((F.col("n") > 1) & (F.col("s") > 0), F.try_divide("m", "s") * F.sqrt(F.lit(float(periods)))).otherwise(F.lit(float("nan")))
     pct = lambda c: F.expm1(c) * 100

@@ -47,3 +47,14 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], bin_: str, numb
     counts = inside.groupBy(*keys, bin_).agg(F.max("inside__").alias("rows__"))
     moved = counts.select(*keys, bin_, F.coalesce(F.sum("rows__").over(earlier), F.lit(0)).alias("before__"))
     return inside.join(F.broadcast(moved), [*keys, bin_]).withColumn(number, F.col("before__") + F.col("inside__")).drop("inside__", "before__", bin_)
+
+
+def arrays(rows: DataFrame, keys: list[str], place: str, value: str, *, before: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(keys, block, begin, n_before, values), a row a block: its values in order of place, after the last n_before values, ``before`` at most, of the block before it.
+
+    ``begin`` is the place of the block's first own row.
+    """
+    cut = with_rows_before(rows.select(*keys, place, value), place, before, block="block", block_rows=block_rows)
+    own = F.when(block_of(place, block_rows) == F.col("block"), F.col(place))
+    per = cut.groupBy(*keys, "block").agg(F.min(own).alias("begin"), F.count_if(own.isNull()).cast("int").alias("n_before"), F.sort_array(F.collect_list(F.struct(place, value))).alias("rows__"))
+    return per.filter("begin IS NOT NULL").select(*keys, "block", "begin", "n_before", F.col(f"rows__.{value}").alias("values"))

@@ -100,12 +100,13 @@ SUMMARY = [
 ]
 
 
-def per_pair_summary(per_pair: DataFrame, trades: DataFrame, sectors: DataFrame) -> DataFrame:
+def per_pair_summary(per_pair: DataFrame, trades: DataFrame, sectors: DataFrame, *, part: str | None = None) -> DataFrame:
     """One row a pair over all its folds, with the columns SUMMARY; ``per_pair(pair, date, gross, net)``, ``trades(pair, net_log, held, exit_reason)``.
 
     A pair's sector is that of its first leg; a pair without trades has zeros in their columns.
+    ``part`` as in backtest.metrics.
     """
-    gross, net = (backtest.metrics(per_pair, ["pair"], "date", v) for v in ("gross", "net"))
+    gross, net = (backtest.metrics(per_pair, ["pair"], "date", v, part=part) for v in ("gross", "net"))
     gross = gross.select("pair", *[F.col(c).alias(f"gross_{c}") for c in ("total_pct", "ann_pct", "sharpe")])
     net = net.select("pair", *[F.col(c).alias(f"net_{c}") for c in ("total_pct", "ann_pct", "sharpe", "max_drawdown_pct")])
     active = per_pair.groupBy("pair").agg(F.min("date").alias("first_active"), F.max("date").alias("last_active"), F.count(F.lit(1)).alias("n_obs"))

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from pairlab.checkpoints import materialized, small
 from pairlab.operators.backtest import metrics
+from pairlab.operators.blocks import running_sums
 from pairlab.operators.grid import EXIT_ORDER, exit_name
 
 
-def equity_curve(returns: DataFrame, keys: list[str], date: str, values: tuple[str, ...] = ("gross", "net")) -> DataFrame:
-    """Cumulative percentages of log returns by date."""
+def equity_curve(returns: DataFrame, keys: list[str], date: str, values: tuple[str, ...] = ("gross", "net"), *, part: str | None = None) -> DataFrame:
+    """Cumulative percentages of log returns by date; ``part`` may name a column that rises with it, for sums in blocks."""
+    if part is not None:
+        summed = running_sums(returns.select(*keys, date, part, *values), keys, date, part, {f"sum__{v}": v for v in values})
+        return summed.select(*keys, date, *[(F.expm1(F.col(f"sum__{v}")) * 100).alias(f"cum_{v}_pct") for v in values])
     w = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
     return returns.select(*keys, date, *[(F.expm1(F.sum(v).over(w)) * 100).alias(f"cum_{v}_pct") for v in values])
 

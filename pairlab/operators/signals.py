@@ -5,6 +5,8 @@ Everything at a row depends on rows up to it. NaN, not null, marks bars without
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pairlab.checkpoints import materialized
 from pairlab.functions import kernels
+from pairlab.operators.blocks import BLOCK_ROWS
 from pairlab.params import DEFAULTS
 
 NAN = float("nan")
@@ -30,8 +33,19 @@ def _check(window: int, least: int) -> None:
         raise ValueError("window must be at least 2 and min_periods from 2 to window")
 
 
-#: Rows of a block of a long group.
-BLOCK_ROWS = 20_000
+def rolled(x: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and sample deviations of the full trailing windows, NaN before the first."""
+    mean, deviation = np.full(len(x), NAN), np.full(len(x), NAN)
+    every = np.lib.stride_tricks.sliding_window_view(x, window) if len(x) >= window else np.empty((0, window))
+    for at in range(0, len(every), 512):  # as many as a core's cache holds
+        frames = every[at : at + 512]
+        moved = frames - frames[:, :1]  # from its first value, so that a flat window deviates by 0 exactly
+        middle = moved.mean(axis=1)
+        here = slice(at + window - 1, at + window - 1 + len(frames))
+        mean[here] = frames[:, 0] + middle
+        moved -= middle[:, None]
+        deviation[here] = np.sqrt(np.einsum("ij,ij->i", moved, moved) / (window - 1))
+    return mean, deviation
 
 
 def _stats_in_blocks(rows: DataFrame, keys: list[str], place: str, value: str, window: int, block_rows: int) -> DataFrame:
@@ -47,14 +61,7 @@ def _stats_in_blocks(rows: DataFrame, keys: list[str], place: str, value: str, w
         at = table[place].to_numpy()
         order = np.argsort(at, kind="stable")
         at, x = at[order], table[value].cast(pa.float64()).to_numpy()[order]
-        mean, deviation = np.full(len(x), NAN), np.full(len(x), NAN)
-        if len(x) >= window:
-            frames = np.lib.stride_tricks.sliding_window_view(x, window)
-            moved = frames - frames[:, :1]  # from its first value, so that a flat window deviates by 0 exactly
-            middle = moved.mean(axis=1)
-            mean[window - 1 :] = frames[:, 0] + middle
-            moved -= middle[:, None]
-            deviation[window - 1 :] = np.sqrt(np.einsum("ij,ij->i", moved, moved) / (window - 1))
+        mean, deviation = rolled(x, window)
         kept = np.flatnonzero(at // block_rows == table["block__"][0].as_py())
         out = table.select(names).take(pa.array(order[kept]))
         return pa.table([*out.columns, pa.array(mean[kept]), pa.array(deviation[kept])], names=[*names, "roll_mean", "roll_std"])
@@ -246,6 +253,83 @@ def rolling_signals_in_parts(
     return rows.join(begins, by).select(*rows.columns, "begin__").groupBy(*by).applyInPandas(run, _schema(rows))
 
 
+def signals_in_blocks(
+    blocked: DataFrame, keys: list[str], *, carry: tuple[str, ...] = (), window: int = DEFAULTS.z_window, digits: int = 8, entry: float = DEFAULTS.entry_z, exit_: float = DEFAULTS.exit_z, stop: float = DEFAULTS.stop_z, max_holding: int = DEFAULTS.max_holding
+) -> DataFrame:
+    """(keys, place, carry, spread, z, position, held, exit_reason, position_before, held_before, gross, ends) of groups that are cut into blocks.
+
+    ``blocked(keys, block, begin, n_before, spreads, carry)`` has a row a block: the place of its first bar, and its spreads after those
+    of n_before bars, which are window - 1 or all that there are. Rolling z, rounded to ``digits``, and states are those of rolling_z and rolling_signals over
+    the whole group; only a block's states and last spread go on to the next. position_before and held_before are those of the
+    bar before, gross is that of backtest.position_returns, and ``ends`` marks the bars where trades end: exits, and a group's
+    last bar with a spread if a trade is open at its end.
+    """
+    if min(entry, exit_, stop) <= 0 or exit_ >= entry or stop <= entry or max_holding < 1:
+        raise ValueError("needs 0 < exit < entry < stop and max_holding of at least 1")
+    _check(window, window)
+    type_of = lambda names: ", ".join(f"`{n}` {blocked.schema[n].dataType.simpleString()}" for n in names)
+    held_over = [*keys, "block", "begin", *carry]
+
+    def series(row) -> np.ndarray:
+        return row.values.to_numpy(zero_copy_only=False).astype(float)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, before = series(batch["spreads"][i]), batch["n_before"][i].as_py()
+                mean, deviation = rolled(x, window)
+                ok = deviation > 0
+                z = np.full(len(x), NAN)
+                z[ok] = (x[ok] - mean[ok]) / deviation[ok]
+                lists = [pa.array([v[before:]], pa.list_(pa.float64())) for v in (x, z)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).select(held_over).columns, *lists], names=[*held_over, "spread", "z"])
+
+    scored = blocked.select(*held_over, "n_before", "spreads").mapInArrow(scores, type_of(held_over) + ", spread array<double>, z array<double>")
+    scored = scored.withColumn("z", F.transform("z", lambda v: F.round(v, digits)))
+
+    def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, z = series(batch["spread"][i]), series(batch["z"][i])
+                more = [pa.array([kernels.rolling_transitions(z, entry, exit_, stop, max_holding)], pa.list_(pa.int32())), pa.array([x[-1]]), pa.array([not np.isnan(x).all()])]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, *more], names=[*batch.schema.names, "goes", "last", "seen"])
+
+    tables = materialized(scored.mapInArrow(transitions, type_of(held_over) + ", spread array<double>, z array<double>, goes array<int>, last double, seen boolean"))
+
+    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        states = [0]
+        for goes in pdf["goes"]:
+            states.append(int(goes[states[-1]]))
+        closing = pdf["seen"] & (pdf["seen"][::-1].cumsum()[::-1] == 1) & (states[-1] != 0)
+        return pdf[[*keys, "block"]].assign(state=states[:-1], spread_before=pdf["last"].shift(), closing=closing)
+
+    # A row of a few numbers for each block.
+    begins = tables.select(*keys, "block", "goes", "last", "seen").groupBy(*keys).applyInPandas(chained, type_of([*keys, "block"]) + ", state int, spread_before double, closing boolean")
+    ready = tables.drop("goes", "last", "seen").join(F.broadcast(begins), [*keys, "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = lambda c: batch[c][i]  # noqa: E731, B023
+                x, z = series(row("spread")), series(row("z"))
+                side, bars = kernels.machine_state(row("state").as_py(), max_holding)
+                position, held, reason = kernels.rolling_machine(z, entry, exit_, stop, max_holding, side, bars)
+                before, last = np.r_[side, position[:-1]].astype(np.int32), row("spread_before").as_py()
+                move = np.diff(np.r_[NAN if last is None else last, x])
+                ends = np.array([r is not None for r in reason])
+                if row("closing").as_py():
+                    ends[np.flatnonzero(~np.isnan(x))[-1]] = True
+                same = [pa.repeat(row(c), len(x)) for c in (*keys, *carry)]
+                places = pa.array(row("begin").as_py() + np.arange(len(x)), pa.int64())
+                found = [x, z, position.astype(np.int32), held.astype(np.int32), pa.array(reason, pa.string()), before, np.r_[bars, held[:-1]].astype(np.int32), before * np.where(np.isnan(move), 0.0, move), ends]
+                yield pa.RecordBatch.from_arrays([*same, places, *[pa.array(c) for c in found]], names=[*keys, *carry, "place", *names])
+
+    names = ["spread", "z", "position", "held", "exit_reason", "position_before", "held_before", "gross", "ends"]
+    schema = type_of([*keys, *carry]) + ", place long, spread double, z double, position int, held int, exit_reason string, position_before int, held_before int, gross double, ends boolean"
+    return ready.mapInArrow(run, schema)
+
+
 def ou_signals(
     rows: DataFrame, keys: list[str], order: str, *, z: str = "z_ou", entry: float | str, max_holding: int | str, hard_stop: float | None = None, session: str | None = None, tradeable: str | None = None
 ) -> DataFrame:
@@ -294,10 +378,16 @@ def ou_cells(rows: DataFrame, keys: list[str], order: str, session: str, *, z: s
     return rows.groupBy(*keys).applyInPandas(run, _schema(rows))
 
 
-def signal_diagnostics(signals: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Counts of bars, trips, exits by reason, and holding times of each group."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    s = signals.withColumn("prev__", F.lag("position", 1, 0).over(w)).withColumn("before__", F.lag("held", 1, 0).over(w)).withColumn("last__", F.lead("position").over(w).isNull())
+def signal_diagnostics(signals: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """Counts of bars, trips, exits by reason, and holding times of each group.
+
+    Without ``order`` the rows are those of signals_in_blocks, which know the bar before, and only sums meet.
+    """
+    if order is None:
+        s = signals.withColumnsRenamed({"position_before": "prev__", "held_before": "before__"}).withColumn("last__", F.col("ends") & F.col("exit_reason").isNull())
+    else:
+        w = Window.partitionBy(*keys).orderBy(order)
+        s = signals.withColumn("prev__", F.lag("position", 1, 0).over(w)).withColumn("before__", F.lag("held", 1, 0).over(w)).withColumn("last__", F.lead("position").over(w).isNull())
     entry = (F.col("prev__") == 0) & (F.col("position") != 0)
     out = F.col("exit_reason").isNotNull()
     n = lambda c, name: F.count_if(c).alias(name)

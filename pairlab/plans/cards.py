@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairlab import fixtures
 from pairlab.checkpoints import materialized
 from pairlab.fixtures import SECTOR_SQL
-from pairlab.operators import calendars, cards, liquidity, signals
+from pairlab.operators import blocks, calendars, cards, liquidity, signals
 from pairlab.plans import daily as days
 from pairlab.plans import intraday as bars
 from pairlab.plans.daily import RAW_PAIR_SQL, SIGNAL_SQL, TRADE_SQL, metrics_sql, query, rounded
@@ -106,8 +106,8 @@ FROM ac LEFT JOIN mg USING (pair) LEFT JOIN mn USING (pair) LEFT JOIN ts USING (
 def per_pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of pairs with their results, trades and exits."""
     run = materialized(days.pair_signals(spark, sf_dir))
-    per_pair = materialized(days._per_pair(run))
-    return rounded(cards.per_pair_summary(per_pair, materialized(days._trades(run)), fixtures.sectors(spark, sf_dir)), 4)
+    per_pair = days._per_pair(run).withColumn("part", blocks.block_of("place"))
+    return rounded(cards.per_pair_summary(per_pair, materialized(days._trades(run)), fixtures.sectors(spark, sf_dir), part="part"), 4)
 
 
 @query("WITH " + RAW_PAIR_SQL + """, sp2 AS (SELECT pair, min(date) + 100 AS a, max(date) - 50 AS b FROM pp GROUP BY 1)

@@ -1,9 +1,10 @@
 """Operators that cut long groups into blocks give what whole groups give."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pairlab import fixtures
-from pairlab.operators import screen
+from pairlab.operators import backtest, blocks, reports, screen, signals
 
 
 def test_dense_panel_in_small_blocks(spark, sf_dir):
@@ -19,3 +20,49 @@ def test_log_returns_in_small_blocks(spark):
     cut = screen.log_returns(rows, place="date", block_rows=9).collect()
     assert len(cut) == 200 and {(r.symbol, r.date): r.log_ret for r in cut} == whole
     assert sum(r.log_ret is None for r in cut) == 2
+
+
+def _walk(spark):
+    """Two groups of 300 bars, places from 1; some bars of the second have no spread, and both end in a trade."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for key in ("a", "b"):
+        x = np.round(np.cumsum(rng.normal(size=300)) * 0.1 + np.sin(np.arange(300) / 4), 6)
+        x[-2:] = x[-3] + 9.0
+        rows += [(key, i + 1, 0.5, float("nan") if key == "b" and i in (120, 121, 299) else float(v)) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, ["pair", "place", "beta", "spread"])
+
+
+def _blocked(rows, window, block_rows):
+    return blocks.arrays(rows, ["pair", "beta"], "place", "spread", before=window - 1, block_rows=block_rows).withColumnRenamed("values", "spreads")
+
+
+def test_signals_in_blocks_equal_those_of_whole_groups(spark):
+    rows, window = _walk(spark), 8
+    limits = {"entry": 1.2, "exit_": 0.3, "stop": 2.3, "max_holding": 12}
+    one = signals.rolling_z(rows, ["pair"], "place", window=window, place="place", block_rows=1000).withColumn("z", F.round("z", 8))
+    whole = backtest.position_returns(signals.rolling_signals(one, ["pair"], "place", **limits), ["pair"], "place")
+    for block_rows in (17, 1000):
+        run = signals.signals_in_blocks(_blocked(rows, window, block_rows), ["pair"], carry=("beta",), window=window, **limits)
+        key = lambda r: (r.pair, r.place)
+        got, want = (sorted(df.collect(), key=key) for df in (run, whole))
+        shown = lambda r: (r.pair, r.place, str(float("nan") if r.z is None else r.z), r.position, r.held, r.exit_reason, round(r.gross, 12) + 0.0)
+        assert [shown(r) for r in got] == [shown(r) for r in want]
+        events = run.filter(F.col("ends") | ((F.col("position_before") == 0) & (F.col("position") != 0)))
+        closed = backtest.trades(events, ["pair"], "place", carry=("beta",), before="held_before")
+        wanted = backtest.trades(whole, ["pair"], "place", carry=("beta",))
+        assert sorted(closed.collect()) == sorted(wanted.collect()) and closed.filter("exit_reason = 'fold_boundary'").count() == 2
+        assert run.filter("ends").count() == closed.count() > 20
+        assert sorted(signals.signal_diagnostics(run, ["pair"], None).collect()) == sorted(signals.signal_diagnostics(whole, ["pair"], "place").collect())
+
+
+def test_metrics_and_curves_in_parts(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(k, i, i // 7, 0.01 if k == "flat" else float(v), 0.0) for k in ("a", "b", "flat") for i, v in enumerate(rng.normal(size=60) * 0.02)], ["k", "t", "part", "gross", "net"])
+    plain, parts = ({r.k: r for r in backtest.metrics(rows, ["k"], "t", "gross", part=p).collect()} for p in (None, "part"))
+    for k, r in plain.items():
+        assert np.allclose(r[1:], parts[k][1:], rtol=1e-10, equal_nan=True), k
+    assert np.isnan(parts["flat"].sharpe)
+    curves = ({(r.k, r.t): r.cum_gross_pct for r in reports.equity_curve(rows, ["k"], "t", part=p).collect()} for p in (None, "part"))
+    a, b = curves
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-9 for i in a)
