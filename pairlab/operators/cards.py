@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.checkpoints import materialized
 from pairlab.operators import backtest, signals, walkforward
 from pairlab.params import DEFAULTS
 
@@ -88,9 +89,11 @@ def leg_levels(daily: DataFrame, spans: DataFrame) -> DataFrame:
     y = daily.select(F.col("symbol").alias("y_sym"), "date", F.col("close").alias("y"))
     x = daily.select(F.col("symbol").alias("x_sym"), "date", F.col("close").alias("x"))
     both = spans.join(y, "y_sym").filter(F.col("date").between(F.col("first_active"), F.col("last_active"))).join(x, ["x_sym", "date"])
-    both = both.filter("y IS NOT NULL AND x IS NOT NULL")
-    w = Window.partitionBy("pair").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return both.select("pair", "date", F.try_divide("y", F.first("y").over(w)).alias("y_level"), F.try_divide("x", F.first("x").over(w)).alias("x_level"))
+    both = materialized(both.filter("y IS NOT NULL AND x IS NOT NULL").select("pair", "date", "y", "x"))  # first closes and levels both read it
+    # A row a pair each.
+    start = both.groupBy("pair").agg(F.min("date").alias("date"))
+    first = both.join(F.broadcast(start), ["pair", "date"]).groupBy("pair").agg(F.first("y").alias("y_first"), F.first("x").alias("x_first"))
+    return both.join(F.broadcast(first), "pair").select("pair", "date", *[F.try_divide(c, f"{c}_first").alias(f"{c}_level") for c in ("y", "x")])
 
 
 #: The columns of per_pair_summary, in the order of its file.

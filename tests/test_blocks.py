@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pairlab import fixtures
-from pairlab.operators import backtest, blocks, reports, screen, signals
+from pairlab.operators import backtest, blocks, cards, reports, screen, signals
 
 
 def test_dense_panel_in_small_blocks(spark, sf_dir):
@@ -66,3 +66,11 @@ def test_metrics_and_curves_in_parts(spark):
     curves = ({(r.k, r.t): r.cum_gross_pct for r in reports.equity_curve(rows, ["k"], "t", part=p).collect()} for p in (None, "part"))
     a, b = curves
     assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-9 for i in a)
+
+
+def test_leg_levels_sort_no_pair(spark):
+    daily = spark.createDataFrame([(s, i, float(i + k)) for s, k in (("a", 2), ("b", 5)) for i in range(1, 40) if (s, i) != ("b", 5)], ["symbol", "date", "close"])
+    spans = spark.createDataFrame([("a~b", "a", "b", 5, 30)], ["pair", "y_sym", "x_sym", "first_active", "last_active"])
+    found = cards.leg_levels(daily, spans)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.date, r.y_level, r.x_level) for r in found.collect()) == [(i, (i + 2) / 8.0, (i + 5) / 11.0) for i in range(6, 31)]
