@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.llm.common import cut, text_slices
-from pairlab.llm.tokens import encoder
+from pairlab.llm.tokens import KEPT_WORDS, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _RAW = PIECES + ", open boolean"
@@ -51,8 +51,8 @@ class OpenWindows:
         return -key, fill, emitted
 
 
-def _pack_partition(batches, name: str, capacity: int, limit: int, end_id: int):
-    code, part = encoder(name), TaskContext.get().partitionId()
+def _pack_partition(batches, name: str, capacity: int, limit: int, end_id: int, kept_words: int = KEPT_WORDS):
+    code, part = encoder(name, kept_words), TaskContext.get().partitionId()
     windows, number, done = OpenWindows(capacity, limit), part << 33, []
 
     def batch(rows, still_open):
@@ -105,14 +105,16 @@ def pack(
     end_id: int = 0,
     open_windows: int = 64,
     merge_group: int = 256,
+    kept_words: int = KEPT_WORDS,
 ) -> DataFrame:
     """Pieces of the packed documents: which ids of which document lie where in which sequence.
 
     ``start`` counts the document's ids before the piece, ``offset`` the tokens before it in its
-    sequence, without gaps. A sequence holds at most ``capacity`` tokens.
+    sequence, without gaps. A sequence holds at most ``capacity`` tokens. Fewer ``kept_words`` spare a
+    worker's memory at the cost of time.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    raw = cut(source.mapInArrow(lambda it: _pack_partition(it, vocabulary, capacity, open_windows, end_id), _RAW))
+    raw = cut(source.mapInArrow(lambda it: _pack_partition(it, vocabulary, capacity, open_windows, end_id, kept_words), _RAW))
     left = raw.filter("open")
     n_left = left.agg(F.count_distinct("sequence_id")).first()[0]
     groups = max(1, -(-n_left // merge_group))

@@ -73,12 +73,13 @@ class WordEncoder:
     string of an added token, which the library makes one id.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.kept_words = kept_words
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.table = _byte_chars()
         self.space = self.table[ord(" ")]
@@ -154,7 +155,7 @@ class WordEncoder:
                 counts.append(len(own))
         if not keys:
             return out
-        if len(self.known) > KEPT_WORDS or self.chars > KEPT_CHARS:
+        if len(self.known) > self.kept_words or self.chars > KEPT_CHARS:
             self._reset()
         index = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
         if self.known.new:
@@ -180,6 +181,6 @@ def id_type(name: str) -> type:
     return _id_type(Tokenizer.from_file(vocabulary_path(name)))
 
 
-def encoder(name: str) -> WordEncoder:
+def encoder(name: str, kept_words: int = KEPT_WORDS) -> WordEncoder:
     """The encoder of a vocabulary file, kept by the Python worker between tasks."""
-    return in_worker(("encoder", name), lambda: WordEncoder(vocabulary_path(name)))
+    return in_worker(("encoder", name, kept_words), lambda: WordEncoder(vocabulary_path(name), kept_words))
