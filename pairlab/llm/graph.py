@@ -25,11 +25,11 @@ def components(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
         # Written first, so that the join is one that Spark may split where a node has many neighbours.
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")))
         large = (
-            both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
+            both.join(low.hint("shuffle_hash"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
         )
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = (
-            large.join(low, "u")
+            large.join(low.hint("shuffle_hash"), "u")
             .select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .filter("u <> v")

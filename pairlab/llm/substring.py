@@ -49,7 +49,7 @@ from pairlab.llm.graph import components
 
 SHINGLE = 5
 #: Hashes that are permuted at a time; a bound of memory.
-_AT_ONCE = 2_000_000
+_AT_ONCE = 500_000
 #: Words of a paragraph before its MinHash shingle and after that shingle's first word.
 BEFORE, AFTER = 5, 10
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -99,22 +99,29 @@ def hashed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, shingles, np.array(counts)
 
 
-def runs(h: np.ndarray, shingles: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(first word, MinHash, hash without the last word, hash without the first word) of a text's runs."""
-    n, size = len(h), BEFORE + AFTER
-    if n < size:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+def runs(h: np.ndarray, shingles: np.ndarray, window: int, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, first word in it, MinHash, hash without the last word, hash without the first word) of the runs of texts that begin at ``bounds``, the last of which is the end."""
+    size, n = BEFORE + AFTER, np.diff(bounds)
+    of = np.repeat(np.arange(len(n)), n)
     order = _mix(shingles + _POWERS[20])
-    w = min(window, len(order))
-    least = np.lib.stride_tricks.sliding_window_view(order, w).argmin(axis=1) + np.arange(len(order) - w + 1)
-    at = least[np.r_[True, least[1:] != least[:-1]]]
-    at = at[(at >= BEFORE) & (at + AFTER <= n)]
+    parts = []
+    # A text of fewer shingles than the window has one window of them all.
+    for w in np.unique(np.minimum(window, n[n >= size] - SHINGLE + 1)).tolist():
+        i = np.arange(len(order) - w + 1)
+        i = i[(of[i] == of[i + w + SHINGLE - 2]) & ((n >= size) & (np.minimum(window, n - SHINGLE + 1) == w))[of[i]]]
+        least = np.lib.stride_tricks.sliding_window_view(order, w)[i].argmin(axis=1) + i
+        parts.append(least[np.r_[True, least[1:] != least[:-1]]])
+    at = np.sort(np.concatenate([np.zeros(0, np.int64), *parts]))
+    text = of[at]
+    inside = (at - BEFORE >= bounds[text]) & (at + AFTER <= bounds[text + 1])
+    at, text = at[inside], text[inside]
     first, key = at - BEFORE, order[at]
     head, tail = _run_hash(h, first, size - 1), _run_hash(h, first + 1, size - 1)
     # Of equal runs at successive places (one word over and over) the last and as many as cover the rest stay.
     again = np.r_[False, (np.diff(first) == 1) & (key[1:] == key[:-1]) & (head[1:] == head[:-1]) & (tail[1:] == tail[:-1])][: len(first)]
+    first = first - bounds[text]
     stay = ~again | np.r_[~again[1:], True][: len(first)] | (first % size == 0)
-    return first[stay], key[stay], head[stay], tail[stay]
+    return text[stay], first[stay], key[stay], head[stay], tail[stay]
 
 
 def lines(h: np.ndarray, shingles: np.ndarray, counts: np.ndarray, least: int, bands: int, rows: int) -> tuple[np.ndarray, ...]:
@@ -155,22 +162,24 @@ def places(texts: DataFrame, window: int, least: int, bands: int, rows: int) ->
     def run(batches):
         forget()
         for b in text_slices(batches):
-            ids, parts, held = b.column(0).to_numpy(zero_copy_only=False), [], []
-            for t in b.column(1).to_pylist():
-                h, shingles, counts = hashed(t)
-                parts.append(runs(h, shingles, window))
-                held.append(lines(h, shingles, counts, least, bands, rows))
-            n_runs, n_lines = ([len(p[0]) for p in x] for x in (parts, held))
-            if sum(n_runs):
-                first, key, head, tail = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            if not texts:
+                continue
+            # All texts of a slice at once, a line end between them.
+            h, shingles, counts = hashed("\n".join(texts))
+            n_lines = np.array([t.count("\n") + 1 for t in texts])
+            bounds = np.r_[0, np.cumsum(counts)[np.cumsum(n_lines) - 1]]
+            of, first, key, head, tail = runs(h, shingles, window, bounds)
+            if len(first):
                 none = pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.list_(pa.int64()))
-                short = [pa.array(x.astype(np.uint64).astype(np.uint32).view(np.int32)) for x in (head, tail)]
-                yield batch([np.repeat(ids, n_runs), first.astype(np.int32), key.view(np.int64), *short, *none])
-            if sum(n_lines):
-                first, n, own, keys = (np.concatenate([p[i] for p in held]) for i in range(4))
+                short = [pa.array(x.astype(np.uint32).view(np.int32)) for x in (head, tail)]
+                yield batch([ids[of], first.astype(np.int32), key.view(np.int64), *short, *none])
+            first, n, own, keys = lines(h, shingles, counts, least, bands, rows)
+            if len(first):
+                of = np.repeat(np.arange(len(texts)), n_lines)[counts >= least]
                 listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel().view(np.int64))
                 none = pa.nulls(len(first), pa.int32())
-                yield batch([np.repeat(ids, n_lines), first.astype(np.int32), own.view(np.int64), none, none, n.astype(np.int32), listed])
+                yield batch([ids[of], (first - bounds[of]).astype(np.int32), own.view(np.int64), none, none, n.astype(np.int32), listed])
 
     def batch(columns):
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[f.split()[0] for f in _PLACES.split(", ")])
@@ -188,7 +197,7 @@ def line_pairs(classes: DataFrame, similarity: float) -> DataFrame:
         keyed.groupBy("key").agg(F.count(F.lit(1)).alias("found"), F.max(F.struct("docs", "class", "n")).alias("most"))
         .filter("found > 1").select("key", "found", F.struct("most.class", "most.n").alias("leader"))
     )
-    met = keyed.select("key", "class", "n", "next").join(shared, "key").withColumn("salt", F.pmod(F.xxhash64("class"), F.ceil(F.col("found") / RUN)))
+    met = keyed.select("key", "class", "n", "next").join(hashed_side(shared), "key").withColumn("salt", F.pmod(F.xxhash64("class"), F.ceil(F.col("found") / RUN)))
     beside = Window.partitionBy("key", "salt").orderBy("next", "class")
     others = F.array("leader", *[F.lag(line, k).over(beside) for k in range(1, SIDE + 1)])
     pairs = met.withColumn("others", others).select("class", "n", F.explode("others").alias("other")).filter("other.class <> class")
@@ -203,14 +212,14 @@ def crowded(classes: DataFrame) -> DataFrame:
     keyed = classes.select(F.explode("bands").alias("key"), "class", "n")
     # Written first, so that the join is one that Spark may split where a key is common.
     many = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") > SIDE + 1).select("key"))
-    return keyed.join(many, "key")
+    return keyed.join(hashed_side(many), "key")
 
 
 def apart(met: DataFrame, found: DataFrame) -> DataFrame:
     """(key, class, n, component) of the crowded bands whose classes lie in several components of ``found(node, component)``."""
-    placed = cut(met.join(found.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", F.coalesce("component", "class").alias("component")))
+    placed = cut(met.join(hashed_side(found.withColumnRenamed("node", "class")), "class", "left").select("key", "class", "n", F.coalesce("component", "class").alias("component")))
     mixed = cut(placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key"))
-    return cut(placed.join(mixed, "key"))
+    return cut(placed.join(hashed_side(mixed), "key"))
 
 
 def remaining_pairs(met: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
@@ -237,7 +246,7 @@ def reaching_pairs(left: DataFrame, sets: DataFrame, similarity: float) -> DataF
     # Written first, so that the join is one that Spark may split where a shingle is common.
     holders = cut(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")))
     rarest_first = Window.partitionBy("class").orderBy("holders", "shingle")
-    follow = held.join(holders, "shingle").withColumn("rest", F.col("size") - F.row_number().over(rarest_first) + 1)
+    follow = held.join(hashed_side(holders), "shingle").withColumn("rest", F.col("size") - F.row_number().over(rarest_first) + 1)
     starts = follow.filter(F.col("rest") >= similarity * F.col("size") - slack).select("class", "component", "size", "shingle", "rest")
     starts = cut(starts.join(left.select("key", "class"), "class").select("key", "shingle", "class", "component", "size", "rest"))
     short = starts.filter(F.col("rest") >= 2 * share * F.col("size") - slack).toDF("key", "shingle", "u", "cu", "a", "follow_u")
@@ -281,12 +290,31 @@ def surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(run, _ASKED)
 
 
+def hashed_side(unique: DataFrame) -> DataFrame:
+    """unique, one row a key, as the side of a join by that key that is hashed: nothing is sorted, and Spark may still split the other side where a key is common."""
+    return unique.hint("shuffle_hash")
+
+
+def run_components(links: DataFrame) -> DataFrame:
+    """(node, component) of links(band_key, u, v), whose nodes have a band key each.
+
+    Where all links of a key share an end they are one component; only the others need rounds.
+    """
+    # Written first, so that the join is one that Spark may split where a key is common.
+    keys = cut(links.groupBy("band_key").agg(F.min("u").alias("least_u"), F.max("u").alias("most_u"), F.min("v").alias("least_v"), F.max("v").alias("most_v")))
+    star = (F.col("least_u") == F.col("most_u")) | (F.col("least_v") == F.col("most_v"))
+    stars = links.join(hashed_side(keys.filter(star).select("band_key", F.least("least_u", "least_v").alias("component"))), "band_key")
+    others = links.join(hashed_side(keys.filter(~star).select("band_key")), "band_key")
+    near = stars.select(F.explode(F.array("u", "v")).alias("node"), "component").distinct()
+    return near.unionByName(components(others.select("u", "v")))
+
+
 def clusters_of(components_: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, cluster, kept_doc_id) of nodes(node, first_doc): their components_(node, component), and the smallest document of each."""
-    found = nodes.join(components_, "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("cluster"))
+    found = nodes.join(hashed_side(components_), "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("cluster"))
     # Written first, so that the join is one that Spark may split where a cluster is large.
     kept = cut(found.groupBy("cluster").agg(F.min("first_doc").alias("kept_doc_id")))
-    return cut(found.join(kept, "cluster").select("node", "cluster", "kept_doc_id"))
+    return cut(found.join(hashed_side(kept), "cluster").select("node", "cluster", "kept_doc_id"))
 
 
 def islands(rows: DataFrame, gap: int) -> DataFrame:
@@ -310,7 +338,7 @@ def repeated_spans(
     run_rows = found.filter("n IS NULL").select("doc_id", "place", "band_key", "head", "tail")
     # Written first, so that the join below is one that Spark may split where a key is common.
     shared = cut(run_rows.groupBy("band_key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("band_key"))
-    members = run_rows.join(shared, "band_key").select("doc_id", "place", F.xxhash64(F.lit(0), "band_key", "head").alias("u"), F.xxhash64(F.lit(1), "band_key", "tail").alias("v"))
+    members = run_rows.join(hashed_side(shared), "band_key").select("doc_id", "place", "band_key", F.xxhash64(F.lit(0), "band_key", "head").alias("u"), F.xxhash64(F.lit(1), "band_key", "tail").alias("v"))
     members = written(members, "colliding")
     line_rows = found.filter("n IS NOT NULL").select("doc_id", "place", "n", F.col("band_key").alias("class"), "bands")
     line_rows = written(line_rows, "lines")
@@ -318,9 +346,12 @@ def repeated_spans(
     # A run links its two hashes; hashes that occur in one document only link nothing.
     ends = members.select("doc_id", F.explode(F.array("u", "v")).alias("node"))
     alive = cut(ends.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc"))
-    run_links = members.select("u", "v").distinct().join(alive.select(F.col("node").alias("u")), "u", "left_semi").join(alive.select(F.col("node").alias("v")), "v", "left_semi")
-
-    of_run = clusters_of(components(run_links), alive.select("node", "first_doc"))
+    nodes = hashed_side(alive.select("node"))
+    run_links = cut(
+        members.select("band_key", "u", "v").distinct()
+        .join(nodes.withColumnRenamed("node", "u"), "u", "left_semi").join(nodes.withColumnRenamed("node", "v"), "v", "left_semi")
+    )
+    of_run = hashed_side(clusters_of(run_components(run_links), alive.select("node", "first_doc")))
 
     held = members.select("doc_id", "place", F.explode(F.array("u", "v")).alias("node")).join(of_run, "node").select("cluster", "doc_id", "place", "kept_doc_id")
     held = written(held, "held")

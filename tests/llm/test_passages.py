@@ -79,3 +79,23 @@ def test_what_stays_apart_in_a_band_is_linked_without_all_pairs(spark):
     got = {(min(r.u, r.v), max(r.u, r.v)) for r in reaching_pairs(left, held, 0.8).collect()}
     assert len(every) > 40_000 and 25 < len(similar) and similar <= got <= every
     assert len(got) < len(similar) + 0.05 * len(every)
+
+
+def test_places_of_a_passage_do_not_depend_on_short_texts_of_its_slice(spark):
+    passage = " ".join(f"word{k}" for k in range(60))
+
+    def found(texts):
+        rows = substring.places(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), 11, 24, 4, 2).collect()
+        return sorted(repr(r[1:]) for r in rows if texts[r.doc_id] == passage)
+
+    alone = found([passage])
+    assert alone and found([passage, "a short text"]) == alone == found(["", passage]) and found(["x\n" * 40, passage + " end", passage]) == alone
+
+
+def test_run_components_equal_those_of_all_links(spark):
+    from pairlab.llm.graph import components
+    from pairlab.llm.substring import run_components
+
+    links = [(1, 10, 20), (1, 10, 21), (1, 10, 21), (2, 30, 40), (2, 31, 40), (3, 50, 60), (3, 50, 61), (3, 51, 61), (3, 52, 62), (4, 70, 80)]
+    df = spark.createDataFrame(links, "band_key long, u long, v long")
+    assert sorted(run_components(df).collect()) == sorted(components(df.select("u", "v")).collect())
