@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pairlab.checkpoints import materialized
 from pairlab.functions import kernels
-from pairlab.operators.calendars import within
+from pairlab.operators import spans
 from pairlab.operators.screen import is_share_class_duplicate, is_structural_pair
 from pairlab.params import DEFAULTS
 
@@ -91,38 +95,66 @@ def _direction(y: np.ndarray, x: np.ndarray) -> tuple:
     return float(b[0]), float(b[1]), stat, p, residual
 
 
+_NAMES = [f.split()[0] for f in _TEST.split(", ")]
+_TYPES = [pa.string()] * 3 + [pa.float64()] * 6 + [pa.int64()]
+
+
+def _test(a: np.ndarray, b: np.ndarray, s1: str, s2: str, least: int, max_lag: int, diagnostics: bool) -> tuple:
+    """The columns _TEST of a pair by the logarithms of its legs."""
+    if len(a) < least:
+        return None, s1, s2, *[np.nan] * 6, len(a)
+    one, two = _direction(a, b), _direction(b, a)
+    first = not two[3] < one[3]
+    best, y, x = (one, s1, s2) if first else (two, s2, s1)
+    life = kernels.half_life(best[4]) if diagnostics else np.nan
+    rough = kernels.hurst(best[4], max_lag) if diagnostics else np.nan
+    return f"{y}~{x}", y, x, *best[:4], life, rough, len(a)
+
+
 def test_pairs(aligned: DataFrame, keys: list[str], *, least: int = 20, max_lag: int = DEFAULTS.hurst_lag, diagnostics: bool = True) -> DataFrame:
     """Engle-Granger test of each group (its columns sym1, sym2, date, y, x) in the direction with the smaller p-value.
 
     A group is one pair in one window, a few thousand rows at most; ties go to sym1 on sym2.
     """
     schema = ", ".join(f"{k} {aligned.schema[k].dataType.simpleString()}" for k in keys) + ", " + _TEST
-    names = [f.split()[0] for f in _TEST.split(", ")]
-    types = [pa.string()] * 3 + [pa.float64()] * 6 + [pa.int64()]
 
     def run(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows["date"].to_numpy(), kind="stable")
         a, b = (np.log(rows[c].cast(pa.float64()).to_numpy()[order]) for c in ("y", "x"))
-        head = rows.select(keys).slice(0, 1)
-
-        def out(*found) -> pa.Table:
-            return pa.table([*head.columns, *[pa.array([v], t) for v, t in zip(found, types)]], names=[*keys, *names])
-
-        s1, s2 = rows["sym1"][0].as_py(), rows["sym2"][0].as_py()
-        if len(a) < least:
-            return out(None, s1, s2, *[np.nan] * 6, len(a))
-        one, two = _direction(a, b), _direction(b, a)
-        first = not two[3] < one[3]
-        best, y, x = (one, s1, s2) if first else (two, s2, s1)
-        life = kernels.half_life(best[4]) if diagnostics else np.nan
-        rough = kernels.hurst(best[4], max_lag) if diagnostics else np.nan
-        return out(f"{y}~{x}", y, x, *best[:4], life, rough, len(a))
+        found = _test(a, b, rows["sym1"][0].as_py(), rows["sym2"][0].as_py(), least, max_lag, diagnostics)
+        return pa.table([*rows.select(keys).slice(0, 1).columns, *[pa.array([v], t) for v, t in zip(found, _TYPES)]], names=[*keys, *_NAMES])
 
     if aligned.schema["date"].dataType.typeName() == "date":
         aligned = aligned.withColumn("date", F.unix_date("date"))  # Python has no dates past the year 9999
     return aligned.groupBy(*keys).applyInArrow(run, schema)
 
 
+def _test_units(met: DataFrame, asked: DataFrame, keys: list[str], many: bool, *, least: int = 20, min_overlap: int = 1, max_lag: int = DEFAULTS.hurst_lag, diagnostics: bool = True) -> DataFrame:
+    """test_pairs of ``asked(chunk, keys, lo, hi)`` on the bars from lo to hi that both legs have above 0, where these are min_overlap or more; ``met`` is from spans.legs."""
+    wanted = asked.select("chunk", *keys, *[F.unix_date(c).alias(c) for c in ("lo", "hi")])
+    order = [k for k in ("sector", "fold_id", "sym1", "sym2") if k in keys]
+    types = [*[to_arrow_type(asked.schema[k].dataType) for k in keys], *_TYPES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                logs, found = {}, []
+                for s, (days, closes) in spans.series(batch["legs"][i]).items():
+                    good = closes > 0
+                    logs[s] = days[good], np.log(closes[good])
+                for p in batch["asked"][i].as_py():
+                    if p["sym1"] in logs and p["sym2"] in logs:
+                        _, a, b = spans.aligned(*(spans.cut(logs[p[s]], p["lo"], p["hi"]) for s in ("sym1", "sym2")))
+                        if len(a) >= max(min_overlap, 1):
+                            found.append([*[p[k] for k in keys], *_test(a, b, p["sym1"], p["sym2"], least, max_lag, diagnostics)])
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=[*keys, *[f"t__{n}" for n in _NAMES]])
+
+    schema = ", ".join([f"{k} {asked.schema[k].dataType.simpleString()}" for k in keys] + [f"t__{f}" for f in _TEST.split(", ")])
+    tested = spans.units(met, wanted, ("sym1", "sym2"), order, many).select("asked", "legs").mapInArrow(run, schema)
+    return tested.select(*keys, *[F.col(f"t__{n}").alias(n) for n in _NAMES])
+
+
 def benjamini_hochberg(tests: DataFrame, *, alpha: float = DEFAULTS.fdr_alpha, p: str = "p", by: list[str] | None = None) -> DataFrame:
     """tests with fdr_pass: the step-up rule within each family ``by`` (one if not given)."""
     by = by or []
@@ -131,33 +163,75 @@ def benjamini_hochberg(tests: DataFrame, *, alpha: float = DEFAULTS.fdr_alpha, p
     return ranked.withColumn("fdr_pass", F.coalesce(F.col(p) <= cutoff, F.lit(False))).drop("k__", "n__")
 
 
+def _universe(sectors: DataFrame) -> DataFrame:
+    """The sector table without share-class duplicates, by ISIN too if it has that column."""
+    isin = F.col("isin") if "isin" in sectors.columns else None
+    return sectors.filter(~F.coalesce(is_share_class_duplicate(F.col("symbol"), isin), F.lit(False)))
+
+
+def _returns(leg: tuple[np.ndarray, np.ndarray], lo: int, hi: int, max_gap: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(days, log returns) of a symbol in a window, none where it lacks an end of the window or has a longer gap."""
+    days, closes = spans.cut(leg, lo, hi)
+    if not len(days) or days[0] != lo or days[-1] != hi or len(days) > 1 and np.diff(days).max() > max_gap:
+        return None
+    with np.errstate(all="ignore"):
+        r = np.log(closes[1:] / closes[:-1])
+    good = np.isfinite(r)
+    return days[1:][good], r[good]
+
+
+def _correlations(m: np.ndarray) -> np.ndarray:
+    """Correlations of the rows of m; NaN where one is constant."""
+    m = m - m[:, :1]  # from its first value, so that a constant row deviates by 0 exactly
+    m = m - m.mean(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        deviation = np.sqrt((m * m).mean(axis=1))
+        return (m @ m.T / m.shape[1]) / (deviation[:, None] * deviation)
+
+
+def _screened(met: DataFrame, windows: DataFrame, sectors: DataFrame, threshold: float, max_gap: int) -> DataFrame:
+    """(chunk, fold_id, sym1, sym2, sector, corr) of the windows of each chunk, on the dates that all their symbols have; ``met`` is from spans.legs."""
+    fold = windows.schema["fold_id"].dataType
+    listed = windows.groupBy("chunk").agg(F.collect_list(F.struct("fold_id", F.unix_date("train_start").alias("lo"), F.unix_date("train_end").alias("hi"))).alias("folds"))
+    members = sectors.filter("sector IS NOT NULL").select("symbol", "sector").distinct().groupBy().agg(F.collect_list(F.struct("symbol", "sector")).alias("members"))  # one row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                closes, by_sector, found = spans.series(batch["legs"][i]), defaultdict(list), []
+                for m in batch["members"][i].as_py():
+                    by_sector[m["sector"]].append(m["symbol"])
+                for f in batch["folds"][i].as_py():
+                    known = {s: r for s, leg in closes.items() if (r := _returns(leg, f["lo"], f["hi"], max_gap)) is not None}
+                    days, counts = np.unique(np.concatenate([np.empty(0, np.int32), *[r[0] for r in known.values()]]), return_counts=True)
+                    full = days[counts == len(known)]
+                    if not len(full):
+                        continue
+                    for sector, symbols in by_sector.items():
+                        own = sorted(s for s in symbols if s in known)
+                        if len(own) > 1:
+                            corr = _correlations(np.array([known[s][1][np.searchsorted(known[s][0], full)] for s in own]))
+                            for a, b in zip(*np.nonzero(np.triu(corr > threshold, 1))):
+                                found.append((batch["chunk"][i].as_py(), f["fold_id"], own[a], own[b], sector, float(corr[a, b])))
+                if found:
+                    types = [pa.int64(), to_arrow_type(fold), *[pa.string()] * 3, pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=["chunk", "fold_id", "sym1", "sym2", "sector", "corr"])
+
+    rows = met.join(F.broadcast(listed), "chunk").crossJoin(F.broadcast(members)).select("chunk", "legs", "folds", "members")
+    return rows.mapInArrow(run, f"chunk long, fold_id {fold.simpleString()}, sym1 string, sym2 string, sector string, corr double")
+
+
 def candidates(daily: DataFrame, sectors: DataFrame, windows: DataFrame, *, threshold: float = DEFAULTS.correlation_threshold, max_gap: int = DEFAULTS.max_gap_days) -> DataFrame:
     """(fold_id, sym1, sym2, sector, corr) of the correlation screen on every window of ``windows(fold_id, train_start, train_end)``.
 
     The universe are the symbols of the sector table that are no share-class duplicates, by ISIN too if it
-    has that column; others have no say in which dates are complete. Prices meet their windows in bins of
-    days, and all screens run as one aggregation.
+    has that column; others have no say in which dates are complete. A task holds the closes of a few neighbouring windows as
+    arrays and screens each; closes and returns that are NaN or infinite count as missing.
     """
-    isin = F.col("isin") if "isin" in sectors.columns else None
-    known = sectors.filter(~F.coalesce(is_share_class_duplicate(F.col("symbol"), isin), F.lit(False)))
-    allowed = daily.join(known.select("symbol").distinct(), "symbol", "left_semi")
-    span = windows.select("fold_id", "train_start", "train_end")
-    rows = within(allowed.select("symbol", "date", "close"), span, "train_start", "train_end")
-    order = Window.partitionBy("fold_id", "symbol").orderBy("date")
-    gapped = rows.withColumn("gap", F.coalesce(F.date_diff("date", F.lag("date").over(order)), F.lit(0))).withColumn("log_ret", F.ln(F.try_divide(F.col("close"), F.lag("close").over(order))))
-    ok = (
-        gapped.groupBy("fold_id", "symbol")
-        .agg(F.bool_or(F.col("date") == F.col("train_start")).alias("a"), F.bool_or(F.col("date") == F.col("train_end")).alias("b"), F.max("gap").alias("g"))
-        .filter(F.col("a") & F.col("b") & (F.col("g") <= max_gap))
-    )
-    returns = gapped.join(ok.select("fold_id", "symbol"), ["fold_id", "symbol"], "left_semi").filter("log_ret IS NOT NULL").select("fold_id", "symbol", "date", "log_ret")
-    n = ok.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n_symbols"))
-    full = returns.groupBy("fold_id", "date").agg(F.count(F.lit(1)).alias("n")).join(n, "fold_id").filter("n = n_symbols").select("fold_id", "date")
-    both = returns.join(full, ["fold_id", "date"], "left_semi").join(known.filter("sector IS NOT NULL").select("symbol", "sector"), "symbol")
-    a = both.select("fold_id", "sector", "date", F.col("symbol").alias("sym1"), F.col("log_ret").alias("r1"))
-    b = both.select("fold_id", "sector", "date", F.col("symbol").alias("sym2"), F.col("log_ret").alias("r2"))
-    per = a.join(b, ["fold_id", "sector", "date"]).filter("sym1 < sym2").groupBy("fold_id", "sym1", "sym2", "sector").agg(F.covar_pop("r1", "r2").alias("c"), F.stddev_pop("r1").alias("s1"), F.stddev_pop("r2").alias("s2"))
-    return per.select("fold_id", "sym1", "sym2", "sector", F.try_divide(F.col("c"), F.col("s1") * F.col("s2")).alias("corr")).filter(F.col("corr") > threshold)
+    known = _universe(sectors)
+    held, _ = spans.in_chunks(windows.select("fold_id", "train_start", "train_end").dropna(), "train_start")
+    met = spans.legs(daily.join(known.select("symbol").distinct(), "symbol", "left_semi"), held.select("chunk", F.col("train_start").alias("lo"), F.col("train_end").alias("hi")))
+    return _screened(met, held, known, threshold, max_gap).drop("chunk")
 
 
 def cointegrate(
@@ -170,23 +244,19 @@ def cointegrate(
     none. Flags cascade: the half-life band asks for fdr_pass, hurst_pass for the band, and
     stable_prior_window, tested only then, for a raw pass in the prior window (null without one).
     """
-    found = candidates(daily, sectors, windows, threshold=threshold)
-    keys = ["fold_id", "sym1", "sym2"]
-
-    def legs(span: DataFrame) -> DataFrame:
-        a = daily.select(F.col("symbol").alias("sym1"), "date", F.col("close").alias("y"))
-        b = daily.select(F.col("symbol").alias("sym2"), "date", F.col("close").alias("x"))
-        return within(a, span, "lo", "hi", by=("sym1",)).join(b, ["sym2", "date"]).filter("y > 0 AND x > 0")
-
-    bounds = windows.select("fold_id", F.col("train_start").alias("lo"), F.col("train_end").alias("hi"))
-    aligned = legs(found.join(bounds, "fold_id")).withColumn("n__", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter(F.col("n__") >= min_overlap)
+    known, keys = _universe(sectors), ["fold_id", "sym1", "sym2"]
+    held, many = spans.in_chunks(windows.select("fold_id", "train_start", "train_end", "prior_start", "prior_end").dropna(subset=["fold_id", "train_start", "train_end"]), "train_start")
+    reach = held.select("chunk", F.least("train_start", "prior_start").alias("lo"), F.greatest("train_end", "prior_end").alias("hi"))
+    met = spans.legs(daily.join(known.select("symbol").distinct(), "symbol", "left_semi"), reach)
+    found = materialized(_screened(met, held, known, threshold, DEFAULTS.max_gap_days))  # a row a candidate
+    bounds = lambda of, lo, hi: of.join(F.broadcast(held.select("fold_id", "chunk", F.col(lo).alias("lo"), F.col(hi).alias("hi"))), "fold_id")  # noqa: E731  a row a fold
     # A row a candidate; the tests are costly and three branches read them.
-    tested = materialized(test_pairs(aligned.select(*keys, "sector", "corr", "date", "y", "x"), [*keys, "sector", "corr"], max_lag=hurst_lag))
+    tested = materialized(_test_units(met, bounds(found.drop("chunk"), "train_start", "train_end"), [*keys, "sector", "corr"], many, min_overlap=min_overlap, max_lag=hurst_lag))
     tested = benjamini_hochberg(tested.withColumn("raw_pass", F.col("adf_pvalue") < alpha), alpha=alpha, p="adf_pvalue", by=["fold_id"])
     tested = tested.withColumn("half_life_in_band", F.col("fdr_pass") & ~F.isnan("half_life") & F.col("half_life").between(*half_life_band))
     tested = tested.withColumn("hurst_pass", F.col("half_life_in_band") & ~F.isnan("hurst") & (F.col("hurst") < hurst_max))
-    prior = windows.filter("prior_start IS NOT NULL").select("fold_id", F.col("prior_start").alias("lo"), F.col("prior_end").alias("hi"))
-    again = test_pairs(legs(tested.filter("hurst_pass").select(*keys).join(prior, "fold_id")).select(*keys, "date", "y", "x"), keys, diagnostics=False)
+    prior = bounds(tested.filter("hurst_pass").groupBy(*keys).agg(F.min("sector").alias("sector")), "prior_start", "prior_end").filter("lo IS NOT NULL AND hi IS NOT NULL")
+    again = _test_units(met, prior, [*keys, "sector"], many, diagnostics=False)
     again = again.select(*keys, (F.coalesce(F.col("adf_pvalue"), F.lit(1.0)) < alpha).alias("prior_pass"))
     has = windows.select("fold_id", F.col("prior_start").isNotNull().alias("has_prior"))
     stable = F.when(F.col("has_prior"), F.coalesce(F.col("prior_pass"), F.lit(False)))
