@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlab.operators import calendars, cointegration, spans
+from pairlab.operators import calendars, cointegration, spans, walkforward
 
 N = 300
 FOLDS = dict(prior=40, train=60, test=20)
@@ -82,3 +82,28 @@ def test_folds_in_chunks_and_units_equal_folds_alone(spark, universe, monkeypatc
     for r in results[0]:
         w = alone[r.fold_id, r.sym1, r.sym2]
         assert (r.direction, r.n_obs) == (w.direction, w.n_obs) and (r.alpha, r.beta, r.adf_pvalue, r.hurst) == pytest.approx((w.alpha, w.beta, w.adf_pvalue, w.hurst), rel=1e-9)
+
+
+def test_selected_pairs_in_units_equal_one_unit(spark, universe, monkeypatch):
+    """Bars of selected pairs, kept or not, in units of any size; a pair with gaps is flat on the days that it lacks."""
+    daily, sectors, days = universe
+    daily = daily.filter("close > 0")
+    folds = materialize(calendars.build_folds(daily, **FOLDS))
+    pairs = [("A", "B", 0.0, 0.9, 3.0), ("GAP", "C", 0.1, 0.8, 5.0), ("E", "D", 0.2, 1.1, 30.0), ("A", "NONE", 0.0, 1.0, 4.0)]
+    selected = spark.createDataFrame([(r.fold_id, *p) for r in folds.collect() for p in pairs], "fold_id int, y_sym string, x_sym string, alpha double, beta double, half_life double")
+    monkeypatch.setattr(spans, "_partitions", lambda rows: 1)
+    results = []
+    for chunk, unit, keep in ((16, 500, True), (2, 3, False)):
+        monkeypatch.setattr(spans, "CHUNK_FOLDS", chunk)
+        monkeypatch.setattr(spans, "UNIT_PAIRS", unit)
+        run = walkforward.run_selected(daily, selected, folds, window=10, entry=1.0, exit_=0.3, stop=3.0, keep=keep)
+        results.append([sorted(run[t].collect()) for t in ("trades", "per_pair", "portfolio")])
+    assert results[0] == results[1]
+    trades, per_pair, port = results[0]
+    n = folds.count()
+    assert len(port) == n * 20 and len(per_pair) == 3 * n * 20 and {r.n_selected_pairs for r in port} == {4} and len(trades) > 20
+    held = {(r.symbol, r.date) for r in daily.filter("symbol = 'GAP'").collect()}
+    lacking = [r for r in per_pair if r.pair == "GAP~C" and ("GAP", r.date) not in held]
+    assert len(lacking) > 10 and all((r.gross, r.net, r.position) == (0.0, 0.0, 0) for r in lacking)
+    assert sum(r.gross - r.net for r in per_pair) == pytest.approx(sum(t.cost_log for t in trades))
+    assert sum(r.gross for r in per_pair) == pytest.approx(sum(t.gross_log for t in trades), abs=1e-9)
