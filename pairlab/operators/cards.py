@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.checkpoints import materialized
+from pairlab.functions import kernels
 from pairlab.operators import backtest, signals, walkforward
 from pairlab.params import DEFAULTS
 
@@ -77,6 +82,48 @@ def banded_segments(segments: DataFrame, bands: DataFrame, keys: list[str], orde
     return found.select(*keys, "segment_no", "direction", "start", "end", "n", *each, "n_outside")
 
 
+def segments_in_blocks(blocked: DataFrame, keys: list[str], *, window: int = DEFAULTS.z_window, width: float = 2.0, **limits) -> DataFrame:
+    """banded_segments of the positions of groups that are cut into blocks, with start and end by place; ``blocked`` and ``limits`` are those of signals.signals_in_blocks.
+
+    A block gives its runs of bars with one position, the first as the rest of a segment if that began before; only these
+    rows meet, never bars.
+    """
+    limits = {"entry": DEFAULTS.entry_z, "exit_": DEFAULTS.exit_z, "stop": DEFAULTS.stop_z, "max_holding": DEFAULTS.max_holding} | limits
+    ready = signals.states_in_blocks(blocked, keys, window=window, **limits)
+    machine = [limits[k] for k in ("entry", "exit_", "stop", "max_holding")]
+    ends = [f"{side}_{c}" for side in ("start", "end") for c in ("spread", "lower", "roll_mean", "upper")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lead, x, z = (signals._series(batch[c][i]) for c in ("lead", "spread", "z"))
+                side, bars = kernels.machine_state(batch["state"][i].as_py(), machine[3])
+                position = kernels.rolling_machine(z, *machine, side, bars)[0].astype(np.int32)
+                mean, deviation = (v[len(lead) :] for v in signals.rolled(np.r_[lead, x], window))
+                lower, upper = mean - width * deviation, mean + width * deviation
+                outside = ((x > upper) | (x < lower)).astype(np.int64)
+                first = np.flatnonzero(np.r_[True, position[1:] != position[:-1]])
+                last = np.r_[first[1:], len(x)] - 1
+                beyond = np.add.reduceat(outside, first)
+                kept = position[first] != 0
+                first, last, beyond = first[kept], last[kept], beyond[kept]
+                begun = np.cumsum((first > 0) | (position[first] != side))
+                begin = batch["begin"][i].as_py()
+                found = [begun, position[first], begin + first, begin + last, last - first + 1, *[v[at] for at in (first, last) for v in (x, lower, mean, upper)], beyond]
+                same = [pa.repeat(batch[k][i], len(first)) for k in (*keys, "block")]
+                yield pa.RecordBatch.from_arrays([*same, *[pa.array(f) for f in found]], names=[*keys, "block", *names])
+
+    names = ["begun", "direction", "start", "end", "n", *ends, "n_outside"]
+    schema = signals._fields(blocked, [*keys, "block"]) + ", begun long, direction int, start long, end long, n long, " + ", ".join(f"{c} double" for c in ends) + ", n_outside long"
+    pieces = materialized(ready.mapInArrow(run, schema))  # a row a segment and block
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pieces.groupBy(*keys, "block").agg(F.max("begun").alias("begun"))
+    carried = counts.select(*keys, "block", F.coalesce(F.sum("begun").over(earlier), F.lit(0)).alias("carried"))
+    numbered = pieces.join(F.broadcast(carried), [*keys, "block"]).withColumn("segment_no", F.col("carried") + F.col("begun"))
+    here = [F.min_by(c, "start").alias(c) if c.startswith("start") else F.max_by(c, "start").alias(c) for c in ends]
+    return numbered.groupBy(*keys, "segment_no").agg(F.min_by("direction", "start").alias("direction"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *here, F.sum("n_outside").alias("n_outside"))
+
+
 def fold_bands(daily: DataFrame, selected: DataFrame, folds: DataFrame, *, window: int = DEFAULTS.z_window, width: float = 2.0) -> DataFrame:
     """(fold_id, pair, date, spread, lower, roll_mean, upper) over the test windows, with each fold's coefficients and days before the test so that bands are there from its first day."""
     rows = walkforward.fold_prices(daily, selected, folds, window=window).withColumn("pair", F.concat_ws("~", "y_sym", "x_sym"))

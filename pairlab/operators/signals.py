@@ -253,48 +253,50 @@ def rolling_signals_in_parts(
     return rows.join(begins, by).select(*rows.columns, "begin__").groupBy(*by).applyInPandas(run, _schema(rows))
 
 
-def signals_in_blocks(
+def _series(row) -> np.ndarray:
+    return row.values.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _fields(rows: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+
+
+def states_in_blocks(
     blocked: DataFrame, keys: list[str], *, carry: tuple[str, ...] = (), window: int = DEFAULTS.z_window, digits: int = 8, entry: float = DEFAULTS.entry_z, exit_: float = DEFAULTS.exit_z, stop: float = DEFAULTS.stop_z, max_holding: int = DEFAULTS.max_holding
 ) -> DataFrame:
-    """(keys, place, carry, spread, z, position, held, exit_reason, position_before, held_before, gross, ends) of groups that are cut into blocks.
+    """(keys, block, begin, carry, lead, spread, z, state, spread_before, closing), a row a block of ``blocked`` as in signals_in_blocks.
 
-    ``blocked(keys, block, begin, n_before, spreads, carry)`` has a row a block: the place of its first bar, and its spreads after those
-    of n_before bars, which are window - 1 or all that there are. Rolling z, rounded to ``digits``, and states are those of rolling_z and rolling_signals over
-    the whole group; only a block's states and last spread go on to the next. position_before and held_before are those of the
-    bar before, gross is that of backtest.position_returns, and ``ends`` marks the bars where trades end: exits, and a group's
-    last bar with a spread if a trade is open at its end.
+    ``lead`` are the spreads before the block, ``state`` is the numbered state that it begins in, and ``closing`` marks a group's last block with a spread
+    if a trade is open at the end.
     """
     if min(entry, exit_, stop) <= 0 or exit_ >= entry or stop <= entry or max_holding < 1:
         raise ValueError("needs 0 < exit < entry < stop and max_holding of at least 1")
     _check(window, window)
-    type_of = lambda names: ", ".join(f"`{n}` {blocked.schema[n].dataType.simpleString()}" for n in names)
-    held_over = [*keys, "block", "begin", *carry]
-
-    def series(row) -> np.ndarray:
-        return row.values.to_numpy(zero_copy_only=False).astype(float)
+    type_of = lambda names: _fields(blocked, names)
+    held_over, arrays = [*keys, "block", "begin", *carry], "lead array<double>, spread array<double>, z array<double>"
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x, before = series(batch["spreads"][i]), batch["n_before"][i].as_py()
+                x, before = _series(batch["spreads"][i]), batch["n_before"][i].as_py()
                 mean, deviation = rolled(x, window)
                 ok = deviation > 0
                 z = np.full(len(x), NAN)
                 z[ok] = (x[ok] - mean[ok]) / deviation[ok]
-                lists = [pa.array([v[before:]], pa.list_(pa.float64())) for v in (x, z)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).select(held_over).columns, *lists], names=[*held_over, "spread", "z"])
+                lists = [pa.array([v], pa.list_(pa.float64())) for v in (x[:before], x[before:], z[before:])]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).select(held_over).columns, *lists], names=[*held_over, "lead", "spread", "z"])
 
-    scored = blocked.select(*held_over, "n_before", "spreads").mapInArrow(scores, type_of(held_over) + ", spread array<double>, z array<double>")
+    scored = blocked.select(*held_over, "n_before", "spreads").mapInArrow(scores, f"{type_of(held_over)}, {arrays}")
     scored = scored.withColumn("z", F.transform("z", lambda v: F.round(v, digits)))
 
     def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x, z = series(batch["spread"][i]), series(batch["z"][i])
+                x, z = _series(batch["spread"][i]), _series(batch["z"][i])
                 more = [pa.array([kernels.rolling_transitions(z, entry, exit_, stop, max_holding)], pa.list_(pa.int32())), pa.array([x[-1]]), pa.array([not np.isnan(x).all()])]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, *more], names=[*batch.schema.names, "goes", "last", "seen"])
 
-    tables = materialized(scored.mapInArrow(transitions, type_of(held_over) + ", spread array<double>, z array<double>, goes array<int>, last double, seen boolean"))
+    tables = materialized(scored.mapInArrow(transitions, f"{type_of(held_over)}, {arrays}, goes array<int>, last double, seen boolean"))
 
     def chained(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
@@ -306,13 +308,27 @@ def signals_in_blocks(
 
     # A row of a few numbers for each block.
     begins = tables.select(*keys, "block", "goes", "last", "seen").groupBy(*keys).applyInPandas(chained, type_of([*keys, "block"]) + ", state int, spread_before double, closing boolean")
-    ready = tables.drop("goes", "last", "seen").join(F.broadcast(begins), [*keys, "block"])
+    return tables.drop("goes", "last", "seen").join(F.broadcast(begins), [*keys, "block"])
+
+
+def signals_in_blocks(
+    blocked: DataFrame, keys: list[str], *, carry: tuple[str, ...] = (), window: int = DEFAULTS.z_window, digits: int = 8, entry: float = DEFAULTS.entry_z, exit_: float = DEFAULTS.exit_z, stop: float = DEFAULTS.stop_z, max_holding: int = DEFAULTS.max_holding
+) -> DataFrame:
+    """(keys, place, carry, spread, z, position, held, exit_reason, position_before, held_before, gross, ends) of groups that are cut into blocks.
+
+    ``blocked(keys, block, begin, n_before, spreads, carry)`` has a row a block: the place of its first bar, and its spreads after those
+    of n_before bars, which are window - 1 or all that there are. Rolling z, rounded to ``digits``, and states are those of rolling_z and rolling_signals over
+    the whole group; only a block's states and last spread go on to the next. position_before and held_before are those of the
+    bar before, gross is that of backtest.position_returns, and ``ends`` marks the bars where trades end: exits, and a group's
+    last bar with a spread if a trade is open at its end.
+    """
+    ready = states_in_blocks(blocked, keys, carry=carry, window=window, digits=digits, entry=entry, exit_=exit_, stop=stop, max_holding=max_holding)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = lambda c: batch[c][i]  # noqa: E731, B023
-                x, z = series(row("spread")), series(row("z"))
+                x, z = _series(row("spread")), _series(row("z"))
                 side, bars = kernels.machine_state(row("state").as_py(), max_holding)
                 position, held, reason = kernels.rolling_machine(z, entry, exit_, stop, max_holding, side, bars)
                 before, last = np.r_[side, position[:-1]].astype(np.int32), row("spread_before").as_py()
@@ -326,7 +342,7 @@ def signals_in_blocks(
                 yield pa.RecordBatch.from_arrays([*same, places, *[pa.array(c) for c in found]], names=[*keys, *carry, "place", *names])
 
     names = ["spread", "z", "position", "held", "exit_reason", "position_before", "held_before", "gross", "ends"]
-    schema = type_of([*keys, *carry]) + ", place long, spread double, z double, position int, held int, exit_reason string, position_before int, held_before int, gross double, ends boolean"
+    schema = _fields(blocked, [*keys, *carry]) + ", place long, spread double, z double, position int, held int, exit_reason string, position_before int, held_before int, gross double, ends boolean"
     return ready.mapInArrow(run, schema)
 
 

@@ -83,9 +83,8 @@ FROM l1 JOIN bd USING (pair, date) WHERE position <> 0 GROUP BY pair, segment_no
 @query(SIGNAL_SQL + _SEGMENT_SQL)
 def position_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions as intervals, with the bands where they begin and end."""
-    run = materialized(days.pair_signals(spark, sf_dir))
-    bands = signals.rolling_bands(run.select("pair", "date", "place", "spread"), ["pair"], "place", place="place")
-    found = cards.banded_segments(cards.position_segments(run, ["pair"], "date"), bands, ["pair"], "date")
+    found = cards.segments_in_blocks(days.pair_blocks(spark, sf_dir), ["pair"])
+    found = found.withColumns({c: fixtures.dense_day(F.col(c)) for c in ("start", "end")})
     return rounded(found.select("pair", "segment_no", "direction", "start", "end", "n", "start_spread", "start_roll_mean", "start_upper", "end_lower", "n_outside"))
 
 

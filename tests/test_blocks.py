@@ -74,3 +74,19 @@ def test_leg_levels_sort_no_pair(spark):
     found = cards.leg_levels(daily, spans)
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.date, r.y_level, r.x_level) for r in found.collect()) == [(i, (i + 2) / 8.0, (i + 5) / 11.0) for i in range(6, 31)]
+
+
+def test_segments_of_blocks_equal_those_of_bars(spark):
+    """Segments that cross blocks are put together from their pieces, with the bands and counts that whole groups give."""
+    rows, window = _walk(spark), 8
+    limits = {"entry": 1.2, "exit_": 0.3, "stop": 2.3, "max_holding": 12}
+    run = signals.signals_in_blocks(_blocked(rows, window, 1000), ["pair"], window=window, **limits)
+    bands = signals.rolling_bands(run.select("pair", "place", "spread"), ["pair"], "place", window=window, place="place", block_rows=1000)
+    want = sorted(cards.banded_segments(cards.position_segments(run, ["pair"], "place"), bands, ["pair"], "place").collect())
+    shown = lambda r, names: tuple("nan" if r[c] != r[c] else round(r[c], 10) if isinstance(r[c], float) else r[c] for c in names)
+    for block_rows in (9, 17, 1000):
+        found = cards.segments_in_blocks(_blocked(rows, window, block_rows), ["pair"], window=window, **limits)
+        names = want[0].asDict().keys()
+        got = sorted((r for r in found.collect()), key=lambda r: (r.pair, r.segment_no))
+        assert sorted(found.columns) == sorted(names) and [shown(r, names) for r in got] == [shown(r, names) for r in want]
+    assert len(want) > 20 and sum(r.n_outside for r in want) > 5
