@@ -24,9 +24,14 @@ def _checkpoint_dir(spark) -> str:
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """df computed once, in the session's checkpoint folder and without its lineage, for tables that several branches read."""
+    """df computed once, in the session's checkpoint folder and without its lineage, for tables that several branches read.
+
+    The driver's JVM is then asked to collect, on which Spark drops the shuffle files of plans that are done.
+    """
     _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    found = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return found
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -157,18 +157,29 @@ def hurst(x: np.ndarray, max_lag: int = 100) -> float:
     n = len(x)
     if n < 20:
         return math.nan
-    lags = range(2, min(max_lag, n // 2) + 1)
+    lags = np.arange(2, min(max_lag, n // 2) + 1)
 
-    def deviation(t: int) -> float:
+    def exact(t: int) -> float:
         d = x[t:] - x[:-t]
-        d -= d.sum() / len(d)
-        return math.sqrt(float(d @ d) / len(d))
-
-    found = [(math.log(t), math.log(sd)) for t in lags if (sd := deviation(t)) > 0]
-    if len(found) < 4:
+        d = d - d.sum() / len(d)
+        return float(d @ d) / len(d)
+
+    # All lags at once: squares of differences from sums of squares and the series' products with itself, by its Fourier transform.
+    moved = x - x[0]
+    moved = moved - moved.mean()
+    size = 1 << (n + len(lags) + 1).bit_length()
+    products = np.fft.irfft(np.abs(np.fft.rfft(moved, size)) ** 2, size)[lags]
+    sums, squares = (np.r_[0.0, np.cumsum(v)] for v in (moved, moved * moved))
+    count = n - lags
+    spread = (squares[n] - squares[lags] + squares[count] - 2 * products) / count - ((sums[n] - sums[lags] - sums[count]) / count) ** 2
+    for i in np.flatnonzero(~(spread > 1e-4 * squares[n] / n)):  # too small beside the series to be a difference of sums
+        spread[i] = exact(int(lags[i]))
+    kept = spread > 0
+    if kept.sum() < 4:
         return math.nan
-    t, s = np.array(found).T
-    return float(np.polyfit(t, s, 1)[0])
+    t, s = np.log(lags[kept]), np.log(spread[kept]) / 2
+    t = t - t.mean()
+    return float(t @ s / (t @ t))
 
 
 def half_life(s: np.ndarray) -> float:

@@ -99,11 +99,12 @@ _NAMES = [f.split()[0] for f in _TEST.split(", ")]
 _TYPES = [pa.string()] * 3 + [pa.float64()] * 6 + [pa.int64()]
 
 
-def _test(a: np.ndarray, b: np.ndarray, s1: str, s2: str, least: int, max_lag: int, diagnostics: bool) -> tuple:
-    """The columns _TEST of a pair by the logarithms of its legs."""
+def _test(a: np.ndarray, b: np.ndarray, s1: str, s2: str, least: int, max_lag: int, diagnostics: bool, enough: float = 0.0) -> tuple:
+    """The columns _TEST of a pair by the logarithms of its legs; a p-value under ``enough`` of sym1 on sym2 spares the other direction."""
     if len(a) < least:
         return None, s1, s2, *[np.nan] * 6, len(a)
-    one, two = _direction(a, b), _direction(b, a)
+    one = _direction(a, b)
+    two = one if one[3] < enough else _direction(b, a)
     first = not two[3] < one[3]
     best, y, x = (one, s1, s2) if first else (two, s2, s1)
     life = kernels.half_life(best[4]) if diagnostics else np.nan
@@ -129,8 +130,8 @@ def test_pairs(aligned: DataFrame, keys: list[str], *, least: int = 20, max_lag:
     return aligned.groupBy(*keys).applyInArrow(run, schema)
 
 
-def _test_units(met: DataFrame, asked: DataFrame, keys: list[str], many: bool, *, least: int = 20, min_overlap: int = 1, max_lag: int = DEFAULTS.hurst_lag, diagnostics: bool = True) -> DataFrame:
-    """test_pairs of ``asked(chunk, keys, lo, hi)`` on the bars from lo to hi that both legs have above 0, where these are min_overlap or more; ``met`` is from spans.legs."""
+def _test_units(met: DataFrame, asked: DataFrame, keys: list[str], many: bool, *, least: int = 20, min_overlap: int = 1, max_lag: int = DEFAULTS.hurst_lag, diagnostics: bool = True, enough: float = 0.0) -> DataFrame:
+    """test_pairs of ``asked(chunk, keys, lo, hi)`` on the bars from lo to hi that both legs have above 0, where these are min_overlap or more; ``met`` is from spans.legs, ``enough`` as in _test."""
     wanted = asked.select("chunk", *keys, *[F.unix_date(c).alias(c) for c in ("lo", "hi")])
     order = [k for k in ("sector", "fold_id", "sym1", "sym2") if k in keys]
     types = [*[to_arrow_type(asked.schema[k].dataType) for k in keys], *_TYPES]
@@ -146,7 +147,7 @@ def _test_units(met: DataFrame, asked: DataFrame, keys: list[str], many: bool, *
                     if p["sym1"] in logs and p["sym2"] in logs:
                         _, a, b = spans.aligned(*(spans.cut(logs[p[s]], p["lo"], p["hi"]) for s in ("sym1", "sym2")))
                         if len(a) >= max(min_overlap, 1):
-                            found.append([*[p[k] for k in keys], *_test(a, b, p["sym1"], p["sym2"], least, max_lag, diagnostics)])
+                            found.append([*[p[k] for k in keys], *_test(a, b, p["sym1"], p["sym2"], least, max_lag, diagnostics, enough)])
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=[*keys, *[f"t__{n}" for n in _NAMES]])
 
@@ -256,7 +257,7 @@ def cointegrate(
     tested = tested.withColumn("half_life_in_band", F.col("fdr_pass") & ~F.isnan("half_life") & F.col("half_life").between(*half_life_band))
     tested = tested.withColumn("hurst_pass", F.col("half_life_in_band") & ~F.isnan("hurst") & (F.col("hurst") < hurst_max))
     prior = bounds(tested.filter("hurst_pass").groupBy(*keys).agg(F.min("sector").alias("sector")), "prior_start", "prior_end").filter("lo IS NOT NULL AND hi IS NOT NULL")
-    again = _test_units(met, prior, [*keys, "sector"], many, diagnostics=False)
+    again = _test_units(met, prior, [*keys, "sector"], many, diagnostics=False, enough=alpha)
     again = again.select(*keys, (F.coalesce(F.col("adf_pvalue"), F.lit(1.0)) < alpha).alias("prior_pass"))
     has = windows.select("fold_id", F.col("prior_start").isNotNull().alias("has_prior"))
     stable = F.when(F.col("has_prior"), F.coalesce(F.col("prior_pass"), F.lit(False)))

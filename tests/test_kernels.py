@@ -100,3 +100,15 @@ def test_transitions_are_the_machine_from_every_state():
                     position, held, _ = k.rolling_machine(z, 1.5, 0.5, 3.0, most, side, bars)
                     want = (int(position[-1]), int(held[-1])) if n else (side, bars)
                     assert k.machine_state(end, most) == want
+
+
+def test_hurst_of_all_lags_at_once_equals_lag_by_lag():
+    """Lags whose differences are exactly 0, or tiny beside the series, count as they do alone."""
+    rng = np.random.default_rng(12)
+    cases = [np.cumsum(rng.normal(size=n)) + shift for n in (20, 61, 504) for shift in (0.0, 1e4)]
+    cases += [rng.normal(size=300), np.tile([1.0, 2.0, 4.0, 4.5, 3.0], 40), np.arange(90.0) ** 2, np.cumsum(np.cumsum(rng.normal(size=400)))]
+    for x in cases:
+        lags = range(2, min(40, len(x) // 2) + 1)
+        found = [(np.log(t), np.log(sd)) for t in lags if (sd := (x[t:] - x[:-t]).std()) > 0]
+        assert k.hurst(x, 40) == pytest.approx(np.polyfit(*np.array(found).T, 1)[0], rel=1e-7, abs=1e-9)
+    assert np.isnan(k.hurst(np.full(80, 2.1), 40))

@@ -107,3 +107,17 @@ def test_selected_pairs_in_units_equal_one_unit(spark, universe, monkeypatch):
     assert len(lacking) > 10 and all((r.gross, r.net, r.position) == (0.0, 0.0, 0) for r in lacking)
     assert sum(r.gross - r.net for r in per_pair) == pytest.approx(sum(t.cost_log for t in trades))
     assert sum(r.gross for r in per_pair) == pytest.approx(sum(t.gross_log for t in trades), abs=1e-9)
+
+
+def test_prior_test_stops_at_a_pass(monkeypatch):
+    """A first direction that passes spares the second, and whether a pair passes stays the same."""
+    rng = np.random.default_rng(4)
+    x = np.cumsum(rng.normal(size=200)) * 0.01
+    plain = cointegration._direction
+    for y in (0.8 * x + rng.normal(size=200) * 0.005, np.cumsum(rng.normal(size=200)) * 0.01, np.full(200, 1.0)):
+        for alpha in (1e-9, 0.05, 0.6):
+            calls = []
+            monkeypatch.setattr(cointegration, "_direction", lambda a, b: calls.append(1) or plain(a, b))
+            one, both = (cointegration._test(y, x, "Y", "X", 20, 10, False, enough=e) for e in (alpha, 0.0))
+            first = plain(y, x)[3] < alpha
+            assert len(calls) == (3 if first else 4) and (one[6] < alpha) == (both[6] < alpha)
