@@ -84,7 +84,7 @@ def _run(daily: DataFrame, days: DataFrame, selected: DataFrame, folds: DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                closes, dates = spans.series(batch["legs"][i]), batch["axis"][i].values.to_numpy()
+                closes, dates, unit = spans.series(batch["legs"][i]), batch["axis"][i].values.to_numpy(), []
                 for p in batch["asked"][i].as_py():
                     if p["y_sym"] not in closes or p["x_sym"] not in closes:
                         continue
@@ -93,7 +93,9 @@ def _run(daily: DataFrame, days: DataFrame, selected: DataFrame, folds: DataFram
                     if found is not None:
                         same = [pa.repeat(pa.scalar(v, t), len(own)) for v, t in zip((p["fold_id"], f"{p['y_sym']}~{p['x_sym']}", p["beta"]), types)]
                         first = pa.array(found[0].astype(np.int32)).view(pa.date32())
-                        yield pa.RecordBatch.from_arrays([*same, first, *[pa.array(c if t != pa.int32() else c.astype(np.int32), t) for c, t in zip(found[1:], _BAR_TYPES[1:])]], names=names)
+                        unit.append(pa.RecordBatch.from_arrays([*same, first, *[pa.array(c if t != pa.int32() else c.astype(np.int32), t) for c, t in zip(found[1:], _BAR_TYPES[1:])]], names=names))
+                if unit:
+                    yield from pa.Table.from_batches(unit).combine_chunks().to_batches()  # one for all pairs
 
     rows = spans.units(met, asked, ("y_sym", "x_sym"), ["fold_id", "y_sym", "x_sym"], many).join(F.broadcast(axis), "chunk").select("asked", "legs", "axis")
     return rows.mapInArrow(run, f"fold_id {selected.schema['fold_id'].dataType.simpleString()}, pair string, beta double, {_BARS}")
